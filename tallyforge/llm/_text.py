@@ -133,3 +133,14 @@ def split_by(shard: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
     cut = np.searchsorted(shard[order], np.arange(n + 1))
     return [(s, order[cut[s] : cut[s + 1]]) for s in range(n) if cut[s + 1] > cut[s]]
+
+
+def word_counts(col: pa.Array) -> np.ndarray:
+    """Number of words of each row, without hashes."""
+    at, data = _bytes(col)
+    inside = ~_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    inner = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))]
+    begins[inner] = inside[inner]
+    return np.diff(np.concatenate([[0], np.cumsum(begins)])[at])
