@@ -53,5 +53,6 @@ def text_bytes(docs: DataFrame, col: str = "text") -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of few rows: a text may be very long."""
+    """Arrow batches of few rows and bytes: a text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")

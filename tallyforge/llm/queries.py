@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import mixing, nearest, packing, quality_rules, sharding
+from tallyforge.llm import jaccard_join, mixing, nearest, packing, quality_rules, sharding
 from tallyforge.llm._spark import table
 
 
@@ -29,6 +29,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rules)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = jaccard_join.join(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op4_sharding": sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_sharding": sharding.ORACLE_SQL,
+    "op8_jaccard_join": jaccard_join.oracle_sql(),
+}
