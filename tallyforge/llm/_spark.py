@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,12 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of few rows and bytes: a text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds name: the place (from 0) in this order of rows whose keys are distinct. Ranges of keys are
+    counted by themselves; only one row for each range is summed without a key."""
+    ranged = written(df.repartitionByRange(parallelism(df.sparkSession), *order).withColumn("_range", F.spark_partition_id()), name)
+    before = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_own", own).join(F.broadcast(before.select("_range", "_before")), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")

@@ -378,7 +378,7 @@ WITH RECURSIVE t AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - {n} + 2), i -> concat_ws(' ', {lead}))) END AS g FROM t),
+    ELSE list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: concat_ws(' ', {lead}))) END AS g FROM t),
 k AS (SELECT min(doc_id) AS rep, list_sort(g) AS g FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
 e AS (SELECT rep, unnest(g) AS x, len(g) AS n FROM k),
 c AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {t100} * greatest(a.n, b.n) GROUP BY ALL),

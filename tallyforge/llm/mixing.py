@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _text
-from tallyforge.llm._spark import parallelism, small_batches, written
+from tallyforge.llm._spark import global_index, small_batches, written
 
 GROUP = 4096
 FAN_IN = 64
@@ -46,11 +46,7 @@ def ranked_sources(sized: DataFrame) -> DataFrame:
     """source, source_size, n_docs and rank (from 0, by code point, null last). The rank is counted
     within ranges of sources, so no task sees all of them."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    order = [F.col("source").asc_nulls_last()]
-    ranged = written(per.repartitionByRange(min(8, parallelism(per.sparkSession)), *order).withColumn("_range", F.spark_partition_id()), "sources")
-    before = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.withColumn("_own", own).join(F.broadcast(before.select("_range", "_before")), "_range").select("source", "source_size", "n_docs", (F.col("_own") + F.col("_before")).alias("rank"))
+    return global_index(per, [F.col("source").asc_nulls_last()], "rank")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], max_repeat: float) -> DataFrame:

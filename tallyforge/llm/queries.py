@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import jaccard_join, mixing, nearest, packing, quality_rules, sharding
+from tallyforge.llm import jaccard_join, line_dedup, mixing, nearest, packing, quality_rules, sharding
 from tallyforge.llm._spark import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -39,6 +44,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_nearest": op2_nearest,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op8_jaccard_join": jaccard_join.oracle_sql(),
 }
