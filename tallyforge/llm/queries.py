@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import jaccard_join, line_dedup, mixing, nearest, packing, quality_rules, sharding
+from tallyforge.llm import jaccard_join, line_dedup, mixing, nearest, packing, quality_rules, sharding, site_style_tree
 from tallyforge.llm._spark import table
 
 
@@ -34,6 +34,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rules)
 
 
+def op6_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = jaccard_join.join(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_shingles", "component_id")
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
+    "op6_site_style_tree": op6_site_style_tree,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
 }
