@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import jaccard_join, line_dedup, mixing, nearest, packing, quality_rules, sharding, site_style_tree
+from tallyforge.llm import gru_lm, jaccard_join, line_dedup, mixing, nearest, packing, quality_rules, sharding, site_style_tree
 from tallyforge.llm._spark import table
 
 
@@ -47,6 +47,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.lm_score(table(spark, sf_dir, "documents"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_nearest": op2_nearest,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_site_style_tree": op6_site_style_tree,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
+    "op10_gru_lm": op10_gru_lm,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
