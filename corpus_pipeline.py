@@ -1,30 +1,57 @@
-"""Corpus pipeline: quality rules, line dedup, near-duplicate groups, source mixing, packing."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicate groups, source mixing, packing.
+
+Each stage gets the documents that its predecessor kept and returns the columns of documents; the last
+returns packed pieces. n_chars is the number of characters of the text as it is now.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import packing, quality_rules
+from tallyforge.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
 from tallyforge.llm._spark import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned decision list keep."""
+    """Operator 5: documents that the base rule and the learned decision list keep."""
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    kept = quality_rules.apply_rules(docs, rules).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return quality_rules.keep(docs.select(*COLUMNS), rules)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: later copies of repeated line runs are cut; documents of which nothing but copies was
+    left are dropped."""
+    got = line_dedup.dedup(docs.select(*COLUMNS))
+    return got.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8 with five-word shingles and Jaccard of 0.8: one document of each group stays, the one
+    with the smallest id. Documents without words are in no group and stay."""
+    rows, _ = jaccard_join.join(docs, t=0.8, n=5)
+    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: whole documents, as often as the mix takes them."""
+    got = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    return docs.join(got.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: pieces of sequences of 2048 tokens."""
     return packing.pack(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
+#: The learned rules and the solved packing are not expressible in SQL; stages are tested by brute force.
 ORACLE_SQL = None
 
 
