@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import gru_lm, jaccard_join, line_dedup, mixing, nearest, packing, quality_rules, sharding, site_style_tree
+from tallyforge.llm import gru_lm, jaccard_join, line_dedup, mixing, nearest, packing, quality_rules, sharding, site_style_tree, substring_dedup
 from tallyforge.llm._spark import table
 
 
@@ -38,6 +38,11 @@ def op6_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style_tree.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = jaccard_join.join(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_shingles", "component_id")
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_site_style_tree": op6_site_style_tree,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_gru_lm": op10_gru_lm,
@@ -65,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
+    "op7_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_jaccard_join": jaccard_join.oracle_sql(),
 }
