@@ -35,9 +35,10 @@ def _places(text: Column) -> Column:
 
 def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     """Replaces the columns `by` by rank, their place among distinct values; unique ones leave. Values
-    are counted before they are dealt out, so a common one is one row."""
+    are counted before they are dealt out, so a common one is one row. Ranks grow with the corpus, so they
+    are joined by merging at every size."""
     known = rows.groupBy(*by).count().where("count > 1").drop("count")
-    return rows.join(global_index(known, [F.col(c) for c in by], "rank"), by).drop(*by)
+    return rows.join(global_index(known, [F.col(c) for c in by], "rank").hint("merge"), by).drop(*by)
 
 
 def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -61,7 +62,7 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """The rows of docs with later copies of repeated line runs cut from text, and n_lines, n_removed
     (lines that are not blank)."""
-    gone = written(later_copies(docs, min_lines), "copies").select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"), F.col("copies").alias("_copies"))
+    gone = written(later_copies(docs, min_lines), "copies").select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"), F.col("copies").alias("_copies")).hint("merge")
     own = docs.select("*", F.xxhash64("text").alias("_own_h"))
     got = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_own_h") == F.col("_gone_h")), "left")
     raw = F.split(F.col("text"), "\n", -1)
