@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -65,3 +66,9 @@ def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     before = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return ranged.withColumn("_own", own).join(F.broadcast(before.select("_range", "_before")), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that are done: its cleaner acts on collected garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _text
-from tallyforge.llm._spark import parts_for, small_batches, written
+from tallyforge.llm._spark import parts_for, release, small_batches, written
 from tallyforge.llm.components import components
 
 SKETCH = 1 << 18
@@ -80,8 +80,8 @@ class Band:
 class Scheme:
     """Bands of sizes for threshold t: sets that may link are in the same or in neighbouring bands."""
 
-    def __init__(self, t: float, counts: dict[int, int], key_cost: float = 1.0, pair_cost: float = 20.0):
-        self.t = t
+    def __init__(self, t: float, counts: dict[int, int], key_cost: float = 1.0, pair_cost: float = 10.0, chance: float = 0.02):
+        self.t, self.chance = t, chance
         self.edges = [1]
         top = max(counts, default=1)
         while self.edges[-1] <= top:
@@ -113,8 +113,8 @@ class Scheme:
                 for j, p in enumerate(chance):
                     gone = min(p, left)
                     left -= gone
-                    same += (p - gone) * 0.05**j
-                pairs = sets * sets / 2 * ((m - double) * same + double * lam * 0.05 ** max(1, lam - 1))
+                    same += (p - gone) * self.chance**j
+                pairs = sets * sets / 2 * ((m - double) * same + double * lam * self.chance ** max(1, lam - 1))
                 cost = sets * keys * key_cost + pairs * pair_cost
                 if cost < best[0]:
                     best = (cost, Band(m, double, e))
@@ -124,6 +124,13 @@ class Scheme:
         return np.searchsorted(self.edges, n, "right") - 1
 
 
+def shared_chance(sketch: np.ndarray, sets: int) -> float:
+    """The chance that a set holds an n-gram drawn from another, less what the sketch adds by collisions."""
+    c = sketch.astype(float)
+    mean = (c * c).sum() / max(1.0, c.sum()) - c.mean()
+    return float(min(0.5, max(1e-4, mean / max(1, sets))))
+
+
 def signatures(h: np.ndarray, first: np.ndarray, scheme: Scheme, sketch: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(keys, row of each key) in the scheme of each row's own band and of the next larger one."""
     n = np.diff(first)
@@ -179,33 +186,31 @@ def parity(h: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node of every row."""
+    """doc_id, n_shingles, node of every row; and each task's sketch in SLICES rows (slice, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_shingles", "node", "slice", "counts"]
+        got = np.zeros(SKETCH, np.int64)
         for b in batches:
             for lo, hi, w in _text.chunks(b.column(1), lower=True):
                 h, first = distinct_grams(w, n)
-                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(node_of(h, first))], names=["doc_id", "n_shingles", "node"])
+                got += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(node_of(h, first)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
+        parts = got.reshape(SLICES, -1).astype("<u4")
+        empty = pa.nulls(SLICES, pa.int64())
+        yield pa.record_batch([empty, empty, empty, pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, slice int, counts binary")
 
 
-def _sketch(docs: DataFrame, n: int) -> np.ndarray:
+def _sketch(slices: DataFrame) -> np.ndarray:
     """How many rows hold an n-gram with the same low bits, over all rows; SKETCH numbers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros(SKETCH, np.int64)
-        for b in batches:
-            for _, _, w in _text.chunks(b.column(1), lower=True):
-                got += np.bincount((distinct_grams(w, n)[0] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        parts = got.reshape(SLICES, -1).astype("<u4")
-        yield pa.record_batch([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
-
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in t.column("counts").to_pylist())
         return pa.table([t.column("slice").slice(0, 1), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["slice", "counts"])
 
-    rows = docs.mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
+    rows = slices.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
     out = np.zeros((SLICES, SKETCH // SLICES), np.int64)
     for r in rows:
         out[r["slice"]] = np.frombuffer(r["counts"], "<i8")
@@ -213,7 +218,8 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, n: int, scheme: Scheme, sketch: np.ndarray, shards: int) -> DataFrame:
-    """(shard, keys, nodes): packed signatures; a node is sent once by each task."""
+    """(shard, keys, own, nodes): packed signatures, 32 bits of each key and the place of its node in a
+    list; false agreements of the short keys are only more candidates. A task sends a node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -231,17 +237,21 @@ def _signed(docs: DataFrame, n: int, scheme: Scheme, sketch: np.ndarray, shards:
                 pick = np.concatenate([np.arange(first[i], first[i + 1]) for i in new])
                 own = np.concatenate([[0], np.cumsum(np.diff(first)[new])])
                 key, row = signatures(h[pick], own, scheme, sketch)
-                nodes = node[new][row]
-                out = _text.split_by(((key >> np.uint64(40)) % np.uint64(shards)).astype(np.int64), shards)
-                yield pa.record_batch([pa.array([s for s, _ in out], pa.int32()), pa.array([(key[i] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for _, i in out], pa.binary()), pa.array([nodes[i].astype("<i8").tobytes() for _, i in out], pa.binary())], names=["shard", "keys", "nodes"])
+                nodes, out = node[new], []
+                for s, i in _text.split_by(((key >> np.uint64(40)) % np.uint64(shards)).astype(np.int64), shards):
+                    here, at = np.unique(row[i], return_inverse=True)
+                    kind = "<u2" if len(here) <= 1 << 16 else "<u4"
+                    out.append((s, (key[i] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), at.astype(kind).tobytes(), nodes[here].astype("<i8").tobytes()))
+                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "own", "nodes"])
 
-    return docs.mapInArrow(run, "shard int, keys binary, nodes binary")
+    return docs.mapInArrow(run, "shard int, keys binary, own binary, nodes binary")
 
 
 def _buckets(t: pa.Table) -> pa.Table:
     """Of a shard: star pairs (a, b, times) and the nodes of buckets of three or more, each list once."""
     key = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("keys").to_pylist()])
-    node = np.concatenate([np.frombuffer(x, "<i8") for x in t.column("nodes").to_pylist()])
+    lists = [np.frombuffer(x, "<i8") for x in t.column("nodes").to_pylist()]
+    node = np.concatenate([x[np.frombuffer(o, "<u2" if len(x) <= 1 << 16 else "<u4")] for x, o in zip(lists, t.column("own").to_pylist(), strict=True)])
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     fresh = np.ones(len(key), bool)
@@ -329,20 +339,24 @@ def join(docs: DataFrame, t: float = 0.85, n: int = 4) -> tuple[DataFrame, DataF
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(_sets(docs, n), "sets")
+    made = written(_sets(docs, n), "sets")
+    sketch = _sketch(made.where("counts is not null").select("slice", "counts"))
+    rows = made.where("counts is null").select("doc_id", "n_shingles", "node")
     kinds = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     kinds = written(kinds, "nodes")
     # Sizes of sets: bounded by the longest text, not by the number of rows.
     counts = {r["n"]: r["count"] for r in kinds.groupBy("n").count().collect()}
-    scheme = Scheme(t, counts)
+    scheme = Scheme(t, counts, chance=shared_chance(sketch, sum(counts.values())))
     grams = sum(k * v for k, v in counts.items())
-    sketch = _sketch(docs, n)
     shards = parts_for(spark, grams * 5)
     signed = _signed(docs, n, scheme, sketch, shards).repartition(shards, "shard")
     found = written(signed.groupBy("shard").applyInArrow(_buckets, "a long, b long, times long, nodes binary"), "buckets")
+    del signed
+    release(spark)
     stars = written(found.where("a is not null").groupBy("a", "b").agg(F.sum("times").alias("times")), "stars")
     ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     blobs = written(_blobs(docs, kinds.join(ends, "node", "left_semi"), n), "grams")
+    release(spark)
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
     links = written(_verified(best, blobs, t), "links")
