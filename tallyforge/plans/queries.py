@@ -473,11 +473,11 @@ def etl_null_safe_append(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'NOVO' ELSE c_name END AS nome, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 4 = 0 THEN '{"a":"1","b":"9","c":"3"}' ELSE '{"a":"1","b":"2"}' END AS meta FROM customer
-UNION ALL SELECT -c_custkey, 'NOVO', '{"b":"9","c":"3"}' FROM customer WHERE c_custkey % 4 = 0""")
+UNION ALL SELECT -c_custkey - 1, 'NOVO', '{"b":"9","c":"3"}' FROM customer WHERE c_custkey % 4 = 0""")
 def etl_upsert_json_merge(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "customer")
     old = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("nome"), F.lit('{"a":"1","b":"2"}').alias("meta"))
-    new = c.where("c_custkey % 4 = 0").select(F.explode(F.array(F.col("c_custkey"), -F.col("c_custkey"))).alias("id"), F.lit("NOVO").alias("nome"), F.lit('{"b":"9","c":"3"}').alias("meta"))
+    new = c.where("c_custkey % 4 = 0").select(F.explode(F.array(F.col("c_custkey"), -F.col("c_custkey") - 1)).alias("id"), F.lit("NOVO").alias("nome"), F.lit('{"b":"9","c":"3"}').alias("meta"))
     return etl.upsert(old, new, ["id"], "meta")
 
 
