@@ -49,7 +49,10 @@ def ledger_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def ofx(files: DataFrame) -> DataFrame:
     """Movements of OFX files given as (path, content binary): UTF-8 where it is valid, else Windows-1252."""
-    body = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "windows-1252"))
+    # Latin 1 differs from Windows-1252 in these characters only.
+    high = [(chr(k), bytes([k]).decode("cp1252")) for k in range(0x80, 0xA0) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+    windows = F.translate(F.decode("content", "ISO-8859-1"), "".join(a for a, _ in high), "".join(b for _, b in high))
+    body = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), windows)
     block = F.explode(F.regexp_extract_all(body, F.lit(r"(?is)<STMTTRN>(.*?)(?=</STMTTRN>|<STMTTRN>|</BANKTRANLIST>|\z)"), F.lit(1)))
     rows = files.select("path", block.alias("b"))
     tag = lambda t: F.trim(F.regexp_extract("b", rf"(?i)<{t}>([^<\r\n]*)", 1))
