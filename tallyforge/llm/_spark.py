@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,6 +70,9 @@ def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that are done: its cleaner acts on collected garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete shuffle files of plans that are done: its cleaner acts on collected garbage, and what
+    Python has dropped reaches the JVM a moment later."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark._jvm.System.gc()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _text
-from tallyforge.llm._spark import parts_for, release, small_batches, written
+from tallyforge.llm._spark import parts_for, release, remove, small_batches, written
 from tallyforge.llm.components import components
 
 SKETCH = 1 << 18
@@ -224,7 +224,7 @@ def _signed(docs: DataFrame, n: int, scheme: Scheme, sketch: np.ndarray, shards:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            for _, _, w in _text.chunks(b.column(1), lower=True, size=4 << 20):
+            for _, _, w in _text.chunks(b.column(1), lower=True):
                 h, first = distinct_grams(w, n)
                 node = node_of(h, first)
                 new = []
@@ -360,12 +360,14 @@ def join(docs: DataFrame, t: float = 0.85, n: int = 4) -> tuple[DataFrame, DataF
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
     links = written(_verified(best, blobs, t), "links")
+    release(spark)
     labels = written(components(links), "labels")
     other = stars.join(best, ["a", "b"], "left_anti").select("a", "b")
     for c in ("a", "b"):
         other = other.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
     more = written(_verified(other.where("la <> lb"), blobs, t), "links")
     links = links.unionByName(more)
+    release(spark)
     labels = written(components(links), "labels")
     lists = found.where("nodes is not null").select("nodes").distinct()
 
@@ -373,10 +375,16 @@ def join(docs: DataFrame, t: float = 0.85, n: int = 4) -> tuple[DataFrame, DataF
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([np.frombuffer(x, "<i8") for x in b.column(0).to_pylist()], pa.list_(pa.int64()))], names=["nodes", "ids"])
 
-    rest = written(_verified(_across(lists.mapInArrow(opened, "nodes binary, ids array<long>"), labels, blobs, t).join(stars.select("a", "b"), ["a", "b"], "left_anti"), blobs, t), "links")
+    across = _across(lists.mapInArrow(opened, "nodes binary, ids array<long>"), labels, blobs, t)
+    across = written(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    release(spark)
+    rest = written(_verified(across, blobs, t), "links")
+    release(spark)
     links = links.unionByName(rest)
     if not rest.isEmpty():
         labels = written(components(links), "labels")
+    for done in (blobs, found, across):  # the result reads none of them
+        remove(done)
     named = kinds.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")

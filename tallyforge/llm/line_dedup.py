@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm._spark import global_index, written
+from tallyforge.llm._spark import global_index, release, written
 
 MIN_LINES = 2
 _BLANK = " \t\n\u000b\f\r"
@@ -62,7 +62,9 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """The rows of docs with later copies of repeated line runs cut from text, and n_lines, n_removed
     (lines that are not blank)."""
-    gone = written(later_copies(docs, min_lines), "copies").select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"), F.col("copies").alias("_copies")).hint("merge")
+    gone = written(later_copies(docs, min_lines), "copies")
+    release(docs.sparkSession)
+    gone = gone.select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"), F.col("copies").alias("_copies")).hint("merge")
     own = docs.select("*", F.xxhash64("text").alias("_own_h"))
     got = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_own_h") == F.col("_gone_h")), "left")
     raw = F.split(F.col("text"), "\n", -1)
