@@ -307,8 +307,9 @@ def _verified(pairs: DataFrame, blobs: DataFrame, t: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _across(lists: DataFrame, labels: DataFrame, blobs: DataFrame, t: float) -> DataFrame:
-    """Pairs in a bucket that lie in different components and may still link."""
+def _across(lists: DataFrame, labels: DataFrame, blobs: DataFrame, t: float, nearest: bool) -> DataFrame:
+    """Pairs in a bucket that lie in different components and may still link: all of them, or for each node
+    only the one whose bitmap is nearest."""
     one = lists.select(F.xxhash64("nodes").alias("list"), F.explode("ids").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = one.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
     rows = one.join(mixed, "list").join(blobs.select("node", "n", "bits"), "node")
@@ -318,17 +319,32 @@ def _across(lists: DataFrame, labels: DataFrame, blobs: DataFrame, t: float) ->
         order = np.argsort(n, kind="stable")
         node, label, n = node[order], label[order], n[order]
         bits = np.stack([np.frombuffer(x, "<u8") for x in g.column("bits").to_pylist()])[order]
-        a, b = [], []
+        left, right, who, least = [], [], np.full(len(n), -1), np.full(len(n), np.iinfo(np.int64).max)
         for i in range(len(n) - 1):
             j = np.arange(i + 1, np.searchsorted(n, n[i] / t + 1e-9, "right"))
             j = j[label[j] != label[i]]
-            if len(j):
-                far = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
-                j = j[far <= np.floor((1 - t) / (1 + t) * (n[i] + n[j]) + 1e-9)]
-                a.append(np.minimum(node[i], node[j]))
-                b.append(np.maximum(node[i], node[j]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+            if not len(j):
+                continue
+            far = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
+            ok = far <= np.floor((1 - t) / (1 + t) * (n[i] + n[j]) + 1e-9)
+            j, far = j[ok], far[ok]
+            if not len(j):
+                continue
+            if nearest:
+                k = int(far.argmin())
+                if far[k] < least[i]:
+                    least[i], who[i] = far[k], j[k]
+                closer = far < least[j]
+                least[j[closer]], who[j[closer]] = far[closer], i
+            else:
+                left.append(np.full(len(j), i))
+                right.append(j)
+        if nearest:
+            i = np.flatnonzero(who >= 0)
+            left, right = [i], [who[i]]
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+        pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return rows.groupBy("list").applyInArrow(run, "a long, b long").distinct()
 
@@ -375,16 +391,18 @@ def join(docs: DataFrame, t: float = 0.85, n: int = 4) -> tuple[DataFrame, DataF
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([np.frombuffer(x, "<i8") for x in b.column(0).to_pylist()], pa.list_(pa.int64()))], names=["nodes", "ids"])
 
-    across = _across(lists.mapInArrow(opened, "nodes binary, ids array<long>"), labels, blobs, t)
-    across = written(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "across")
-    release(spark)
-    rest = written(_verified(across, blobs, t), "links")
-    release(spark)
-    links = links.unionByName(rest)
-    if not rest.isEmpty():
-        labels = written(components(links), "labels")
-    for done in (blobs, found, across):  # the result reads none of them
-        remove(done)
+    lists = written(lists.mapInArrow(opened, "nodes binary, ids array<long>"), "lists")
+    tested, done = stars.select("a", "b"), [blobs, found, lists]
+    for nearest in (True, False):  # what the nearest ones join needs no other test
+        across = written(_across(lists, labels, blobs, t, nearest).join(tested, ["a", "b"], "left_anti"), "across")
+        release(spark)
+        rest = written(_verified(across, blobs, t), "links")
+        release(spark)
+        links, tested, done = links.unionByName(rest), tested.unionByName(across), [*done, across]
+        if not rest.isEmpty():
+            labels = written(components(links), "labels")
+    for table in done:  # the result reads none of them
+        remove(table)
     named = kinds.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")
