@@ -71,9 +71,14 @@ class FMIndex:
         self.tree = WaveletMatrix(text[self.order - 1], max(1, top.bit_length()))
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
 
-    def search(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, text: np.ndarray, ends: np.ndarray, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics, stopped at depth: for each end the interval of the longest match of
-        text[..end] of up to depth symbols, and its length. Ends are taken together, one symbol a step."""
+        text[..end] of up to depth symbols, and its length. Ends are taken in blocks, one symbol a step."""
+        parts = [self._block(text, ends[k : k + block]) for k in range(0, len(ends), block)]
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none)
+
+    def _block(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lo, hi, size = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64), np.zeros(len(ends), np.int64)
         live = np.arange(len(ends))
         for k in range(self.depth):

@@ -29,6 +29,8 @@ from tallyforge.llm.fm_index import FMIndex
 
 WIDTH = 13
 PIECE = 4
+#: Text that one Python call holds as words, and text whose windows one shard judges.
+BUCKET_BYTES, SHARD_BYTES = 5 << 20, 24 << 20
 _NULL = np.iinfo(np.int64).min
 
 
@@ -52,6 +54,7 @@ class _Bucket:
             base += len(b)
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.width = width
+        rows = [r.astype(np.int32) for r in rows]
         self.hash, self.row = cat(hashes, np.uint64), cat(rows, np.int64)
         self.window, self.at = cat(windows, np.uint64), cat(places, np.int64)
         self.piece = cat(pieces, np.uint64)
@@ -205,8 +208,9 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     words of each removed run) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    shards = parts_for(spark, text_bytes(docs), 16 << 20)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("bucket"))
+    size = text_bytes(docs)
+    buckets, shards = parts_for(spark, size, BUCKET_BYTES), parts_for(spark, size, SHARD_BYTES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
     first = written(_repeated(rows, shards, width), "repeated")
     release(spark)
     second = written(_searched(rows, first, shards, width), "searched")
