@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import _text
 from tallyforge.llm._spark import parts_for, release, small_batches, text_bytes, written
 
-HEAD, HIDDEN, LANES, STEPS, ROUNDS = 2000, 24, 512, 16, 2
+HEAD, HIDDEN, LANES, STEPS, ROUNDS = 2000, 24, 512, 48, 2
 TAILS = 44
 GROUP = 44
 SLICES = 16
@@ -107,22 +107,30 @@ class Model:
         for name, (a, z, s) in self.at.items():
             setattr(self, name, flat[a:z].reshape(s))
 
-    def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
+    def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         """x: input symbols (T, B), fresh: documents begin (state and input are zero)."""
-        n, hs, tape = self.h, [], []
+        n, kind = self.h, self.flat.dtype
+        on, any_fresh = (~fresh)[:, :, None].astype(kind), fresh.any(1)
+        a = self.w_in[x] * on
+        prev, zr, m, c, hs = (np.empty((*x.shape, k * n), kind) for k in (1, 2, 1, 1, 1))
         for t in range(len(x)):
-            on = ~fresh[t][:, None]
-            h = h * on
-            a = self.w_in[x[t]] * on
+            if any_fresh[t]:
+                h = h * on[t]
+            prev[t] = h
             u = h @ self.rec
-            zr = 1 / (1 + np.exp(-(a[:, : 2 * n] + u[:, : 2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            m = u[:, 2 * n :] + self.b
-            c = np.tanh(a[:, 2 * n :] + r * m)
-            tape.append((h, z, r, m, c, on))
-            h = c + z * (h - c)
-            hs.append(h)
-        return np.stack(hs), tape
+            g = zr[t]
+            np.add(a[t, :, : 2 * n], u[:, : 2 * n], out=g)
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.add(u[:, 2 * n :], self.b, out=m[t])
+            np.multiply(g[:, n:], m[t], out=c[t])
+            c[t] += a[t, :, 2 * n :]
+            np.tanh(c[t], out=c[t])
+            h = c[t] + g[:, :n] * (h - c[t])
+            hs[t] = h
+        return hs, (prev, zr, m, c, on, any_fresh)
 
     def outputs(self, hs: np.ndarray, y: np.ndarray, grad: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each symbol y (N) after states hs (N, H); with grad, adds d(-sum log p)."""
@@ -162,27 +170,32 @@ class Model:
                 dh[i] += d @ self.us[a:z]
         return lp, dh
 
-    def backward(self, x: np.ndarray, tape: list, dhs: np.ndarray, grad: np.ndarray) -> None:
-        n = self.h
+    def backward(self, x: np.ndarray, tape: tuple, dhs: np.ndarray, grad: np.ndarray) -> None:
+        n, (prev, zr, m, c, on, any_fresh) = self.h, tape
         g = {k: grad[a:z].reshape(s) for k, (a, z, s) in self.at.items()}
-        carry = np.zeros_like(dhs[0])
-        da_all = np.empty((len(x), x.shape[1], 3 * n), np.float32)
+        z, r = zr[:, :, :n], zr[:, :, n:]
+        of_c, of_z, of_r = (1 - z) * (1 - c * c), (prev - c) * z * (1 - z), m * r * (1 - r)
+        du, dc = np.empty((*x.shape, 3 * n), dhs.dtype), np.empty_like(dhs)
+        carry, back = np.zeros_like(dhs[0]), np.ascontiguousarray(self.rec.T)
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, m, c, on = tape[t]
             dh = dhs[t] + carry
-            dc = dh * (1 - z) * (1 - c * c)
-            du = np.concatenate([dh * (h - c) * z * (1 - z), dc * m * r * (1 - r), dc * r], 1)
-            g["rec"] += h.T @ du
-            g["b"] += du[:, 2 * n :].sum(0)
-            da = da_all[t]
-            da[:, : 2 * n] = du[:, : 2 * n]
-            da[:, 2 * n :] = dc
-            da *= on
-            carry = (dh * z + du @ self.rec.T) * on
+            np.multiply(dh, of_c[t], out=dc[t])
+            d = du[t]
+            np.multiply(dh, of_z[t], out=d[:, :n])
+            np.multiply(dc[t], of_r[t], out=d[:, n : 2 * n])
+            np.multiply(dc[t], r[t], out=d[:, 2 * n :])
+            carry = dh * z[t] + d @ back
+            if any_fresh[t]:
+                carry *= on[t]
+        flat = du.reshape(-1, 3 * n)
+        g["rec"] += prev.reshape(-1, n).T @ flat
+        g["b"] += flat[:, 2 * n :].sum(0)
+        du[:, :, 2 * n :] = dc
+        du *= on
         order = np.argsort(x.ravel(), kind="stable")
         s = x.ravel()[order]
         start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        g["w_in"][s[start]] += np.add.reduceat(da_all.reshape(-1, 3 * n)[order], start, axis=0)
+        g["w_in"][s[start]] += np.add.reduceat(flat[order], start, axis=0)
 
 
 def lanes(symbols: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +208,7 @@ def lanes(symbols: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray
         k = int(np.argmin(full)) if width <= 64 else int(np.argpartition(full, 0)[0])
         mine[k].append(d)
         full[k] += n[d]
-    doc = np.full((int(full.max()) if len(n) else 0, width), -1, np.int64)
+    doc = np.full((int(full.max()) if len(n) else 0, width), -1, np.int32)
     at = np.zeros_like(doc)
     for k, ds in enumerate(mine):
         if ds:
@@ -207,7 +220,7 @@ def lanes(symbols: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray
 def _windows(symbols: list[np.ndarray], width: int) -> Iterator[tuple]:
     """(doc, x, fresh, y, live) of each window, in order."""
     doc, at = lanes(symbols, width)
-    flat = np.concatenate(symbols).astype(np.int64)
+    flat = np.concatenate(symbols).astype(np.int32)
     base = np.concatenate([[0], np.cumsum([len(s) for s in symbols])])
     for t in range(0, len(doc), STEPS):
         d, a = doc[t : t + STEPS], at[t : t + STEPS]
@@ -314,8 +327,12 @@ def counted(docs: DataFrame, shards: int, head: int) -> tuple[DataFrame, Vocabul
     got = written(asked.groupBy("shard").applyInArrow(answer, "bucket int, shard int, counts binary, n long, v long, types array<long>, mass array<long>, top array<struct<w: long, c: long>>"), "counts")
     facts = got.where("n is not null")
     sums = facts.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), *(F.sum(F.col("types")[k]).alias(f"t{k}") for k in range(TAILS)), *(F.sum(F.col("mass")[k]).alias(f"m{k}") for k in range(TAILS))).first()
-    top = facts.select(F.explode("top").alias("t")).select("t.w", "t.c").orderBy(F.desc("c"), "w").limit(head).collect()
     z = lambda x: np.array([sums[f"{x}{k}"] or 0 for k in range(TAILS)], np.int64)
+    # The octave from which on there are enough words: what is below it in a shard can't be among the first.
+    enough = np.flatnonzero(np.cumsum(z("t")[::-1])[::-1] >= head)
+    k = int(enough[-1]) if len(enough) else 0
+    least = k if k < 4 else 1 << (k - 2)
+    top = facts.select(F.explode(F.filter("top", lambda x: x["c"] >= least)).alias("t")).select("t.w", "t.c").orderBy(F.desc("c"), "w").limit(head).collect()
     return got.where("bucket is not null").select("bucket", "shard", "counts"), Vocabulary(sums["n"] or 0, sums["v"] or 0, [(r["w"], r["c"]) for r in top], z("t"), z("m"))
 
 
@@ -351,8 +368,8 @@ def encoded(docs: DataFrame, replies: DataFrame, voc: Vocabulary, shards: int) -
     return docs.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(lambda a, b: run(a, b), _ENCODED)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], tokens: int = 1 << 21) -> Iterator[pa.Table]:
-    """Runs of batches of about so many tokens."""
+def _blocks(batches: Iterator[pa.RecordBatch], tokens: int = 1 << 23) -> Iterator[pa.Table]:
+    """Runs of batches of about so many tokens: the more, the more documents run side by side."""
     held, n = [], 0
     for b in batches:
         held.append(b)
@@ -378,7 +395,7 @@ def fitted(table: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
             for t in _blocks(batches):
                 docs = []
                 for s, m in zip(t.column("symbols").to_pylist(), t.column("shifted").to_pylist(), strict=True):
-                    s = np.frombuffer(s, "<u2").astype(np.int64)
+                    s = np.frombuffer(s, "<u2")
                     docs.append(s - np.unpackbits(np.frombuffer(m, np.uint8), count=len(s)))
                 if docs:
                     train(own, docs, state)
