@@ -8,7 +8,8 @@ Suffixes whose prefix is unique leave, as no longer prefix of theirs can repeat.
 min_lines lines, suffixes of one rank are an LCP interval of at least that depth (deeper ranks could only
 split it into intervals of the same threshold). The earliest suffix of an interval, by document id, content
 and place, is the original; the first min_lines lines of the others are later copies and are deleted. The
-windows of a longer repeated run overlap, so maximal runs go as a whole.
+windows of a longer repeated run overlap, so maximal runs go as a whole. With min_words, one line of so many
+words (pieces between white space) is a run by itself: its interval is that of its first rank.
 
 DataFrame operations only. Null text has no lines and stays null; empty text stays empty. Rows equal in id
 and text are one document and get the same result each; rows that share an id but not the text, and null
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm._spark import global_index, release, written
 
 MIN_LINES = 2
+PASSAGE_WORDS = 51  # more than 50 words: a passage, on however few lines
 _BLANK = " \t\n\u000b\f\r"
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _places(text: Column) -> Column:
@@ -41,11 +44,20 @@ def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     return rows.join(global_index(known, [F.col(c) for c in by], "rank").hint("merge"), by).drop(*by)
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def _later(rows: DataFrame) -> DataFrame:
+    """Suffixes that are not the earliest of their rank."""
+    first = rows.groupBy("rank").agg(F.min(F.struct("id", "h", "k")).alias("first"))
+    return rows.join(first, "rank").where(~F.struct("id", "h", "k").eqNullSafe(F.col("first")))
+
+
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """id, h and copies: the numbers (from 0, among lines not blank) of lines to delete, ascending."""
     lines = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.posexplode(_places(F.col("text"))).alias("k", "s"))
-    lines = lines.select("id", "h", "k", F.xxhash64("s.line").alias("a"), F.xxhash64("s.line", F.lit(1)).alias("b"))
+    passage = [] if min_words is None else [(F.regexp_count("s.line", F.lit(_WORD)) >= min_words).alias("passage")]
+    lines = lines.select("id", "h", "k", F.xxhash64("s.line").alias("a"), F.xxhash64("s.line", F.lit(1)).alias("b"), *passage)
     rows = written(_ranked(lines, ["a", "b"], "rank").distinct(), "suffixes")
+    single = _later(rows.where("passage").drop("passage")).select("id", "h", "k") if passage else None
+    rows = rows.drop("passage")
     depth = 1
     while depth < min_lines:
         step = min(depth, min_lines - depth)
@@ -53,16 +65,16 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         pairs = rows.withColumnRenamed("rank", "r1").join(after, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("k") == F.col("_k"))).select("id", "h", "k", "r1", "r2")
         rows = written(_ranked(pairs, ["r1", "r2"], "rank"), "suffixes")
         depth += step
-    first = rows.groupBy("rank").agg(F.min(F.struct("id", "h", "k")).alias("first"))
-    later = rows.join(first, "rank").where(~F.struct("id", "h", "k").eqNullSafe(F.col("first")))
-    gone = later.select("id", "h", F.explode(F.sequence("k", F.col("k") + (min_lines - 1))).alias("k"))
+    gone = _later(rows).select("id", "h", F.explode(F.sequence("k", F.col("k") + (min_lines - 1))).alias("k"))
+    if single is not None:
+        gone = gone.unionByName(single)
     return gone.groupBy("id", "h").agg(F.array_sort(F.collect_set("k")).alias("copies"))
 
 
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """The rows of docs with later copies of repeated line runs cut from text, and n_lines, n_removed
     (lines that are not blank)."""
-    gone = written(later_copies(docs, min_lines), "copies")
+    gone = written(later_copies(docs, min_lines, min_words), "copies")
     release(docs.sparkSession)
     gone = gone.select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"), F.col("copies").alias("_copies")).hint("merge")
     own = docs.select("*", F.xxhash64("text").alias("_own_h"))

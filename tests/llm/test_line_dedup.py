@@ -41,3 +41,10 @@ def test_repeated_rows_null_ids_and_clashing_names(spark):
     got = sorted((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in line_dedup.dedup(df).collect())
     assert got == [(0, "a\nb", 0), (1, "c", 2), (1, "c", 2), (2, "other", 0), (2, "x", 2)]
     assert line_dedup.dedup(df.where("false")).count() == 0
+
+
+def test_single_lines_of_many_words(spark):
+    passage, short = " ".join(f"w{k}" for k in range(51)), " ".join(f"w{k}" for k in range(50))
+    texts = [f"a\n{passage}\nb\n{short}", passage, f"c\n{passage}\nd", f"{short}\ne\n{passage}", f"x\ny\n{short}", "f\nx\ny"]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup(docs_of(spark, texts), min_words=line_dedup.PASSAGE_WORDS).collect()}
+    assert [got[k] for k in range(6)] == [(texts[0], 0), ("", 1), ("c\nd", 1), (f"{short}\ne", 1), (texts[4], 0), ("f", 2)]
