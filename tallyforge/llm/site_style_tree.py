@@ -3,12 +3,18 @@
 Pages of one host are merged into a tree of style nodes: a node is the path of structural elements, each
 with its tag, class, id and role. Every node gathers, over all pages of the host, its pages, text and
 distinct contents. Content importance of a node is 1 less the mean entropy of its contents over the
-host's pages (a text on every page has entropy 1, a text of one page 0); presentation importance comes
+pages that have the node's parent (a text on every page has entropy near 1, a text of one page 0; the fewer
+pages, the more of the contents must repeat, and inside articles still more); presentation importance comes
 from the element itself: navigation, footers, side parts, forms, notices, adverts and reader comments
 carry none, unless the node is so named but holds most of the host's text. Branches of low importance are
 removed from each page, and what stays is written block by block in page order. On pages with an article
 or main element, only what is inside one is content.
 
+Copies of one page count once: pages are bodies, known by the longest block of their article, or by all
+blocks where there is no article. A node that is or holds an article, or holds most of the host's distinct
+text, is never cut by content; nor, if fewer than WEAK bodies have it, on a page of which it holds most; and no
+page is cut empty. A host of one body has no repeats: there only presentation counts.
+
 Statistics are gathered by (host, path, content), never by host alone. A null html gives an empty text; a
 null url is a host of its own. Repeated rows are equal pages and count once for the tree, and each gets its
 result. Unclosed elements and references are read as browsers do; what is no valid tag is text. Empty
@@ -23,7 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm._spark import small_batches, written
@@ -47,6 +53,8 @@ _NO_NAMES_OUTSIDE = {"header", "masthead", "topbar", "toolbar", "site", "logo"}
 _MAIN = {"article", "main"}
 _WORD = re.compile(r"[a-zA-Z]+")
 _ROLE, _NAMED, _IN_MAIN = 1, 2, 4
+_MAIN_PATH = r"^(.*?/(?:(?:article|main)(?=[./@]|$)|[^/]*@(?:article|main)(?=/|$)))"
+WEAK, SMOOTH, SMOOTH_IN_MAIN = 8, 0.5, 8.0
 
 
 class _Element:
@@ -167,7 +175,20 @@ def host(url: str | None) -> str | None:
     return m[1].lower() if m else None if url is None else ""
 
 
-_FACT = "host long, page long, path string, named boolean, content long, chars long"
+_FACT = "host long, page long, body long, path string, named boolean, content long, chars long"
+
+
+def body_of(found: list[tuple[str, int, str]]) -> int:
+    """Names what a page tells: the longest block of its article, or all its blocks."""
+    plain = [x for x in found if not x[1] & _NAMED] or found
+    main = [t for _, flags, t in plain if flags & _IN_MAIN]
+    return _id("main", max(main, key=lambda t: (len(t), t))) if main else _id("all", *(f"{p}\n{t}" for p, t in sorted({(p, t) for p, _, t in plain})))
+
+
+def _nodes(path: Column, least: int) -> Column:
+    """The style nodes of a path, from its first `least` steps (the host is step 1) on; "" has itself."""
+    steps = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(least), F.greatest(F.size(steps), F.lit(least))), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
 
 
 def facts(pages: DataFrame) -> DataFrame:
@@ -178,33 +199,41 @@ def facts(pages: DataFrame) -> DataFrame:
             rows: set[tuple] = set()
             for page, url, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own = _id(repr(host(url)))
-                rows.update((own, page, path, bool(flags & _NAMED), _id(t), len(t)) for path, flags, t in blocks(text or "") if not flags & _ROLE)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "path", "named", "content", "chars"])
+                found = [x for x in blocks(text or "") if not x[1] & _ROLE]
+                body = body_of(found)
+                rows.update((own, page, body, path, bool(flags & _NAMED), _id(t), len(t)) for path, flags, t in found)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "body", "path", "named", "content", "chars"])
 
     return pages.select("_page", "url", "html").mapInArrow(run, _FACT)
 
 
 def style_tree(leaves: DataFrame) -> DataFrame:
-    """host, node, pages, share (of the host's text), importance (of content), named: one row a style node.
-    Every leaf counts for all its ancestors."""
-    each = leaves.groupBy("host", "path", "content").agg(F.countDistinct("page").alias("n"), F.max("named").alias("named"), F.sum("chars").alias("chars"))
-    each = written(each, "contents")
-    size = leaves.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("m"))
-    total = each.groupBy("host").agg(F.sum("chars").alias("all_chars"))
-    entropy = F.when(F.col("m") > 1, F.log("n") / F.log("m")).otherwise(0.0)
-    per = each.join(size, "host").groupBy("host", "path").agg(F.sum(entropy).alias("h"), F.count("*").alias("k"), F.max("n").alias("pages"), F.sum("chars").alias("chars"), F.max("named").alias("named"), F.max("m").alias("m"))
-    steps = F.split(F.col("path"), "/")
-    nodes = per.select("*", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))).alias("node"))
-    tree = nodes.groupBy("host", "node").agg(F.sum("h").alias("h"), F.sum("k").alias("k"), F.max("pages").alias("pages"), F.sum("chars").alias("chars"), F.min("named").alias("named"), F.max("m").alias("m"))
-    return tree.join(total, "host").select("host", "node", "pages", "m", "named", (F.col("chars") / F.col("all_chars")).alias("share"), (1 - F.col("h") / F.col("k")).alias("importance"))
-
-
-def removed(tree: DataFrame, least: float = 0.3, min_pages: int = 8, most_share: float = 0.6) -> DataFrame:
-    """host, node, spared: branches of low importance (spared false), and branches that are named like
-    one but hold most of the host's text (spared true)."""
-    low = (F.col("m") >= min_pages) & (F.col("importance") < least) & (F.col("pages") * 2 > F.col("m"))
+    """host, node, seen (bodies that have it), m (bodies that have its parent), share (of the host's text), once
+    (share of its distinct text), importance (of content), named, holds (an article): one row a style node. Every
+    leaf counts for all its ancestors."""
+    each = leaves.groupBy("host", "path", "content").agg(F.countDistinct("body").alias("n"), F.max("named").alias("named"), F.sum("chars").alias("chars"), F.max("chars").alias("once"))
+    each = written(each.withColumn("once", F.when(F.col("named"), 0).otherwise(F.col("once"))), "contents")
+    total = each.groupBy("host").agg(F.sum("chars").alias("all_chars"), F.sum("once").alias("all_once"))
+    per = each.groupBy("host", "path").agg(F.sum(F.log("n")).alias("h"), F.count("*").alias("k"), F.sum("chars").alias("chars"), F.sum("once").alias("once"), F.max("named").alias("named"))
+    per = per.withColumn("main", F.size(F.split(F.regexp_extract("path", _MAIN_PATH, 1), "/")))
+    tree = per.select("*", F.explode(_nodes(F.col("path"), 2)).alias("node")).groupBy("host", "node").agg(F.sum("h").alias("h"), F.sum("k").alias("k"), F.sum("chars").alias("chars"), F.sum("once").alias("once"), F.min("named").alias("named"), F.max("main").alias("main"))
+    paths = leaves.select("host", "body", "path").distinct()
+    seen = written(paths.select("host", "body", F.explode(_nodes(F.col("path"), 1)).alias("node")).distinct().groupBy("host", "node").agg(F.count("*").alias("seen")), "seen")
+    depth = F.size(F.split("node", "/"))
+    parent = F.when(depth > 1, F.array_join(F.slice(F.split("node", "/"), F.lit(1), depth - 1), "/")).otherwise("")
+    tree = tree.join(seen, ["host", "node"]).withColumn("parent", parent).join(seen.select("host", F.col("node").alias("parent"), F.col("seen").alias("m")), ["host", "parent"]).join(total, "host")
+    smooth = F.when((F.col("main") > 1) & (F.col("main") < depth), SMOOTH_IN_MAIN).otherwise(SMOOTH)
+    importance = F.when(F.col("m") > 1, 1 - F.col("h") / F.col("k") / F.log(F.col("m") + smooth)).otherwise(1.0)
+    once = F.when(F.col("all_once") > 0, F.col("once") / F.col("all_once")).otherwise(0.0)
+    return tree.select("host", "node", "seen", "m", "named", (F.col("chars") / F.col("all_chars")).alias("share"), once.alias("once"), importance.alias("importance"), ((F.col("main") > 1) & (F.col("main") >= depth)).alias("holds"))
+
+
+def removed(tree: DataFrame, least: float = 0.3, most_share: float = 0.6) -> DataFrame:
+    """host, node, spared, weak: branches of low importance (spared false; weak: few bodies have them), and
+    branches that are named like one but hold most of the host's text (spared true)."""
+    low = (F.col("m") >= WEAK) & (F.col("importance") < least) & (F.col("seen") * 2 > F.col("m")) & ~F.col("holds") & (F.col("once") <= 0.5)
     spared = F.col("named") & (F.col("share") > most_share)
-    return tree.where(low | spared).select("host", "node", (spared & ~low).alias("spared"))
+    return tree.where(low | spared).select("host", "node", (spared & ~low).alias("spared"), (F.col("seen") < WEAK).alias("weak"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -214,21 +243,24 @@ def extract(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("_page"))
     leaves = written(facts(own), "leaves")
     cut = written(removed(style_tree(leaves)), "branches")
-    steps = F.split(F.col("path"), "/")
-    nodes = leaves.select("host", "page", "path").distinct().select("host", "page", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))).alias("node")).distinct()
-    mine = nodes.join(cut, ["host", "node"]).groupBy(F.col("page").alias("_page")).agg(F.collect_set(F.when(~F.col("spared"), F.col("node"))).alias("low"), F.collect_set(F.when(F.col("spared"), F.col("node"))).alias("spared"))
+    nodes = leaves.select("host", "page", "path").distinct().select("host", "page", F.explode(_nodes(F.col("path"), 2)).alias("node")).distinct()
+    some = lambda when: F.collect_set(F.when(when, F.col("node")))
+    mine = nodes.join(cut, ["host", "node"]).groupBy(F.col("page").alias("_page")).agg(some(~F.col("spared")).alias("low"), some(~F.col("spared") & F.col("weak")).alias("weak"), some(F.col("spared")).alias("spared"))
 
     def under(path: str, nodes: list[str]) -> bool:
-        return any(path == x or path.startswith(x + "/") for x in nodes)
+        return any(path == x or x and path.startswith(x + "/") for x in nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for page, low, spared in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                got = [(p, f, t) for p, f, t in blocks(page or "") if not f & _ROLE and not (f & _NAMED and not under(p, spared or [])) and not under(p, low or [])]
-                inside = [x for x in got if x[1] & _IN_MAIN]
-                texts.append("\n".join(t for _, _, t in inside or got))
+            for page, low, weak, spared in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
+                got = [(p, f, t) for p, f, t in blocks(page or "") if not f & _ROLE and not (f & _NAMED and not under(p, spared or []))]
+                got = [x for x in got if x[1] & _IN_MAIN] or got
+                size = sum(len(t) for _, _, t in got)
+                most = {x for x in weak or [] if 2 * sum(len(t) for p, _, t in got if under(p, [x])) > size}
+                cut = [x for x in low or [] if x not in most]
+                texts.append("\n".join(t for _, _, t in [x for x in got if not under(x[0], cut)] or got))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = own.join(mine, "_page", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "low", "spared")
+    rows = own.join(mine, "_page", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "low", "weak", "spared")
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

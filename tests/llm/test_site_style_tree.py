@@ -48,3 +48,15 @@ def test_named_wrapper_is_spared_and_empty_table(spark):
     assert texts(spark, pages) == [" ".join(["word"] * 30) + f" {k}" for k in range(10)]
     df = spark.createDataFrame([], PAGE)
     assert s.extract(df).count() == 0
+
+
+def test_copies_keep_their_article(spark):
+    def page(k, a):
+        body = "".join(f"<p>{a} tells {i} of {'long ' * 9}things</p>" for i in range(3))
+        return (f"http://c.example.com/{k}", f"<html><body><div class=top>Our shop</div><article><h1>On {a}</h1>{body}</article></body></html>")
+
+    want = lambda a: "\n".join([f"On {a}", *(f"{a} tells {i} of {'long ' * 9}things" for i in range(3))])
+    assert texts(spark, [page(k, "one") for k in range(9)]) == [want("one")] * 9
+    assert texts(spark, [page(k, "one" if k < 12 else "two") for k in range(20)]) == [want("one")] * 12 + [want("two")] * 8
+    plain = [(f"http://d.example.com/{k}", f"<body><div class=top>Our shop</div><div class=box><p>{'same words ' * 9}</p></div><div class=count>{k} reads</div></body>") for k in range(12)]
+    assert all(" ".join(["same words"] * 9) in t for t in texts(spark, plain))
