@@ -231,7 +231,7 @@ def style_tree(leaves: DataFrame) -> DataFrame:
 def removed(tree: DataFrame, least: float = 0.3, most_share: float = 0.6) -> DataFrame:
     """host, node, spared, weak: branches of low importance (spared false; weak: few bodies have them), and
     branches that are named like one but hold most of the host's text (spared true)."""
-    low = (F.col("m") >= WEAK) & (F.col("importance") < least) & (F.col("seen") * 2 > F.col("m")) & ~F.col("holds") & (F.col("once") <= 0.5)
+    low = (F.col("importance") < least) & (F.col("seen") * 2 > F.col("m")) & ~F.col("holds") & (F.col("once") <= 0.5)
     spared = F.col("named") & (F.col("share") > most_share)
     return tree.where(low | spared).select("host", "node", (spared & ~low).alias("spared"), (F.col("seen") < WEAK).alias("weak"))
 

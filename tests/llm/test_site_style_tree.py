@@ -60,3 +60,13 @@ def test_copies_keep_their_article(spark):
     assert texts(spark, [page(k, "one" if k < 12 else "two") for k in range(20)]) == [want("one")] * 12 + [want("two")] * 8
     plain = [(f"http://d.example.com/{k}", f"<body><div class=top>Our shop</div><div class=box><p>{'same words ' * 9}</p></div><div class=count>{k} reads</div></body>") for k in range(12)]
     assert all(" ".join(["same words"] * 9) in t for t in texts(spark, plain))
+
+
+def test_small_hosts_and_sections(spark):
+    def page(k, section="box"):
+        return f"<body><div class=top>Welcome to our shop</div><div class={section}><p>Story {k} about {k * 7}</p><p>More of {k}</p><div class=hint>Read it well</div></div><div class=end>All rights reserved</div></body>"
+
+    want = lambda k: f"Story {k} about {k * 7}\nMore of {k}"
+    for n in (2, 3, 7):
+        assert texts(spark, [page(k) for k in range(n)]) == [want(k) for k in range(n)]
+    assert texts(spark, [page(k, "box" if k < 25 else "east") for k in range(30)]) == [want(k) for k in range(30)]
