@@ -50,19 +50,41 @@ def archive(spark, source: str, root: str, origin: str, month: str, sha256: str)
     return to
 
 
-def workbook(sheets: dict[str, DataFrame], path: str, most_rows: int = 20_000) -> str:
-    """A workbook with one sheet a report, streamed row by row; without openpyxl, a folder of CSV reports."""
+#: The most rows of a sheet, where it has a limit: the ledger-only one, whose complete CSV lies beside the workbook.
+SHEET_ROWS = {"Sistema sem Banco": 20_000}
+_EXCEL_ROWS = 1_048_576
+
+
+def workbook(sheets: dict[str, DataFrame], path: str, most_rows: dict[str, int] | None = None) -> str:
+    """A workbook with one sheet a report, streamed row by row; without openpyxl, a folder of whole CSV reports. A sheet
+    in most_rows (SHEET_ROWS if None) that has more rows is cut there, with the complete CSV in {path}.csv/name and a
+    sheet of notes; others go on in further sheets where Excel's rows end."""
+    most_rows = SHEET_ROWS if most_rows is None else most_rows
     try:
         import openpyxl
     except ImportError:
         for name, df in sheets.items():
-            report_csv(df.limit(most_rows), f"{path}/{name}")
+            report_csv(df, f"{path}/{name}")
         return "csv"
-    book = openpyxl.Workbook(write_only=True)
+    book, notes = openpyxl.Workbook(write_only=True), []
     for name, df in sheets.items():
-        sheet = book.create_sheet(name)
-        sheet.append(df.columns)
-        for row in df.limit(most_rows).toLocalIterator():
+        most, n, sheet, part = most_rows.get(name), 0, None, 0
+        for row in (df if most is None else df.limit(most + 1)).toLocalIterator():
+            if n == most:
+                report_csv(df, f"{path}.csv/{name}")
+                notes.append(f"A aba {name} foi limitada a {most} linhas no Excel; o CSV completo fica em {path}.csv/{name}.")
+                break
+            if sheet is None or n % (_EXCEL_ROWS - 1) == 0:
+                part += 1
+                sheet = book.create_sheet(name if part == 1 else f"{name[:26]} ({part})")
+                sheet.append(df.columns)
             sheet.append(list(row))
+            n += 1
+        if sheet is None:
+            book.create_sheet(name).append(df.columns)
+    if notes:
+        sheet = book.create_sheet("Observacao")
+        for x in notes:
+            sheet.append([x])
     book.save(path)
     return "xlsx"

@@ -142,6 +142,36 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.workbook({"x": df}, str(tmp_path / "w.xlsx")) in ("csv", "xlsx")
 
 
+def test_workbook_limits_only_the_ledger_only_sheet(spark, tmp_path, monkeypatch):
+    import sys
+    from types import SimpleNamespace
+
+    n, books = 20_003, []
+    sheets = {"Conciliados": spark.range(n), "Sistema sem Banco": spark.range(n), "Duplicidades": spark.range(0)}
+    read = lambda p: spark.read.option("sep", ";").option("header", True).csv(str(p)).count()
+    monkeypatch.setitem(sys.modules, "openpyxl", None)
+    assert sinks.workbook(sheets, str(tmp_path / "c")) == "csv"
+    assert [read(tmp_path / "c" / x) for x in ("Conciliados", "Sistema sem Banco")] == [n, n]
+
+    class Book(dict):
+        def __init__(self, write_only):
+            books.append(self)
+
+        def create_sheet(self, name):
+            return self.setdefault(name, [])
+
+        def save(self, path):
+            pass
+
+    monkeypatch.setitem(sys.modules, "openpyxl", SimpleNamespace(Workbook=Book))
+    assert sinks.workbook(sheets, str(tmp_path / "w.xlsx")) == "xlsx"
+    assert {k: len(v) for k, v in books[0].items()} == {"Conciliados": n + 1, "Sistema sem Banco": 20_001, "Duplicidades": 1, "Observacao": 1}
+    assert read(tmp_path / "w.xlsx.csv" / "Sistema sem Banco") == n
+    monkeypatch.setattr(sinks, "_EXCEL_ROWS", 11)
+    sinks.workbook({"x": spark.range(25)}, str(tmp_path / "x.xlsx"))
+    assert {k: len(v) for k, v in books[1].items()} == {"x": 11, "x (2)": 11, "x (3)": 6}
+
+
 def test_stream_is_idempotent(spark, sf, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
