@@ -1,8 +1,9 @@
 """LM scoring: a gated recurrent language model with class-factored output, in numpy.
 
 Words are counted over all training documents (in shards of the hash space; a task sends each word once).
-The model's symbols are the end, the `head` most frequent words, and tail classes: all other words by the
-octave of their count, unseen words in a class of their own. A word's probability is that of its class
+The model's symbols are the end, all words of at least LEAST occurrences (the `head` most frequent ones in any
+case), in classes near the square root of their number, and tail classes: the rare words by the octave of their
+count, unseen words in a class of their own. So what is learned grows with the corpus. A word's probability is that of its class
 given the state, times that of its symbol within the class given the state, times, for tail classes, its
 smoothed share of the class. So the model is a proper distribution over the words seen in training and one
 unseen outcome, like the base. A tail word is trained as if its own occurrence were left out of its count,
@@ -18,6 +19,7 @@ as ''. Extra columns are not carried; an empty table gives an empty result. 64-b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +30,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm import _text
 from tallyforge.llm._spark import parts_for, release, small_batches, text_bytes, written
 
-HEAD, HIDDEN, LANES, STEPS, ROUNDS = 2000, 24, 512, 48, 2
+HEAD, LEAST, HIDDEN, LANES, STEPS, ROUNDS = 2000, 64, 24, 512, 48, 2
 TAILS = 44
-GROUP = 44
 SLICES = 16
 END_HASH = np.uint64(0xE0F0E0F0E0F0E0F1)
 
@@ -56,6 +57,7 @@ class Vocabulary:
             np.subtract.at(self.types, k, 1)
             np.subtract.at(self.mass, k, self.head)
         self.size = len(head) + TAILS
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
 
     def symbols(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Tail classes first, then head words."""
@@ -68,7 +70,7 @@ class Vocabulary:
 
     def classes(self) -> np.ndarray:
         """Class of each symbol: a tail class is its own; the end and head words by frequency."""
-        return np.concatenate([np.arange(TAILS), TAILS + np.arange(len(self.head)) // GROUP])
+        return np.concatenate([np.arange(TAILS), TAILS + np.arange(len(self.head)) // max(1, math.isqrt(len(self.head)))])
 
     def prior(self) -> np.ndarray:
         """Expected share of each symbol, tail words with their own occurrence left out of their counts."""
@@ -233,27 +235,36 @@ def _windows(symbols: list[np.ndarray], width: int) -> Iterator[tuple]:
 
 
 def train(model: Model, symbols: list[np.ndarray], state: tuple, width: int = LANES, rate: float = 0.01) -> None:
-    """One pass of truncated backpropagation (Adam); state: its two moments and the number of steps."""
+    """One pass of truncated backpropagation (Adam; of the input gates only the rows of symbols in the window move);
+    state: its two moments and the number of steps."""
     m, v, k = state
-    h = None
+    h, grad = None, np.zeros_like(model.flat)
+    z, shape = model.at["w_in"][1:]
+    inputs = [a[:z].reshape(shape) for a in (grad, m, v, model.flat)]
+    others = [a[z:] for a in (grad, m, v, model.flat)]
     for _, x, fresh, y, live in _windows(symbols, width):
         if h is None:
             h = np.zeros((x.shape[1], model.h), np.float32)
         hs, tape = model.forward(x, fresh, h)
-        grad = np.zeros_like(model.flat)
         keep = live.ravel()
         flat = hs.reshape(-1, model.h)
         dh = np.zeros_like(flat)
         _, dh[keep] = model.outputs(flat[keep], y.ravel()[keep], grad)
         model.backward(x, tape, dh.reshape(hs.shape), grad)
-        grad /= max(1, keep.sum())
-        norm = float(np.sqrt((grad * grad).sum()))
+        used = np.unique(x)
+        inner = inputs[0][used]
+        scale = 1 / max(1, keep.sum())
+        norm = scale * float(np.sqrt((inner * inner).sum() + (others[0] * others[0]).sum()))
         if norm > 1:
-            grad /= norm
+            scale /= norm
         k[0] += 1
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        model.flat -= rate / (1 + k[0] / 400) * (m / (1 - 0.9 ** k[0])) / (np.sqrt(v / (1 - 0.99 ** k[0])) + 1e-8)
+        step, over = rate / (1 + k[0] / 400) / (1 - 0.9 ** k[0]), 1 - 0.99 ** k[0]
+        for (g, a, b, w), at in ((others, slice(None)), (inputs, used)):
+            d = g[at] * np.float32(scale)
+            a[at] += 0.1 * (d - a[at])
+            b[at] += 0.01 * (d * d - b[at])
+            w[at] -= step * a[at] / (np.sqrt(b[at] / over) + 1e-8)
+            g[at] = 0
         h = hs[-1]
 
 
@@ -310,7 +321,7 @@ def counted(docs: DataFrame, shards: int, head: int) -> tuple[DataFrame, Vocabul
         cut = np.split(c[at], np.cumsum([len(w) for w in words])[:-1])
         k = tail_class(c)
         types, mass = np.bincount(k, weights=c > 0, minlength=TAILS), np.bincount(k, weights=c, minlength=TAILS)
-        top = np.lexsort((kinds, -c))[:head]
+        top = np.lexsort((kinds, -c))[: max(head, int((c >= LEAST).sum()))]
         top = top[c[top] > 0]
         n = len(words)
         kind = "<u4" if c.max(initial=0) < 1 << 32 else "<u8"
@@ -331,9 +342,18 @@ def counted(docs: DataFrame, shards: int, head: int) -> tuple[DataFrame, Vocabul
     # The octave from which on there are enough words: what is below it in a shard can't be among the first.
     enough = np.flatnonzero(np.cumsum(z("t")[::-1])[::-1] >= head)
     k = int(enough[-1]) if len(enough) else 0
-    least = k if k < 4 else 1 << (k - 2)
-    top = facts.select(F.explode(F.filter("top", lambda x: x["c"] >= least)).alias("t")).select("t.w", "t.c").orderBy(F.desc("c"), "w").limit(head).collect()
-    return got.where("bucket is not null").select("bucket", "shard", "counts"), Vocabulary(sums["n"] or 0, sums["v"] or 0, [(r["w"], r["c"]) for r in top], z("t"), z("m"))
+    least = min(LEAST, k if k < 4 else 1 << (k - 2))
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = b.column(0).flatten()
+            w, c = (got.field(x).to_numpy().astype("<i8") for x in ("w", "c"))
+            yield pa.record_batch([pa.array([w[c >= least].tobytes()], pa.binary()), pa.array([c[c >= least].tobytes()], pa.binary())], names=["w", "c"])
+
+    top = facts.select("top").mapInArrow(frequent, "w binary, c binary").collect()
+    w, c = (np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(r[x], "<i8") for r in top)]) for x in ("w", "c"))
+    best = np.lexsort((w, -c))[: max(head, int((c >= LEAST).sum()))]
+    return got.where("bucket is not null").select("bucket", "shard", "counts"), Vocabulary(sums["n"] or 0, sums["v"] or 0, list(zip(w[best].tolist(), c[best].tolist(), strict=True)), z("t"), z("m"))
 
 
 _ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail_score double, symbols binary, shifted binary"
@@ -356,7 +376,7 @@ def encoded(docs: DataFrame, replies: DataFrame, voc: Vocabulary, shards: int) -
         base = np.log10(c + 0.5) - below
         m = len(t)
         ends = np.cumsum(n)
-        tokens, shift = sym[at].astype("<u2"), moved[at]
+        tokens, shift = sym[at].astype(voc.kind), moved[at]
         return pa.table(
             [
                 t.column("doc_id"), t.column("held_out"), pa.array(n.astype(np.int64)), pa.array(np.bincount(r, weights=c[at] > 0, minlength=m).astype(np.int64)), pa.array(np.bincount(r, weights=base[at], minlength=m)), pa.array(np.bincount(r, weights=tail[at], minlength=m)),
@@ -368,12 +388,12 @@ def encoded(docs: DataFrame, replies: DataFrame, voc: Vocabulary, shards: int) -
     return docs.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(lambda a, b: run(a, b), _ENCODED)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], tokens: int = 1 << 23) -> Iterator[pa.Table]:
+def _blocks(batches: Iterator[pa.RecordBatch], kind: str, tokens: int = 1 << 23) -> Iterator[pa.Table]:
     """Runs of batches of about so many tokens: the more, the more documents run side by side."""
     held, n = [], 0
     for b in batches:
         held.append(b)
-        n += b.column("symbols").nbytes // 2
+        n += b.column("symbols").nbytes // np.dtype(kind).itemsize
         if n >= tokens:
             yield pa.Table.from_batches(held)
             held, n = [], 0
@@ -383,7 +403,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokens: int = 1 << 23) -> Iterato
 
 def fitted(table: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Each round trains on the training documents of its part, all of them after the last round."""
-    classes, prior = voc.classes(), voc.prior()
+    classes, prior, kind = voc.classes(), voc.prior(), voc.kind
     model = Model(classes, prior)
     for k in range(rounds):
         start = model.flat.copy()
@@ -392,20 +412,20 @@ def fitted(table: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
             own = Model(classes, prior)
             own.use(start.copy())
             state, seen = (np.zeros_like(start), np.zeros_like(start), [0]), 0
-            for t in _blocks(batches):
+            for t in _blocks(batches, kind):
                 docs = []
                 for s, m in zip(t.column("symbols").to_pylist(), t.column("shifted").to_pylist(), strict=True):
-                    s = np.frombuffer(s, "<u2")
+                    s = np.frombuffer(s, kind)
                     docs.append(s - np.unpackbits(np.frombuffer(m, np.uint8), count=len(s)))
                 if docs:
                     train(own, docs, state)
                     seen += sum(map(len, docs))
             if seen:
-                parts = np.array_split(own.flat.astype(np.float64) * seen, SLICES)
+                parts = np.array_split(own.flat, SLICES)
                 yield pa.record_batch([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([seen] * SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "seen", "w"])
 
         def add(t: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float64) for x in t.column("w").to_pylist())
+            total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) * n for x, n in zip(t.column("w"), t.column("seen").to_pylist(), strict=True))
             return pa.table([t.column("slice").slice(0, 1), pa.array([sum(t.column("seen").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slice", "seen", "w"])
 
         schema = "slice int, seen long, w binary"
@@ -429,13 +449,13 @@ def lm_score(docs: DataFrame, head: int = HEAD) -> tuple[DataFrame, Model]:
     table = written(encoded(rows, replies, voc, n), "encoded")
     release(spark)
     model = fitted(table, voc)
-    flat, classes, prior, total = model.flat, voc.classes(), voc.prior(), voc.n
+    flat, classes, prior, total, kind = model.flat, voc.classes(), voc.prior(), voc.n, voc.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(classes, prior)
         own.use(flat)
-        for t in _blocks(batches):
-            got = score(own, [np.frombuffer(s, "<u2") for s in t.column("symbols").to_pylist()]) / np.log(10) if len(t) else np.zeros(0)
+        for t in _blocks(batches, kind):
+            got = score(own, [np.frombuffer(s, kind) for s in t.column("symbols").to_pylist()]) / np.log(10) if len(t) else np.zeros(0)
             out = pa.table([*(t.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(t), total, np.int64)), t.column("base_score"), pa.array(got + t.column("tail_score").to_numpy())], names=_OUT)
             yield from out.to_batches()
 

@@ -87,3 +87,12 @@ def test_distribution_is_proper_and_state_is_carried():
 
 def test_empty(spark):
     assert g.lm_score(docs_of(spark, ["a"]).where("false"))[0].count() == 0
+
+
+def test_frequent_words_are_head_words_whatever_their_number(spark):
+    texts = [" ".join(f"w{k}" for k in range(2500))] * 90 + ["rare word here"] * 3
+    table = docs_of(spark, texts).selectExpr("doc_id", "text", "false as held_out", "cast(doc_id % 3 as int) as bucket")
+    _, voc = g.counted(table, 3, g.HEAD)
+    assert len(voc.head) == 2501 and voc.head.min() == 90  # and the end
+    sizes = np.bincount(voc.classes())[g.TAILS :]
+    assert sizes.max() == 50 and len(sizes) == 51
