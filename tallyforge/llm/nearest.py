@@ -5,7 +5,8 @@ that the order by inner product is the order by angle), padded to a power of two
 rounds of random signs and fast Hadamard transforms; a hash is the signed axis of the largest coordinate.
 Each of several tables uses its own turn. A query looks into the buckets of its largest coordinates in
 every table (multiprobe), and what it finds is ranked again by exact inner products of the original
-vectors in double precision.
+vectors in double precision. Queries that find fewer than k so look into all cells: they get k vectors, or all
+candidates if there are fewer.
 
 Every vector is indexed; nothing is fitted but the largest norm. Buckets larger than `chunk` are dealt
 over several tasks, and so are their queries, so copies of one vector meet no single task. With one axis
@@ -86,13 +87,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
     turn = signs(tables, dim, seed)
     x = x.where(F.size("v") == d).withColumn("v", F.col("v"))
 
-    def codes(query: bool) -> callable:
+    def codes(query: bool, tables: int, n: int) -> callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not len(b):
                     continue
                 m = on_sphere(_matrix(b.column(1), d), largest, query, dim)
-                n = probes if query else 1
                 for t in range(tables):
                     got = axes(turned(m, turn[t]), n) + t * 2 * dim
                     idx = pa.array(np.repeat(np.arange(len(b)), n))
@@ -101,16 +101,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
         return run
 
     schema = "cell int, id long, v array<double>"
-    index = written(x.select("id", "v").mapInArrow(codes(False), schema), "index")
+    index = written(x.select("id", "v").mapInArrow(codes(False, tables, 1), schema), "index")
     asked = x.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    asked = written(asked.mapInArrow(codes(True), schema), "queries")
-    # At most tables * 2 * dim cells.
-    n_index = index.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("ni"))
-    n_asked = asked.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("nq"))
-    grid = F.broadcast(n_index.join(n_asked, "cell"))
-    left = index.join(grid, "cell").withColumn("ci", F.pmod(F.xxhash64("id"), F.col("ni")).cast("int")).withColumn("cq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("cell", "ci", "cq", "id", "v")
-    right = asked.join(grid, "cell").withColumn("cq", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int")).withColumn("ci", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).select("cell", "ci", "cq", "id", "v")
-
     def rank(ids: np.ndarray, m: np.ndarray, qid: int, q: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact scores of what may be among the k best, each summed alike, so that copies tie."""
         ok = np.flatnonzero(ids != qid)
@@ -143,13 +135,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
                     out_s.append(s.tolist())
         return pa.table([pa.array(out_q, pa.int64()), pa.array(out_i, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
 
-    # A slot is one chunk of a cell met with one chunk of its queries; a task gets whole slots.
-    slot = F.xxhash64("cell", "ci", "cq").alias("slot")
-    n_parts = max(parallelism(spark), tables * 2 * dim // 32)
-    part = F.pmod(F.xxhash64("slot"), F.lit(n_parts)).alias("part")
-    dealt = lambda df: df.select(slot, "id", "v").withColumn("part", part).groupBy("part")
-    found = dealt(left).cogroup(dealt(right)).applyInArrow(meet, "query_id long, ids array<long>, scores array<double>")
-
     def merge(t: pa.Table) -> pa.Table:
         n = np.array([len(v) for v in t.column("ids").to_pylist()])
         q = np.repeat(t.column("query_id").to_numpy(), n)
@@ -163,5 +148,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABL
         top = r < k
         return pa.table([pa.array(q[top]), pa.array((r[top] + 1).astype(np.int32)), pa.array(i[top]), pa.array(s[top])], names=["query_id", "rank", "vec_id", "score"])
 
-    n = 4 * parallelism(spark)
-    return found.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("part")).applyInArrow(lambda t: merge(t), "query_id long, rank int, vec_id long, score double")
+    n_merge = 4 * parallelism(spark)
+
+    def probed(index: DataFrame, asked: DataFrame) -> DataFrame:
+        """The k best of what the queries' cells hold."""
+        # At most tables * 2 * dim cells.
+        n_index = index.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("ni"))
+        n_asked = asked.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("nq"))
+        grid = F.broadcast(n_index.join(n_asked, "cell"))
+        left = index.join(grid, "cell").withColumn("ci", F.pmod(F.xxhash64("id"), F.col("ni")).cast("int")).withColumn("cq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("cell", "ci", "cq", "id", "v")
+        right = asked.join(grid, "cell").withColumn("cq", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int")).withColumn("ci", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).select("cell", "ci", "cq", "id", "v")
+        # A slot is one chunk of a cell met with one chunk of its queries; a task gets whole slots.
+        slot = F.xxhash64("cell", "ci", "cq").alias("slot")
+        n_parts = max(parallelism(spark), tables * 2 * dim // 32)
+        part = F.pmod(F.xxhash64("slot"), F.lit(n_parts)).alias("part")
+        dealt = lambda df: df.select(slot, "id", "v").withColumn("part", part).groupBy("part")
+        found = dealt(left).cogroup(dealt(right)).applyInArrow(meet, "query_id long, ids array<long>, scores array<double>")
+        return found.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_merge)).alias("part")).applyInArrow(lambda t: merge(t), "query_id long, rank int, vec_id long, score double")
+
+    best = written(probed(index, written(asked.mapInArrow(codes(True, tables, probes), schema), "queries")), "found")
+    # Queries that found fewer than k look into all cells of one table, which hold every vector once.
+    short = written(asked.join(best.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti").select("id", "v"), "short")
+    if short.isEmpty():
+        return best
+    rest = probed(index.where(F.col("cell") < 2 * dim), written(short.mapInArrow(codes(True, 1, 2 * dim), schema), "queries"))
+    return best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)

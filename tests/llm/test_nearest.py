@@ -49,3 +49,15 @@ def test_bad_vectors_norms_and_ties(spark):
             assert mine[0] == min(i for i in range(300, 360) if i != q) or w[0][0] < 300
     assert hits >= 0.97 * 20 * len(want) and not {r["vec_id"] for r in got} & set(range(900, 906))
     assert nearest.search(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_small_tables_give_all_candidates(spark):
+    for n in (5, 21, 25):
+        m = np.random.default_rng(n).normal(size=(n, 64))
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in sorted(nearest.search(df, F.lit(True)).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        want = exact(np.arange(n), m, every=1)
+        assert all(len(w) == min(20, n - 1) for w in want.values())
+        assert all(got[q] == [i for i, _ in want[q]] for q in want if n < 22) and {len(x) for x in got.values()} == {min(20, n - 1)} and len(got) == n
