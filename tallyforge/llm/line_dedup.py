@@ -1,4 +1,4 @@
-"""Line dedup: suffix array over line sequences by distributed prefix doubling.
+"""Line dedup: ranks of line suffixes by distributed prefix doubling, as far as the threshold.
 
 Lines are the pieces between newlines; blank lines (white space only) take no part and always stay. Each
 distinct line gets an id, and a document is its sequence of ids. Suffixes are ranked by their first line,
