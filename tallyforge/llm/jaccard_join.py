@@ -271,7 +271,8 @@ def _buckets(t: pa.Table) -> pa.Table:
 
 def _blobs(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """node, n, bits, grams of one row of each node in reps (node, rep: a row's id or null)."""
-    one = docs.join(reps.withColumnRenamed("rep", "doc_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = reps.select(F.col("rep").alias("_rep")).distinct()
+    one = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

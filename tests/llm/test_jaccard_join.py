@@ -89,3 +89,15 @@ def test_pigeonhole_holds_for_every_allocation():
 
 def test_empty(spark):
     assert j.join(docs_of(spark, ["a"]).where("false"))[0].count() == 0
+
+
+def test_sets_of_null_ids_link(spark):
+    a = [f"w{k}" for k in range(100)]
+    b = a[:94] + [f"x{k}" for k in range(6)]
+    c = [f"y{k}" for k in range(6)] + b[6:]
+    d = [f"z{k}" for k in range(100)]
+    data = [(1, a), (None, b), (3, c), (None, d), (None, [*d[:-1], "end"]), (3, d[:50])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string")
+    got, links = j.join(df)
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got.collect()) == [(0, 0), (0, 0), (0, 1), (1, 1), (3, 1), (3, 3)]
+    assert links.count() == 3
