@@ -9,9 +9,11 @@ each; these residuals meet again in the next level of a reduction tree until one
 which is rounded by itself. So a source misses its target by less than one document.
 
 All draws come from hashes of source, group and seed: reruns agree. Null source is a source of its own,
-after all others. Null and empty texts have size 0: they are taken once for each whole copy and never
-count. Repeated rows and ids are documents of their own. Extra columns are not carried. An empty table
-gives an empty result.
+after all others; a null id is an id like others. Null and empty texts have size 0: they are taken once for
+each whole copy and never count; where all texts are empty, all targets are 0 and each document is taken once.
+Whole texts are counted, however long. Repeated rows and ids are documents of their own; rows equal in id,
+source and size tie, and which of them is taken more often has no meaning. Other columns, whatever their names,
+are not carried. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +44,14 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(run, "doc_id long, source string, size long")
 
 
+def numbered(sized: DataFrame, block: int = 1024) -> DataFrame:
+    """Rows of sized with _nth: rows equal in id, source and size are told apart by number, so that they are
+    dealt over groups as others are. They are counted before the shuffle and written out again in blocks."""
+    n = sized.groupBy("doc_id", "source", "size").count()
+    at = n.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("count") - 1, F.lit(block))))
+    return at.withColumn("_nth", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (block - 1), F.col("count") - 1)))).drop("_from", "count")
+
+
 def ranked_sources(sized: DataFrame) -> DataFrame:
     """source, source_size, n_docs and rank (from 0, by code point, null last). The rank is counted
     within ranges of sources, so no task sees all of them."""
@@ -54,12 +64,12 @@ def targets(sources: DataFrame, weights: tuple[float, ...], max_repeat: float) -
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     s = written(sources.withColumn("_weight", w).withColumn("_limit", F.col("source_size") * float(max_repeat)), "targets")
     total = float(s.agg(F.sum("source_size")).first()[0] or 0)
-    rate = -1.0
-    while True:
+    rate = 0.0
+    while total > 0:  # each round that goes on fills one more source at least
         full = F.col("_limit") < F.col("_weight") * F.lit(rate)
         used, weight = s.agg(F.sum(F.when(full, F.col("_limit")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("_weight")))).first()
-        new = (total - (used or 0.0)) / weight if weight else rate
-        if new <= rate * (1 + 1e-12):
+        new = (total - used) / weight if weight else rate
+        if new <= rate + 1e-12 * total:
             break
         rate = new
     return s.withColumn("target", F.least(F.col("_limit"), F.col("_weight") * F.lit(rate))).drop("_weight", "_limit")
@@ -123,12 +133,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeat: flo
     other = src.select(F.col("source").alias("_source"), "source_size", "target", "n_docs")
     if (most[1] or 0) <= 100_000:
         other = F.broadcast(other)
-    rows = sized.join(other, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = numbered(sized).join(other, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0)
     want = F.when(F.abs(want - F.round(want)) < 1e-9, F.round(want)).otherwise(want)
     rows = rows.withColumn("copies", F.floor(want)).withColumn("p", want - F.floor(want))
     buckets = F.ceil(F.col("n_docs") / group)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), buckets)).drop("n_docs").withColumn("final", (F.col("size") == 0) | (F.col("p") == 0))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "_nth", F.lit(seed)), buckets)).drop("n_docs", "_nth").withColumn("final", (F.col("size") == 0) | (F.col("p") == 0))
     keep = [x.split()[0] for x in _LEVEL.split(", ")]
     done, open_, level, left = [rows.where("final").select(*keep)], rows.where("not final").select(*keep), 0, -(-(most[0] or 1) // group)
     while True:

@@ -70,3 +70,28 @@ def test_empty_and_all_null(spark):
     assert mixing.mix(df.where("false")).count() == 0
     got = mixing.mix(docs_of(spark, [None, ""], [None, "a"])).collect()
     assert [r["taken"] for r in got] == [0, 0]
+
+
+def test_null_and_repeated_ids_ties_and_other_columns(spark):
+    data = [(1, "a b c", "x")] * 3000 + [(None, "d e", "x")] * 40 + [(2, "w " * 5000, "y"), (2, "v", None), (None, None, None)] + [(3, "t t", "z")] * 900
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as _nth", "3 as bucket", "4 as `p.q`", "5 as target")
+    got = mixing.mix(df, group=64).collect()
+    assert len(got) == len(data)
+    size = defaultdict(int)
+    for _, t, s in data:
+        size[s] += len(words(t))
+    want, taken, largest = brute_targets(size), defaultdict(int), defaultdict(int)
+    for r in got:
+        assert r["source_size"] == size[r["source"]] and r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    assert all(abs(taken[s] - want[s]) <= largest[s] + 1e-6 for s in size)
+    again = mixing.mix(df.repartition(7), group=64).collect()
+    key = lambda r: (r["doc_id"] or 0, r["size"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_targets_are_exact_where_several_rounds_fill_sources(spark):
+    sources = ["a"] * 1 + ["b"] * 3 + ["c"] * 60 + ["d"] * 4 + ["e"] * 400
+    texts = ["w " * (k % 5 + 1) for k in range(len(sources))]
+    check(texts, sources, mixing.mix(docs_of(spark, texts, sources)).collect())
