@@ -10,15 +10,19 @@ its one-deletion neighbourhood. Cost decides twice: a band's number of segments,
 of skips from its number of sets and their length; a set's skipped segments from a sketch of how many sets
 hold each n-gram (all sets are counted).
 
-Sets that share a signature are candidates. A bucket first emits only pairs with its least node; these are
-verified exactly on the whole sets, the best-supported one of each node first, the others only if they
-may still join two components. Last, buckets whose nodes lie in several components compare the others, with
-parity bitmaps (whose distance never exceeds the difference of the sets) before the exact test. Links of
+Sets that share a signature are candidates, and two filters come before any set is sent: sizes, and parity
+bitmaps of 2 to 4 bits an n-gram, whose distance never exceeds the difference of the sets. A bucket first
+emits only pairs with its least node; those that pass are verified exactly on the whole sets, the nearest one
+of each node first, the others only if they may still join two components. Last, buckets whose nodes lie in
+several components compare the nodes outside the bucket's largest component with all others: buckets are
+dealt over tasks in chunks of nodes, each node tells its nearest one there, and what these tests leave apart
+is decided on the whole sets inside the tasks, which return only links that join components. Links of
 different sets are all found or implied by others; nothing is capped. 64-bit hashes stand for n-grams.
 
 Null and empty texts have no n-grams and link with nothing. Texts of fewer than n words are one n-gram.
-Rows with equal id are rows of their own; a null id is no component's smallest unless all are null. Extra
-columns are not carried; an empty table gives an empty result.
+Rows with equal id are rows of their own; a null id is no component's smallest unless all are null. Whole texts
+are taken, however long; ties do not matter, as components do not depend on the order of tests. Other columns,
+whatever their names, are not carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _text
-from tallyforge.llm._spark import parts_for, release, remove, small_batches, written
+from tallyforge.llm._spark import parts_for, remove, small_batches, written
 from tallyforge.llm.components import components
 
 SKETCH = 1 << 18
 SLICES = 64
-BITMAP = 1024
+CHUNK, CHUNK_GRAMS = 512, 1 << 22
 
 
 def distinct_grams(w: _text.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,26 +185,43 @@ def signatures(h: np.ndarray, first: np.ndarray, scheme: Scheme, sketch: np.ndar
     return np.concatenate(keys), np.concatenate(owner)
 
 
-def parity(h: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
+def bitmaps(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Of each set, the parity of its n-grams in a bitmap of the least power of two from twice their number on."""
+    n = np.diff(first)
+    bits = 1 << np.ceil(np.log2(np.maximum(2 * n, 128))).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(n)), n)
+    at = base[row] + ((h >> np.uint64(20)).astype(np.int64) & (bits[row] - 1))
+    odd = np.packbits((np.bincount(at, minlength=int(base[-1])) & 1).astype(np.uint8))
+    return [odd[a:z].tobytes() for a, z in zip(base[:-1] // 8, base[1:] // 8, strict=True)]
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap of `size` bytes (at most its own) of the same set, as 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, "<u8").reshape(-1, size // 8), axis=0)
+
+
+def most_apart(t: float, n: np.ndarray) -> np.ndarray:
+    """The largest difference of two sets of n n-grams together that link."""
+    return np.floor((1 - t) / (1 + t) * n + 1e-9)
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node of every row; and each task's sketch in SLICES rows (slice, counts)."""
+    """doc_id, n_shingles, node, bits of every row; and each task's sketch in SLICES rows (slice, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "node", "slice", "counts"]
+        names = ["doc_id", "n_shingles", "node", "bits", "slice", "counts"]
         got = np.zeros(SKETCH, np.int64)
         for b in batches:
             for lo, hi, w in _text.chunks(b.column(1), lower=True):
                 h, first = distinct_grams(w, n)
                 got += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(node_of(h, first)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
+                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(node_of(h, first)), pa.array(bitmaps(h, first), pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
         parts = got.reshape(SLICES, -1).astype("<u4")
         empty = pa.nulls(SLICES, pa.int64())
-        yield pa.record_batch([empty, empty, empty, pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+        yield pa.record_batch([empty, empty, empty, pa.nulls(SLICES, pa.binary()), pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, slice int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bits binary, slice int, counts binary")
 
 
 def _sketch(slices: DataFrame) -> np.ndarray:
@@ -242,13 +263,16 @@ def _signed(docs: DataFrame, n: int, scheme: Scheme, sketch: np.ndarray, shards:
                     here, at = np.unique(row[i], return_inverse=True)
                     kind = "<u2" if len(here) <= 1 << 16 else "<u4"
                     out.append((s, (key[i] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), at.astype(kind).tobytes(), nodes[here].astype("<i8").tobytes()))
+                if not out:  # sets of bands in which only equal sets link
+                    continue
                 yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "own", "nodes"])
 
     return docs.mapInArrow(run, "shard int, keys binary, own binary, nodes binary")
 
 
 def _buckets(t: pa.Table) -> pa.Table:
-    """Of a shard: star pairs (a, b, times) and the nodes of buckets of three or more, each list once."""
+    """Of a shard: star pairs (a, b, times), and buckets of three nodes or more, each once, in pieces of CHUNK
+    nodes (list, piece, nodes)."""
     key = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("keys").to_pylist()])
     lists = [np.frombuffer(x, "<i8") for x in t.column("nodes").to_pylist()]
     node = np.concatenate([x[np.frombuffer(o, "<u2" if len(x) <= 1 << 16 else "<u4")] for x, o in zip(lists, t.column("own").to_pylist(), strict=True)])
@@ -262,15 +286,46 @@ def _buckets(t: pa.Table) -> pa.Table:
     lead = np.repeat(node[start], n)
     other = np.ones(len(key), bool)
     other[start] = False
-    pairs = np.stack([lead[other], node[other]], 1)
-    pairs, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
-    lists = {node[s : s + k].astype("<i8").tobytes() for s, k in zip(start[n > 2], n[n > 2], strict=True)}
-    a, b = pairs[:, 0].tolist() + [None] * len(lists), pairs[:, 1].tolist() + [None] * len(lists)
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(times.tolist() + [0] * len(lists), pa.int64()), pa.array([None] * len(times) + list(lists), pa.binary())], names=["a", "b", "times", "nodes"])
+    a, b = lead[other], node[other]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+    times = np.diff(np.append(at, len(a)))
+    name = _text.mix(np.add.reduceat(_text.mix(node), start) + n.astype(np.uint64)).view(np.int64)
+    _, once = np.unique(name, return_index=True)
+    pieces = [(int(name[k]), p, node[start[k] + p * CHUNK : start[k] + min(n[k], (p + 1) * CHUNK)].astype("<i8").tobytes()) for k in once[n[once] > 2] for p in range(-(-int(n[k]) // CHUNK))]
+    none = [None] * len(at)
+    more = [None] * len(pieces)
+    return pa.table(
+        [
+            pa.array(a[at].tolist() + more, pa.int64()), pa.array(b[at].tolist() + more, pa.int64()), pa.array(times.tolist() + more, pa.int64()),
+            pa.array(none + [x[0] for x in pieces], pa.int64()), pa.array(none + [x[1] for x in pieces], pa.int32()), pa.array(none + [x[2] for x in pieces], pa.binary()),
+        ],
+        names=["a", "b", "times", "list", "piece", "nodes"],
+    )
+
+
+def _near(pairs: DataFrame, bits: DataFrame, t: float) -> DataFrame:
+    """a, b, times and far (the distance of their bitmaps) of the pairs that sizes and bitmaps let pass."""
+    up, down = round(t * 10000), 10000
+    one = bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    two = bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = np.zeros(len(b), np.int64)
+            for k, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                far[k] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
+            ok = pa.array(far <= most_apart(t, b.column("n").to_numpy()))
+            yield pa.record_batch([*(b.column(c).filter(ok) for c in ("a", "b", "times")), pa.array(far).filter(ok)], names=["a", "b", "times", "far"])
+
+    return both.select("a", "b", "times", (F.col("na") + F.col("nb")).alias("n"), "x", "y").mapInArrow(run, "a long, b long, times long, far long")
 
 
 def _blobs(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """node, n, bits, grams of one row of each node in reps (node, rep: a row's id or null)."""
+    """node, n, grams of one row of each node in reps (node, rep: a row's id or null)."""
     ids = reps.select(F.col("rep").alias("_rep")).distinct()
     one = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
 
@@ -278,14 +333,21 @@ def _blobs(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
         for b in batches:
             for _, _, w in _text.chunks(b.column(1), lower=True):
                 h, first = distinct_grams(w, n)
-                node = node_of(h, first)
-                parts = [h[a:z] for a, z in zip(first[:-1], first[1:], strict=True)]
-                yield pa.record_batch([pa.array(node), pa.array(np.diff(first)), pa.array([parity(x) for x in parts], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in parts], pa.binary())], names=["node", "n", "bits", "grams"])
+                grams = pa.array([h[a:z].astype("<u8").tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.record_batch([pa.array(node_of(h, first)), pa.array(np.diff(first)), grams], names=["node", "n", "grams"])
 
-    got = one.select("doc_id", "text").mapInArrow(run, "node long, n long, bits binary, grams binary")
+    got = one.select("doc_id", "text").mapInArrow(run, "node long, n long, grams binary")
     return got.join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def linked(x: np.ndarray, y: np.ndarray, t: float) -> bool:
+    """Whether two sets have a Jaccard of t or more."""
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return 10000 * same >= round(t * 10000) * (len(both) - same)
+
+
 def _verified(pairs: DataFrame, blobs: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) whose sets have at least Jaccard t: exact."""
     up, down = round(t * 10000), 10000
@@ -297,57 +359,86 @@ def _verified(pairs: DataFrame, blobs: DataFrame, t: float) -> DataFrame:
         for b in batches:
             ok = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(down * same >= up * (len(both) - same))
+                ok.append(linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), t))
             ok = pa.array(ok, pa.bool_())
             yield pa.record_batch([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _across(lists: DataFrame, labels: DataFrame, blobs: DataFrame, t: float, nearest: bool) -> DataFrame:
-    """Pairs in a bucket that lie in different components and may still link: all of them, or for each node
-    only the one whose bitmap is nearest."""
-    one = lists.select(F.xxhash64("nodes").alias("list"), F.explode("ids").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = one.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
-    rows = one.join(mixed, "list").join(blobs.select("node", "n", "bits"), "node")
+def _mixed(lists: DataFrame, labels: DataFrame, kinds: DataFrame) -> DataFrame:
+    """list, ca, co, node, label, other: buckets whose nodes lie in several components, dealt in chunks. A node
+    outside its bucket's largest component (other) meets every chunk ca of the bucket in its own chunk co of others."""
+    at = lists.join(labels, "node", "left").join(kinds.select("node", "n"), "node").select("list", "node", "n", F.coalesce("label", "node").alias("label"))
+    per = at.groupBy("list", "label").agg(F.count("*").alias("k"), F.sum("n").alias("grams"))
+    per = per.groupBy("list").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("top"), F.max("k").alias("top_k"), F.sum("k").alias("k"), F.sum("grams").alias("grams"))
+    per = per.where("labels > 1").select("list", "top", F.greatest(F.ceil(F.col("k") / CHUNK), F.ceil(F.col("grams") / CHUNK_GRAMS)).alias("parts"), F.greatest(F.ceil((F.col("k") - F.col("top_k")) / CHUNK), F.ceil((F.col("k") - F.col("top_k")) / F.col("k") * F.col("grams") / CHUNK_GRAMS)).alias("others"))
+    rows = at.join(per, "list")
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    whole = rows.withColumn("ca", mine("parts")).withColumn("co", each("others")).withColumn("other", F.lit(False))
+    other = rows.where("label <> top").withColumn("co", mine("others")).withColumn("ca", each("parts")).withColumn("other", F.lit(True))
+    columns = ["list", "ca", "co", "node", "label", "other"]
+    return whole.select(*columns).unionByName(other.select(*columns))
+
+
+def _passing(n: np.ndarray, label: np.ndarray, other: np.ndarray, bits: list[bytes], t: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, j, far): for each other i, the places j in the chunk of nodes of other components that it may link with."""
+    size = min(map(len, bits))
+    m = np.stack([folded(x, size) for x in bits])
+    whole = np.flatnonzero(~other)
+    for i in np.flatnonzero(other):
+        j = whole[label[whole] != label[i]]
+        j = j[np.minimum(n[j], n[i]) * 10000 >= np.maximum(n[j], n[i]) * round(t * 10000)]
+        far = np.bitwise_count(m[j] ^ m[i]).sum(1).astype(np.int64)
+        ok = far <= most_apart(t, n[j] + n[i])
+        if ok.any():
+            yield int(i), j[ok], far[ok]
+
+
+def _nearest(mixed: DataFrame, kinds: DataFrame, t: float) -> DataFrame:
+    """list, ca, co, node, label, other of the nodes that may link in their chunk, and for each other its nearest
+    there (near)."""
 
     def run(g: pa.Table) -> pa.Table:
-        node, label, n = (g.column(c).to_numpy() for c in ("node", "label", "n"))
-        order = np.argsort(n, kind="stable")
-        node, label, n = node[order], label[order], n[order]
-        bits = np.stack([np.frombuffer(x, "<u8") for x in g.column("bits").to_pylist()])[order]
-        left, right, who, least = [], [], np.full(len(n), -1), np.full(len(n), np.iinfo(np.int64).max)
-        for i in range(len(n) - 1):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] / t + 1e-9, "right"))
-            j = j[label[j] != label[i]]
-            if not len(j):
-                continue
-            far = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
-            ok = far <= np.floor((1 - t) / (1 + t) * (n[i] + n[j]) + 1e-9)
-            j, far = j[ok], far[ok]
-            if not len(j):
-                continue
-            if nearest:
-                k = int(far.argmin())
-                if far[k] < least[i]:
-                    least[i], who[i] = far[k], j[k]
-                closer = far < least[j]
-                least[j[closer]], who[j[closer]] = far[closer], i
-            else:
-                left.append(np.full(len(j), i))
-                right.append(j)
-        if nearest:
-            i = np.flatnonzero(who >= 0)
-            left, right = [i], [who[i]]
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return rows.groupBy("list").applyInArrow(run, "a long, b long").distinct()
+        node, label, other, n = (g.column(c).to_numpy() for c in ("node", "label", "other", "n"))
+        near, hit = np.zeros(len(node), np.int64), np.zeros(len(node), bool)
+        for i, j, far in _passing(n, label, other, g.column("bits").to_pylist(), t):
+            near[i], hit[i], hit[j] = node[j[far.argmin()]], True, True
+        g = g.select(["list", "ca", "co", "node", "label", "other"]).append_column("near", pa.array(near, mask=~(other & hit)))
+        return g.filter(pa.array(hit))
+
+    rows = mixed.join(kinds.select("node", "n", "bits"), "node")
+    return rows.groupBy("list", "ca", "co").applyInArrow(run, "list long, ca int, co int, node long, label long, other boolean, near long")
+
+
+def _decided(rows: DataFrame, labels: DataFrame, blobs: DataFrame, t: float) -> DataFrame:
+    """Links (a, b) that join components, of the nodes that may link in a chunk: exact, on whole sets."""
+
+    def run(g: pa.Table) -> pa.Table:
+        node, label, other, n = (g.column(c).to_numpy() for c in ("node", "label", "other", "n"))
+        grams = [np.frombuffer(x, "<u8") for x in g.column("grams").to_pylist()]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in grams])])
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        a, b = [], []
+        for i, j, far in _passing(n, label, other, bitmaps(np.concatenate(grams), first), t):
+            for k in j[np.argsort(far, kind="stable")]:
+                x, y = root(int(label[i])), root(int(label[k]))
+                if x != y and linked(grams[i], grams[k], t):
+                    up[max(x, y)] = min(x, y)
+                    a.append(min(node[i], node[k]))
+                    b.append(max(node[i], node[k]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    now = rows.drop("label", "near").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = now.groupBy("list", "ca", "co").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    return now.join(apart, ["list", "ca", "co"]).join(blobs, "node").groupBy("list", "ca", "co").applyInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, t: float = 0.85, n: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -358,51 +449,51 @@ def join(docs: DataFrame, t: float = 0.85, n: int = 4) -> tuple[DataFrame, DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = written(_sets(docs, n), "sets")
     sketch = _sketch(made.where("counts is not null").select("slice", "counts"))
-    rows = made.where("counts is null").select("doc_id", "n_shingles", "node")
-    kinds = rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    kinds = written(kinds, "nodes")
+    rows = made.where("counts is null").select("doc_id", "n_shingles", "node", "bits")
+    kinds = written(rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "nodes")
     # Sizes of sets: bounded by the longest text, not by the number of rows.
     counts = {r["n"]: r["count"] for r in kinds.groupBy("n").count().collect()}
     scheme = Scheme(t, counts, chance=shared_chance(sketch, sum(counts.values())))
-    grams = sum(k * v for k, v in counts.items())
-    shards = parts_for(spark, grams * 5)
+    shards = parts_for(spark, 5 * sum(k * v for k, v in counts.items()))
     signed = _signed(docs, n, scheme, sketch, shards).repartition(shards, "shard")
-    found = written(signed.groupBy("shard").applyInArrow(_buckets, "a long, b long, times long, nodes binary"), "buckets")
-    del signed
-    release(spark)
-    stars = written(found.where("a is not null").groupBy("a", "b").agg(F.sum("times").alias("times")), "stars")
-    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    blobs = written(_blobs(docs, kinds.join(ends, "node", "left_semi"), n), "grams")
-    release(spark)
-
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+    found = written(signed.groupBy("shard").applyInArrow(_buckets, "a long, b long, times long, list long, piece int, nodes binary"), "buckets")
+    stars = written(_near(found.where("a is not null").groupBy("a", "b").agg(F.sum("times").alias("times")), kinds, t), "stars")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return written(_blobs(docs, kinds.join(nodes.distinct(), "node", "left_semi").select("node", "rep"), n), "grams")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return written(components(links), "labels")
+
+    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node")))
+    blobs = sets_of(ends)
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct(-F.col("far"), "times", "a")).alias("a"))
     links = written(_verified(best, blobs, t), "links")
-    release(spark)
-    labels = written(components(links), "labels")
+    labels = labelled(links)
     other = stars.join(best, ["a", "b"], "left_anti").select("a", "b")
     for c in ("a", "b"):
         other = other.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
-    more = written(_verified(other.where("la <> lb"), blobs, t), "links")
-    links = links.unionByName(more)
-    release(spark)
-    labels = written(components(links), "labels")
-    lists = found.where("nodes is not null").select("nodes").distinct()
+    links = links.unionByName(written(_verified(other.where("la <> lb"), blobs, t), "links"))
+    labels = labelled(links)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([np.frombuffer(x, "<i8") for x in b.column(0).to_pylist()], pa.list_(pa.int64()))], names=["nodes", "ids"])
-
-    lists = written(lists.mapInArrow(opened, "nodes binary, ids array<long>"), "lists")
-    tested, done = stars.select("a", "b"), [blobs, found, lists]
-    for nearest in (True, False):  # what the nearest ones join needs no other test
-        across = written(_across(lists, labels, blobs, t, nearest).join(tested, ["a", "b"], "left_anti"), "across")
-        release(spark)
-        rest = written(_verified(across, blobs, t), "links")
-        release(spark)
-        links, tested, done = links.unionByName(rest), tested.unionByName(across), [*done, across]
-        if not rest.isEmpty():
-            labels = written(components(links), "labels")
-    for table in done:  # the result reads none of them
+            nodes = [np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]
+            for lo in range(0, len(nodes), 64):
+                part = nodes[lo : lo + 64]
+                yield pa.record_batch([b.column(0).take(pa.array(np.repeat(np.arange(lo, lo + len(part)), [len(x) for x in part]))), pa.array(np.concatenate(part))], names=["list", "node"])
+
+    lists = found.where("nodes is not null").select("list", "piece", "nodes").dropDuplicates(["list", "piece"]).drop("piece").mapInArrow(opened, "list long, node long")
+    near = written(_nearest(_mixed(lists, labels, kinds), kinds, t), "near")
+    sets = sets_of(near.select("node"))
+    pairs = near.where("near is not null").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()
+    links = links.unionByName(written(_verified(pairs.join(stars, ["a", "b"], "left_anti"), sets, t), "links"))
+    labels = labelled(links)
+    rest = written(_decided(near, labels, sets, t), "links")
+    if not rest.isEmpty():
+        links = links.unionByName(rest)
+        labels = labelled(links)
+    for table in (found, stars, blobs, near, sets):  # the result reads none of them
         remove(table)
     named = kinds.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))

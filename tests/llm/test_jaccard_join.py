@@ -101,3 +101,39 @@ def test_sets_of_null_ids_link(spark):
     got, links = j.join(df)
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got.collect()) == [(0, 0), (0, 0), (0, 1), (1, 1), (3, 1), (3, 3)]
     assert links.count() == 3
+
+
+def test_only_short_texts(spark):
+    texts = ["a b c d e", "a b c d e", "b a", "", None, "x y z w v u", "a b c d"] * 3
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.join(docs_of(spark, texts))[0].collect()}
+    n, c = brute(texts)
+    assert [got[k] for k in range(len(texts))] == list(zip(n, c))
+
+
+def test_bitmaps_never_tell_more_than_the_difference():
+    g = np.random.default_rng(3)
+    for n in (1, 60, 64, 65, 300, 5000):
+        x = np.sort(g.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.sort(np.concatenate([x[n // 10 :], g.integers(0, 1 << 63, n // 7 + 1).astype(np.uint64)]))
+        a, b = j.bitmaps(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+        size = min(len(a), len(b))
+        far = int(np.bitwise_count(j.folded(a, size) ^ j.folded(b, size)).sum())
+        assert far <= len(np.setxor1d(x, y)) and len(a) * 8 >= 2 * n
+        assert np.array_equal(j.folded(b, size), np.frombuffer(j.bitmaps(y, np.array([0, len(y)]))[0], "<u8").reshape(-1, size // 8)[0]) or len(b) > size
+
+
+def test_chunked_buckets_and_repeated_rows_match_brute_force(spark, monkeypatch):
+    """Chains of near copies, in chunks of three nodes; other columns; very long texts."""
+    monkeypatch.setattr(j, "CHUNK", 3)
+    r = random.Random(9)
+    texts = []
+    for g in range(4):
+        base = [f"{g}v{k}" for k in range(r.choice([40, 90]))]
+        for _ in range(45):
+            base = near(r, base, 1) if r.random() < 0.5 else base
+            texts.append(" ".join(near(r, base, r.choice([0, 1, 2, 3]))))
+    long = [f"L{k}" for k in range(60_000)]
+    texts += [" ".join(long), " ".join(long[3000:]), " ".join(long[9000:] + long[:50])] + texts[:20]
+    df = docs_of(spark, texts).selectExpr("*", "1 as node", "2 as bits", "3 as list", "4 as `a.b`")
+    got = {x["doc_id"]: x["component_id"] for x in j.join(df)[0].collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts)[1]
