@@ -41,6 +41,11 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def keyed(df: DataFrame, name: str = "_row") -> DataFrame:
+    """df, written, with a number of its own for each row: decisions on repeated and null ids go by it."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ from tallyforge.llm._spark import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    got = line_dedup.dedup(table(spark, sf_dir, "documents"), min_words=line_dedup.PASSAGE_WORDS)
     return got.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
