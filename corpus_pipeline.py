@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
-from tallyforge.llm._spark import table, written
+from tallyforge.llm._spark import keyed, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,24 +24,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: later copies of repeated line runs are cut; documents of which nothing but copies was
-    left are dropped."""
-    got = line_dedup.dedup(docs.select(*COLUMNS))
+    """Operator 1: later copies of repeated line runs, and of single lines of more than 50 words, are cut;
+    documents of which nothing but copies was left are dropped."""
+    got = line_dedup.dedup(docs.select(*COLUMNS), min_words=line_dedup.PASSAGE_WORDS)
     return got.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8 with five-word shingles and Jaccard of 0.8: one document of each group stays, the one
-    with the smallest id. Documents without words are in no group and stay."""
-    rows, _ = jaccard_join.join(docs, t=0.8, n=5)
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """Operator 8 with five-word shingles and Jaccard of 0.8: one row of each group stays, that with the
+    smallest id (null after all others). Documents without words are in no group and stay. Rows are told
+    apart by a number of their own, as ids may repeat."""
+    docs = keyed(docs.select(*COLUMNS))
+    rows, _ = jaccard_join.join(docs.select(F.col("_row").alias("doc_id"), "text"), t=0.8, n=5)
+    rows = rows.select(F.col("doc_id").alias("_row"), "component_id").join(docs.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row")
+    kept = rows.groupBy("component_id").agg(first).select("_row")
+    return docs.join(kept.hint("merge"), "_row", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: whole documents, as often as the mix takes them."""
-    got = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(got.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*COLUMNS)
+    """Operator 3: whole documents, as often as the mix takes them, row by row."""
+    docs = keyed(docs.select(*COLUMNS))
+    got = mixing.mix(docs.select(F.col("_row").alias("doc_id"), "source", "text")).where("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
+    return docs.join(got.hint("merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
