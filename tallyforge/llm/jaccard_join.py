@@ -84,8 +84,8 @@ class Band:
 class Scheme:
     """Bands of sizes for threshold t: sets that may link are in the same or in neighbouring bands."""
 
-    def __init__(self, t: float, counts: dict[int, int], key_cost: float = 1.0, pair_cost: float = 10.0, chance: float = 0.02):
-        self.t, self.chance = t, chance
+    def __init__(self, t: float, counts: dict[int, int], key_cost: float = 1.0, pair_cost: float = 3.0, chance: float = 0.02, common: float = 0.0):
+        self.t, self.chance, self.common = t, chance, common
         self.edges = [1]
         top = max(counts, default=1)
         while self.edges[-1] <= top:
@@ -105,21 +105,20 @@ class Scheme:
             return None  # only equal sets can link, and they are one node
         best = (math.inf, None)
         for double in sorted({0, 1, (u + 1) // 2, (u + 2) // 2}):
-            for e in sorted({0, 1, 2, *(round(u * x) for x in (0.05, 0.1, 0.15))}):
+            for e in sorted({round(u * x) + more for x in (0, 0.05, 0.1, 0.2) for more in (0, 1, 2, 3, 5, 8)}):
                 m = u + 1 - double + 2 * e
                 if m < 1 or double > m or e > m - double:
                     continue
                 lam = size / m
                 keys = (m - e) + double * lam
-                chance = [math.exp(-lam) * lam**j / math.factorial(j) for j in range(12)]
-                left = e / max(1, m - double)  # the smallest are skipped
-                same = 0.0
-                for j, p in enumerate(chance):
-                    gone = min(p, left)
-                    left -= gone
-                    same += (p - gone) * self.chance**j
-                pairs = sets * sets / 2 * ((m - double) * same + double * lam * self.chance ** max(1, lam - 1))
-                cost = sets * keys * key_cost + pairs * pair_cost
+                # Segments without a rare n-gram agree by themselves (a set keeps those beyond its skips), and
+                # so do segments of weight 2 with at most one: they make large buckets of unlike sets.
+                rare = lam * (1 - self.common)
+                bare = excess((m - double) * math.exp(-rare), e) / max(1, m - double)
+                large = (m - double) * bare * bare + double * (math.exp(-rare) * (1 + rare)) ** 2
+                same = sum(math.exp(-lam) * lam**j / math.factorial(j) * self.chance**j for j in range(1, 12))
+                alike = (m - double) * same + double * lam * self.chance ** max(1, lam - 1)
+                cost = sets * keys * key_cost + sets * sets / 2 * pair_cost * (alike + 100 * large)
                 if cost < best[0]:
                     best = (cost, Band(m, double, e))
         return best[1]
@@ -128,6 +127,18 @@ class Scheme:
         return np.searchsorted(self.edges, n, "right") - 1
 
 
+def excess(mean: float, e: int) -> float:
+    """The expected number beyond e of events that come by this mean (Poisson)."""
+    top = int(mean + 12 * math.sqrt(mean) + 20)
+    return sum((k - e) * math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(e + 1, max(top, e + 20))) if mean > 0 else 0.0
+
+
+def common_share(sketch: np.ndarray, sets: int, often: float = 0.005) -> float:
+    """The share of n-grams that more than `often` of all sets hold, by the sketch."""
+    c = sketch - sketch.mean()
+    return float(np.clip(c[c > max(2.0, often * sets)].sum() / max(1.0, sketch.sum()), 0, 0.5))
+
+
 def shared_chance(sketch: np.ndarray, sets: int) -> float:
     """The chance that a set holds an n-gram drawn from another, less what the sketch adds by collisions."""
     c = sketch.astype(float)
@@ -453,7 +464,8 @@ def join(docs: DataFrame, t: float = 0.85, n: int = 4) -> tuple[DataFrame, DataF
     kinds = written(rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "nodes")
     # Sizes of sets: bounded by the longest text, not by the number of rows.
     counts = {r["n"]: r["count"] for r in kinds.groupBy("n").count().collect()}
-    scheme = Scheme(t, counts, chance=shared_chance(sketch, sum(counts.values())))
+    sets = sum(counts.values())
+    scheme = Scheme(t, counts, chance=shared_chance(sketch, sets), common=common_share(sketch, sets))
     shards = parts_for(spark, 5 * sum(k * v for k, v in counts.items()))
     signed = _signed(docs, n, scheme, sketch, shards).repartition(shards, "shard")
     found = written(signed.groupBy("shard").applyInArrow(_buckets, "a long, b long, times long, list long, piece int, nodes binary"), "buckets")
