@@ -7,8 +7,10 @@ counts are solved by non-negative least squares against the histogram and rounde
 get their places by rank within their length. What is left is packed greedily, one remainder after the
 other, cut where a sequence is full.
 
-Null and empty texts are the end id alone. Repeated rows and ids, and null ids, are packed row by row.
-Other columns are not carried; an empty table gives an empty result.
+Null and empty texts are the end id alone; whole texts are taken, however long. Special tokens written in a text
+are their own ids. Repeated rows and ids, and null ids, are packed row by row; equal lengths tie, and which of
+them shares a sequence with which has no meaning. Other columns, whatever their names, are not carried; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,41 +29,39 @@ from tallyforge.llm._spark import small_batches, written
 WINDOW = 2048
 END_ID = 1
 CACHE = 400_000
-#: Next to such spaces, pieces of the pattern may reach over the space.
-_ODD = re.compile(r"\s\s|^\s|\s$")
 
 
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Ids(dict):
     """Ids of texts as little-endian 32-bit bytes. A single space between two other characters always
-    begins a piece of the pattern, so ' word' is encoded once and looked up after that."""
+    begins a piece of the pattern, so ' word' is encoded once and looked up after that; texts that hold a special
+    token of the vocabulary are encoded whole, and the token is its own id there."""
 
     def __init__(self, path: str):
-        import base64
+        from tokenizers import Tokenizer
 
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        special = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        # Next to such spaces, pieces of the pattern may reach over the space.
+        self.odd = re.compile("|".join([r"\s\s|^\s|\s$", *special]))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = got = np.array(self.encode(" " + word), "<u4").tobytes()
+        self[word] = got = self.encode(" " + word)
         return got
 
     def of(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
+        if self.odd.search(text):
+            return self.encode(text)
         first, _, rest = text.partition(" ")
-        head = np.array(self.encode(first), "<u4").tobytes()
+        head = self.encode(first)
         return head + b"".join(map(self.__getitem__, rest.split(" "))) if rest else head
 
 

@@ -11,7 +11,6 @@ from tallyforge.llm import packing
 
 def check(texts, pieces, window=2048):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {k: np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4") for k, x in enumerate(texts)}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -58,3 +57,14 @@ def test_least_squares_uses_combinations(spark):
 
 def test_empty(spark):
     assert packing.pack(docs_of(spark, ["a"]).where("false")).count() == 0
+
+
+def test_special_tokens_null_and_repeated_ids_and_other_columns(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>y " * 900, "<|endoftext", "plain text", None]
+    check(texts, packing.pack(docs_of(spark, texts).selectExpr("*", "1 as uid", "2 as rem", "3 as start", "4 as `a.b`")).collect())
+    got = packing.pack(docs_of(spark, texts[:1])).collect()
+    assert got[0]["doc_tokens"] == 5
+    same = spark.createDataFrame([(None, "a b"), (None, "a b"), (7, "a b c"), (7, "w " * 5000)], "doc_id long, text string")
+    pieces = packing.pack(same).collect()
+    assert sum(p["length"] for p in pieces if p["doc_id"] is None) == 2 * sum({p["doc_tokens"] for p in pieces if p["doc_id"] is None})
+    assert sum(p["length"] for p in pieces if p["doc_id"] == 7) == sum({p["doc_tokens"] for p in pieces if p["doc_id"] == 7})
