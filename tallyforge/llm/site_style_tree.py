@@ -1,24 +1,29 @@
 """HTML extraction by site style trees.
 
 Pages of one host are merged into a tree of style nodes: a node is the path of structural elements, each
-with its tag, class, id and role. Every node gathers, over all pages of the host, its pages, text and
-distinct contents. Content importance of a node is 1 less the mean entropy of its contents over the
-pages that have the node's parent (a text on every page has entropy near 1, a text of one page 0; the fewer
-pages, the more of the contents must repeat, and inside articles still more); presentation importance comes
-from the element itself: navigation, footers, side parts, forms, notices, adverts and reader comments
-carry none, unless the node is so named but holds most of the host's text. Branches of low importance are
-removed from each page, and what stays is written block by block in page order. On pages with an article
-or main element, only what is inside one is content.
+with its tag, class, id and role. Every node gathers, over all pages of the host, its pages, text, distinct
+contents and the sets of child styles that pages show below it. Content importance of a node is 1 less the mean
+entropy of its contents over the pages that have the node's parent (a text on every page has entropy near 1, a
+text of one page 0; the fewer pages, the more of the contents must repeat, and inside articles still more);
+presentation importance is the entropy of its child styles over the pages that have it (a node built alike on all
+pages has 0). The node's importance weighs them 9 to 1, as the content below counts for more than one level of
+styles. Branches of low importance are removed from each page, and what stays is written block by block in page
+order. On pages with an article or main element, only what is inside one is content.
+
+Some parts differ from page to page and still are no content. They are told by what the page says of them: tags and
+roles of navigation, forms and the like, hidden elements, and class or id names all of whose words speak of such a
+part ("cookie-notice", not "related-work"), unless the node so named holds most of the host's text.
 
 Copies of one page count once: pages are bodies, known by the longest block of their article, or by all
 blocks where there is no article. A node that is or holds an article, or holds most of the host's distinct
 text, is never cut by content; nor, if fewer than WEAK bodies have it, on a page of which it holds most; and no
 page is cut empty. A host of one body has no repeats: there only presentation counts.
 
-Statistics are gathered by (host, path, content), never by host alone. A null html gives an empty text; a
-null url is a host of its own. Repeated rows are equal pages and count once for the tree, and each gets its
-result. Unclosed elements and references are read as browsers do; what is no valid tag is text. Empty
-tables give an empty result; extra columns are not carried.
+Statistics are gathered by (host, path, content), never by host alone. Branches to remove are broadcast up to
+CUT_BYTES; beyond, they are joined page by page. A null html gives an empty text; a null url is a host of its own, a
+null page_id stays null. Repeated rows are equal pages and count once for the tree, and each gets its result; ties
+do not arise. Whole pages are read, however long. Unclosed elements and references are read as browsers do; what is
+no valid tag is text. Empty tables give an empty result; other columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm._spark import small_batches, written
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "nobr"}
@@ -50,11 +55,21 @@ _NO_NAMES = {
     "footer", "pagination", "pager", "comment", "comments", "disqus", "respond", "replies", "newsletter", "subscribe", "subscription", "signup", "login", "search", "copyright", "disclaimer", "skip",
 }
 _NO_NAMES_OUTSIDE = {"header", "masthead", "topbar", "toolbar", "site", "logo"}
+#: Words that say nothing of their own in a name.
+_PLAIN_NAMES = {
+    "area", "article", "articles", "aside", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "cell", "col", "column", "container", "content", "flex", "form", "global", "grid", "group", "head",
+    "header", "heading", "icon", "inner", "item", "items", "left", "link", "links", "list", "main", "message", "mobile", "module", "outer", "page", "panel", "policy", "post", "posts", "primary", "right", "row", "secondary",
+    "section", "site", "slot", "small", "text", "title", "top", "unit", "wrap", "wrapper",
+}
 _MAIN = {"article", "main"}
-_WORD = re.compile(r"[a-zA-Z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ROLE, _NAMED, _IN_MAIN = 1, 2, 4
 _MAIN_PATH = r"^(.*?/(?:(?:article|main)(?=[./@]|$)|[^/]*@(?:article|main)(?=/|$)))"
 WEAK, SMOOTH, SMOOTH_IN_MAIN = 8, 0.5, 8.0
+PRESENTATION = 0.1
+CUT_BYTES = 8 << 20
+SALTS = 16
+_HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class _Element:
@@ -68,26 +83,29 @@ def _open(tag: str, attrs: str, parent: _Element | None) -> _Element:
     path, flags = parent.path if parent else "", parent.flags if parent else 0
     if tag in _INLINE and not attrs:
         return _Element(tag, path, flags)
-    names: list[str] = []
+    names: set[str] = set()
+    spoken: list[set[str]] = []
     role = ""
     for k, v in _ATTR.findall(attrs):
         k, v = k.lower(), v.strip("\"'")
         if k in ("class", "id"):
-            names += [w.lower() for w in _WORD.findall(v)]
+            spoken += [{w.lower() for w in _WORD.findall(x)} for x in v.split()]
+            names |= set().union(*spoken)
         elif k == "role":
-            role = v.lower()
-        elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none", v, re.I)):
+            role = v.strip().lower()
+        elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"(?:^|;)\s*display\s*:\s*none", v, re.I)):
             flags |= _ROLE
     if tag in _MAIN or role in ("main", "article"):
         flags |= _IN_MAIN
     if tag not in ("html", "body"):
         if tag in _NO_TAGS or role in _NO_ROLES or (tag == "header" and not flags & _IN_MAIN):
             flags |= _ROLE
-        if tag != "main" and _NO_NAMES.intersection(names) or not flags & _IN_MAIN and _NO_NAMES_OUTSIDE.intersection(names):
+        told = _NO_NAMES if flags & _IN_MAIN else _NO_NAMES | _NO_NAMES_OUTSIDE
+        if tag != "main" and any(x & told and x <= told | _PLAIN_NAMES for x in spoken):
             flags |= _NAMED
     if tag in _INLINE and not names and not role:
         return _Element(tag, path, flags)
-    return _Element(tag, f"{path}/{tag}" + "".join(f".{n}" for n in sorted(set(names))) + (f"@{role}" if role else ""), flags)
+    return _Element(tag, f"{path}/{tag}" + "".join(f".{n}" for n in sorted(names)) + (f"@{role}" if role else ""), flags)
 
 
 def blocks(page: str) -> list[tuple[str, int, str]]:
@@ -107,13 +125,10 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             k = n
         runs.clear()
         if parts:
-            keep: list[tuple[str, int, str]] = []
+            keep: dict[int, tuple[str, str]] = {}  # one block, also where a part of another kind stands inside
             for path, flags, raw in parts:
-                if keep and keep[-1][1] == flags:
-                    keep[-1] = (keep[-1][0], flags, keep[-1][2] + raw)
-                else:
-                    keep.append((path, flags, raw))
-            for path, flags, raw in keep:
+                keep[flags] = (keep[flags][0], keep[flags][1] + raw) if flags in keep else (path, raw)
+            for flags, (path, raw) in keep.items():
                 text = " ".join(_html.unescape(raw).split())
                 if text:
                     out.append((path, flags, text))
@@ -170,9 +185,9 @@ def _id(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts)) - (1 << 63)
 
 
-def host(url: str | None) -> str | None:
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else None if url is None else ""
+def host(url: Column) -> Column:
+    """A number for the host in a url; null and what is no url are hosts of their own."""
+    return F.xxhash64(F.lower(F.regexp_extract(url, _HOST, 1)), url.isNull())
 
 
 _FACT = "host long, page long, body long, path string, named boolean, content long, chars long"
@@ -191,20 +206,24 @@ def _nodes(path: Column, least: int) -> Column:
     return F.transform(F.sequence(F.lit(least), F.greatest(F.size(steps), F.lit(least))), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
 
 
+def _parent(node: Column) -> Column:
+    steps = F.split(node, "/")
+    return F.when(F.size(steps) > 1, F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1), "/")).otherwise("")
+
+
 def facts(pages: DataFrame) -> DataFrame:
     """A row for each page, path and distinct content: the pages' trees, cut into leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: set[tuple] = set()
-            for page, url, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = _id(repr(host(url)))
+            for page, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 found = [x for x in blocks(text or "") if not x[1] & _ROLE]
                 body = body_of(found)
                 rows.update((own, page, body, path, bool(flags & _NAMED), _id(t), len(t)) for path, flags, t in found)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "body", "path", "named", "content", "chars"])
 
-    return pages.select("_page", "url", "html").mapInArrow(run, _FACT)
+    return pages.select("_page", "_host", "html").mapInArrow(run, _FACT)
 
 
 def style_tree(leaves: DataFrame) -> DataFrame:
@@ -217,13 +236,19 @@ def style_tree(leaves: DataFrame) -> DataFrame:
     per = each.groupBy("host", "path").agg(F.sum(F.log("n")).alias("h"), F.count("*").alias("k"), F.sum("chars").alias("chars"), F.sum("once").alias("once"), F.max("named").alias("named"))
     per = per.withColumn("main", F.size(F.split(F.regexp_extract("path", _MAIN_PATH, 1), "/")))
     tree = per.select("*", F.explode(_nodes(F.col("path"), 2)).alias("node")).groupBy("host", "node").agg(F.sum("h").alias("h"), F.sum("k").alias("k"), F.sum("chars").alias("chars"), F.sum("once").alias("once"), F.min("named").alias("named"), F.max("main").alias("main"))
-    paths = leaves.select("host", "body", "path").distinct()
-    seen = written(paths.select("host", "body", F.explode(_nodes(F.col("path"), 1)).alias("node")).distinct().groupBy("host", "node").agg(F.count("*").alias("seen")), "seen")
+    nodes = leaves.select("host", "body", "path").distinct().select("host", "body", F.explode(_nodes(F.col("path"), 1)).alias("node")).distinct()
+    seen = written(nodes.groupBy("host", "node").agg(F.count("*").alias("seen")), "seen")
+    below = nodes.where(F.col("node") != "").select("host", "body", _parent(F.col("node")).alias("node"), F.col("node").alias("child"))
+    below = below.groupBy("host", "body", "node").agg(F.xxhash64(F.array_sort(F.collect_set("child"))).alias("styles"))
+    below = below.groupBy("host", "node", "styles").agg(F.count("*").alias("n")).groupBy("host", "node").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    below = below.select("host", "node", F.when(F.col("all") > 1, 1 - F.col("nlogn") / F.col("all") / F.log("all")).otherwise(1.0).alias("styles"))
     depth = F.size(F.split("node", "/"))
-    parent = F.when(depth > 1, F.array_join(F.slice(F.split("node", "/"), F.lit(1), depth - 1), "/")).otherwise("")
-    tree = tree.join(seen, ["host", "node"]).withColumn("parent", parent).join(seen.select("host", F.col("node").alias("parent"), F.col("seen").alias("m")), ["host", "parent"]).join(total, "host")
+    salted = total.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tree = tree.join(seen, ["host", "node"]).join(below, ["host", "node"], "left").withColumn("parent", _parent(F.col("node"))).join(seen.select("host", F.col("node").alias("parent"), F.col("seen").alias("m")), ["host", "parent"])
+    tree = tree.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
     smooth = F.when((F.col("main") > 1) & (F.col("main") < depth), SMOOTH_IN_MAIN).otherwise(SMOOTH)
-    importance = F.when(F.col("m") > 1, 1 - F.col("h") / F.col("k") / F.log(F.col("m") + smooth)).otherwise(1.0)
+    content = F.when(F.col("m") > 1, 1 - F.col("h") / F.col("k") / F.log(F.col("m") + smooth)).otherwise(1.0)
+    importance = content + PRESENTATION * (F.coalesce("styles", F.lit(0.0)) - content) * F.when(F.col("styles").isNull(), 0.0).otherwise(1.0)
     once = F.when(F.col("all_once") > 0, F.col("once") / F.col("all_once")).otherwise(0.0)
     return tree.select("host", "node", "seen", "m", "named", (F.col("chars") / F.col("all_chars")).alias("share"), once.alias("once"), importance.alias("importance"), ((F.col("main") > 1) & (F.col("main") >= depth)).alias("holds"))
 
@@ -240,12 +265,24 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     spark = pages.sparkSession
     small_batches(spark, 500)
-    own = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("_page"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("_host"), F.xxhash64("url", "html").alias("_page"))
     leaves = written(facts(own), "leaves")
     cut = written(removed(style_tree(leaves)), "branches")
-    nodes = leaves.select("host", "page", "path").distinct().select("host", "page", F.explode(_nodes(F.col("path"), 2)).alias("node")).distinct()
-    some = lambda when: F.collect_set(F.when(when, F.col("node")))
-    mine = nodes.join(cut, ["host", "node"]).groupBy(F.col("page").alias("_page")).agg(some(~F.col("spared")).alias("low"), some(~F.col("spared") & F.col("weak")).alias("weak"), some(F.col("spared")).alias("spared"))
+    size = cut.agg(F.sum(F.octet_length("node") + 32)).first()[0] or 0
+    known: dict[int, tuple[list[str], list[str], list[str]]] | None = None
+    if size <= CUT_BYTES:
+        known = {}
+        for r in cut.collect():
+            low, weak, spared = known.setdefault(r["host"], ([], [], []))
+            (spared if r["spared"] else low).append(r["node"])
+            if r["weak"] and not r["spared"]:
+                weak.append(r["node"])
+        rows = own.select("page_id", "url", "html", "_host")
+    else:
+        nodes = leaves.select("host", "page", "path").distinct().select("host", "page", F.explode(_nodes(F.col("path"), 2)).alias("node")).distinct()
+        some = lambda when: F.collect_set(F.when(when, F.col("node")))
+        mine = nodes.join(cut, ["host", "node"]).groupBy(F.col("page").alias("_page")).agg(some(~F.col("spared")).alias("low"), some(~F.col("spared") & F.col("weak")).alias("weak"), some(F.col("spared")).alias("spared"))
+        rows = own.join(mine, "_page", "left").select("page_id", "url", "html", "low", "weak", "spared")
 
     def under(path: str, nodes: list[str]) -> bool:
         return any(path == x or x and path.startswith(x + "/") for x in nodes)
@@ -253,7 +290,11 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for page, low, weak, spared in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
+            if known is None:
+                lists = zip(*(b.column(c).to_pylist() for c in (3, 4, 5)), strict=True)
+            else:
+                lists = (known.get(x, ((), (), ())) for x in b.column(3).to_pylist())
+            for page, (low, weak, spared) in zip(b.column(2).to_pylist(), lists, strict=True):
                 got = [(p, f, t) for p, f, t in blocks(page or "") if not f & _ROLE and not (f & _NAMED and not under(p, spared or []))]
                 got = [x for x in got if x[1] & _IN_MAIN] or got
                 size = sum(len(t) for _, _, t in got)
@@ -262,5 +303,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append("\n".join(t for _, _, t in [x for x in got if not under(x[0], cut)] or got))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = own.join(mine, "_page", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "low", "weak", "spared")
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

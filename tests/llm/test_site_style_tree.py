@@ -70,3 +70,66 @@ def test_small_hosts_and_sections(spark):
     for n in (2, 3, 7):
         assert texts(spark, [page(k) for k in range(n)]) == [want(k) for k in range(n)]
     assert texts(spark, [page(k, "box" if k < 25 else "east") for k in range(30)]) == [want(k) for k in range(30)]
+
+
+def test_attributes_and_names_that_only_look_like_other_parts(spark):
+    page = """<main><article><h1 title="the hidden valley">T</h1><p>see <a href="/hidden-gems">b</a> and <a data-x="style=display:none" href='/ad'>c</a></p>
+    <p title="the hidden valley" data-role="navigation">valley</p><p class="ad-hoc">made for this</p><div class="search-theory"><p>on search</p></div>
+    <section id="related-work"><p>Others did</p></section><p>Text <span class="share-button">Share</span> goes on</p><p alt=hidden>plain</p>
+    <div hidden>no</div><div style="color:red; display: none">no</div><div class="relatedPosts">no</div><div class="comment-list">no</div></article></main>"""
+    assert texts(spark, [page]) == ["T\nsee b and c\nvalley\nmade for this\non search\nOthers did\nText goes on\nplain"]
+
+
+def test_both_ways_of_sending_branches_agree(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("*", "1 as node", "2 as host", "3 as low", "4 as `a.b`")
+    one = sorted((r["page_id"], r["text"]) for r in s.extract(df).collect())
+    monkeypatch.setattr(s, "CUT_BYTES", -1)
+    assert sorted((r["page_id"], r["text"]) for r in s.extract(df).collect()) == one
+
+
+def test_null_and_repeated_ids_and_a_very_long_page(spark):
+    long = "<article>" + "".join(f"<p>line {k} of it</p>" for k in range(20_000)) + "</article>"
+    rows_ = [(None, None, "<p>a"), (1, "http://x/1", long), (1, "http://x/1", long), (1, None, None), (2, "no url", "<p>b</p>")]
+    got = sorted((r["page_id"] or 0, r["n_chars"]) for r in s.extract(spark.createDataFrame(rows_, PAGE)).collect())
+    n = len("\n".join(f"line {k} of it" for k in range(20_000)))
+    assert got == [(0, 1), (1, 0), (1, n), (1, n), (2, 1)]
+
+
+def brute_importance(pages):
+    """Of each style node of one host: content and presentation importance, by hand."""
+    import math
+    from collections import Counter, defaultdict
+
+    bodies = {}
+    for page in pages:
+        found = [x for x in s.blocks(page) if not x[1] & s._ROLE]
+        bodies[s.body_of(found)] = {(p, t) for p, _, t in found}
+    seen, contents, styles = defaultdict(set), defaultdict(Counter), defaultdict(dict)
+    for b, found in bodies.items():
+        for path, text in found:
+            steps = path.split("/")
+            for k in range(1, len(steps) + 1):
+                node = "/".join(steps[:k])
+                seen[node].add(b)
+                contents[node][path, text] += 1
+                if k < len(steps):
+                    styles[node].setdefault(b, set()).add("/".join(steps[: k + 1]))
+    out = {}
+    for node, c in contents.items():
+        if not node:
+            continue
+        m = len(seen[node.rpartition("/")[0]])
+        content = 1 - sum(map(math.log, c.values())) / len(c) / math.log(m + s.SMOOTH) if m > 1 else 1.0
+        kinds = Counter(frozenset(x) for x in styles[node].values())
+        n = sum(kinds.values())
+        look = None if not n else 1.0 if n == 1 else -sum(x / n * math.log(x / n) for x in kinds.values()) / math.log(n)
+        out[node] = content if look is None else content + s.PRESENTATION * (look - content)
+    return out
+
+
+def test_importance_matches_brute_force(spark):
+    pages = [f"<div class=top>Shop</div><div class=box><p>Story {k}</p>{'<ul><li>point</ul>' if k % 3 else ''}</div><div class=end><b>All</b><p>rights {k % 2}</p></div>" for k in range(9)]
+    df = spark.createDataFrame([(k, "http://h/x", p) for k, p in enumerate(pages)], PAGE).selectExpr("*", "1L as _host", "xxhash64(url, html) as _page")
+    got = {r["node"]: r["importance"] for r in s.style_tree(s.facts(df)).collect()}
+    want = brute_importance(pages)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
