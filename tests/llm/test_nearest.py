@@ -52,7 +52,7 @@ def test_bad_vectors_norms_and_ties(spark):
 
 
 def test_small_tables_give_all_candidates(spark):
-    for n in (5, 21, 25):
+    for n in (5, 15, 21, 25, 60, 200):
         m = np.random.default_rng(n).normal(size=(n, 64))
         df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<double>")
         got = {}
@@ -61,3 +61,23 @@ def test_small_tables_give_all_candidates(spark):
         want = exact(np.arange(n), m, every=1)
         assert all(len(w) == min(20, n - 1) for w in want.values())
         assert all(got[q] == [i for i, _ in want[q]] for q in want if n < 22) and {len(x) for x in got.values()} == {min(20, n - 1)} and len(got) == n
+
+
+def test_repeated_rows_are_candidates_and_queries_of_their_own(spark):
+    data = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").selectExpr("*", "1 as uid", "2 as id", "3 as v", "4 as `a.b`")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.search(df, F.col("vec_id") == 0).collect())
+    one = [(0, 1.0), (1, 1.0), (1, 1.0), (0, 0.0)]
+    two = [(1, 0.1), (1, 0.1), (0, 0.0), (0, 0.0)]
+    assert got == sorted((0, k + 1, i, s) for x in (one, one, two) for k, (i, s) in enumerate(x))
+
+
+def test_recall_of_the_registered_settings_on_every_scale(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        t = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet")
+        want = exact(t["vec_id"].to_numpy(), np.stack(t["embedding"].to_numpy()).astype(float))
+        got = {}
+        for r in nearest.search(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet"), F.col("vec_id") % 20 == 0).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert all(len(got[q]) == len(w) for q, w in want.items())
+        assert sum(len(got[q] & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
