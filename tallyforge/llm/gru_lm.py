@@ -9,12 +9,15 @@ smoothed share of the class. So the model is a proper distribution over the word
 unseen outcome, like the base. A tail word is trained as if its own occurrence were left out of its count,
 which is what held-out words meet.
 
-Training is truncated backpropagation through windows, over every training document: each task trains
-a copy on its share, and copies are averaged by tokens after each round. Scoring runs whole documents; the
-state is carried across windows and set back only where a document begins.
-
-Null texts count as empty: the end alone. Rows are scored each by itself, repeated or not; the id null hashes
-as ''. Extra columns are not carried; an empty table gives an empty result. 64-bit hashes stand for words.
+Training is truncated backpropagation through windows, over every training document: copies of the model learn
+side by side from shares of the documents, dealt by hash and read in a fixed order, and are averaged by tokens
+after each round. A copy learns from TOKENS_A_WEIGHT tokens for each of its weights at least, so what copies send
+is a fixed share of the corpus, and neither their number nor the result depends on how the input lies in files.
+Scoring runs whole documents; the state is carried across windows and set back only where a document begins.
+
+Null texts count as empty: the end alone; texts are scored whole, however long. Rows are scored each by itself,
+repeated or not; the id null hashes as ''. Words of equal counts are ordered by their hashes. Other columns, whatever
+their names, are not carried; an empty table gives an empty result. 64-bit hashes stand for words.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from tallyforge.llm._spark import parts_for, release, small_batches, text_bytes,
 
 HEAD, LEAST, HIDDEN, LANES, STEPS, ROUNDS = 2000, 64, 24, 512, 48, 2
 TAILS = 44
+TOKENS_A_WEIGHT = 2
 SLICES = 16
 END_HASH = np.uint64(0xE0F0E0F0E0F0E0F1)
 
@@ -405,6 +409,10 @@ def fitted(table: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Each round trains on the training documents of its part, all of them after the last round."""
     classes, prior, kind = voc.classes(), voc.prior(), voc.kind
     model = Model(classes, prior)
+    mine = table.where(~F.col("held_out")).withColumn("round", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(rounds)))
+    tokens = mine.agg(F.sum("n_tokens")).first()[0] or 0
+    copies = max(1, round(tokens / (TOKENS_A_WEIGHT * len(model.flat))))
+    mine = mine.withColumn("copy", F.pmod(F.xxhash64("doc_id", "n_tokens", "base_score", F.lit(1)), F.lit(copies)).cast("int"))
     for k in range(rounds):
         start = model.flat.copy()
 
@@ -429,8 +437,8 @@ def fitted(table: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
             return pa.table([t.column("slice").slice(0, 1), pa.array([sum(t.column("seen").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slice", "seen", "w"])
 
         schema = "slice int, seen long, w binary"
-        mine = table.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(rounds)) == k)).select("symbols", "shifted")
-        got = sorted(mine.mapInArrow(run, schema).groupBy("slice").applyInArrow(add, schema).collect())
+        own = mine.where(F.col("round") == k).repartitionById(copies, F.col("copy")).sortWithinPartitions("doc_id", "n_tokens", "base_score", "symbols").select("symbols", "shifted")
+        got = sorted(own.mapInArrow(run, schema).groupBy("slice").applyInArrow(add, schema).collect())
         if got:
             model.use(np.concatenate([np.frombuffer(r["w"], np.float64) / r["seen"] for r in got]).astype(np.float32))
     return model

@@ -96,3 +96,42 @@ def test_frequent_words_are_head_words_whatever_their_number(spark):
     assert len(voc.head) == 2501 and voc.head.min() == 90  # and the end
     sizes = np.bincount(voc.classes())[g.TAILS :]
     assert sizes.max() == 50 and len(sizes) == 51
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    texts = HARD + [r["text"] for r in rows("/root/testdata/sf0.001", "documents")]
+    df = docs_of(spark, texts).selectExpr("*", "1 as bucket", "2 as symbols", "3 as held_out", "4 as `a.b`")
+    one, two = ({r["doc_id"]: r["score"] for r in g.lm_score(df.repartition(k))[0].collect()} for k in (1, 7))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-3 * max(1, abs(one[k])) for k in one)
+
+
+def brute_score(model, voc, docs):
+    """Scores by the plain recurrence, one word after the other, over symbols (with the tail share left out)."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    n, out = model.h, []
+    for d in docs:
+        h, total, before = np.zeros(n), 0.0, None
+        for s in d:
+            a = np.zeros(3 * n) if before is None else model.w_in[before].astype(float)
+            u = h @ model.rec
+            z, r = sig(a[:n] + u[:n]), sig(a[n : 2 * n] + u[n : 2 * n])
+            c = np.tanh(a[2 * n :] + r * (u[2 * n :] + model.b))
+            h = (1 - z) * c + z * h
+            k = model.cls[s]
+            logit = h @ model.uc + model.bc
+            total += logit[k] - np.log(np.exp(logit).sum())
+            lo, hi = model.first[k], model.first[k + 1]
+            own = h @ model.us[lo:hi].T + model.bs[lo:hi]
+            total += own[s - lo] - np.log(np.exp(own).sum()) if k >= g.TAILS else 0.0
+            before = s
+        out.append(total)
+    return out
+
+
+def test_score_matches_the_plain_recurrence():
+    voc = g.Vocabulary(300, 30, [(k, 40 - k) for k in range(12)], np.full(g.TAILS, 3), np.full(g.TAILS, 400))
+    model = g.Model(voc.classes(), voc.prior())
+    r = np.random.default_rng(5)
+    model.us[:] = r.normal(0, 0.5, model.us.shape)
+    docs = [r.integers(0, voc.size, k) for k in (1, 2, 60, 130, 7)]
+    assert np.allclose(g.score(model, docs), brute_score(model, voc, docs), rtol=1e-4)
