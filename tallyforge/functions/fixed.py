@@ -22,6 +22,16 @@ TAX_TERMS = (
     "cofins", "csll", "ipi", "ipva", "icms", "itcmd", "licenciamento", "multa", "multas", "transito", "iptu", "iss", "issqn", "itbi", "alvara", "coleta lixo", "iluminacao publica", "taxa municipal", "taxas municipais",
 )
 
+# Remarks on matches.
+NOTE_EQUAL_VALUE = "Conciliado automaticamente porque o tipo e o valor sao iguais."
+NOTE_EQUAL_VALUE_ONLY = "Conciliado automaticamente por valor igual; validar demais informacoes."
+NOTE_TAX = "Pagamento para CAIXA ECONOMICA associado a tributo/encargo do sistema."
+NOTE_NO_LINK = "Sem ligacao textual clara; manter na aba de validacao por valor igual."
+NOTE_BRANCH_GROUP = "Agrupamento conciliado por soma exata com CNPJ de mesma raiz e filial diferente entre Banco e Sistema."
+NOTE_TAX_GROUP = "Agrupamento de tributo/encargo conciliado com CAIXA ECONOMICA porque a soma dos valores fecha."
+NOTE_PAYEE_GROUP = "Agrupamento conciliado por soma exata, data proxima e fornecedor/prestador compativel."
+NOTE_DUPLICATE = "Possivel duplicidade: mesmo mes, tipo, valor e documento/texto-base."
+
 # Text categories and their words.
 CATEGORIES = {
     "tecnologia": ("tecnologia", "informatica", "software", "hardware", "computador", "notebook", "impressora", "toner", "sistema", "internet", "digital", "dados", "licenca", "cloud", "nuvem"),

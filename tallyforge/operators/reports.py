@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions import text, values
+from tallyforge.functions import fixed, text, values
 
 MONEY = values.MONEY
+# Columns of the report of matches.
+MATCH_COLUMNS = [
+    "status", "score", "metodo", "banco_id", "banco_data", "banco_tipo", "banco_valor", "banco_documento", "banco_banco", "banco_conta", "banco_empresa", "banco_descricao", "sistema_id", "sistema_data", "sistema_tipo", "sistema_valor",
+    "sistema_documento", "sistema_empresa", "sistema_favorecido_descricao", "sistema_categoria", "sistema_centro_custo", "sistema_origem", "diferenca_valor", "observacao",
+]
 
 
 def _if(cond: str, col: str = "valor") -> F.Column:
@@ -41,34 +46,44 @@ def repetitions(bank: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def duplicates(bank: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Rows of one side that share month, kind, value and document root, or else the first six words."""
+    """Rows of one side that share month, kind, value and document root, or else the first six words; ids in order of
+    date and id."""
 
     def keyed(df: DataFrame, side: str, words: F.Column) -> DataFrame:
         first = F.array_join(F.slice(F.split(text.normalize(words), " "), 1, 6), " ")
         root = text.doc_root("documento")
-        return df.select(F.lit(side).alias("origem"), F.date_format("data_ref", "yyyy-MM").alias("periodo"), "tipo", values.cents("valor").alias("cents"), F.when(root != "", root).otherwise(first).alias("chave"), "id")
+        return df.select(F.lit(side).alias("origem"), F.date_format("data_ref", "yyyy-MM").alias("periodo"), "tipo", values.cents("valor").alias("cents"), F.when(root != "", root).otherwise(first).alias("chave"), F.struct("data_ref", "id").alias("at"))
 
     rows = keyed(bank, "BANCO", F.col("descricao")).unionByName(keyed(ledger, "SISTEMA", text.joined("favorecido", "descricao")))
-    got = rows.groupBy("origem", "periodo", "tipo", "cents", "chave").agg(F.count("*").alias("quantidade"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
-    return got.where("quantidade >= 2").select("origem", "periodo", "tipo", (F.col("cents") / 100).cast(MONEY).alias("valor"), "quantidade", "ids", "chave")
+    got = rows.groupBy("origem", "periodo", "tipo", "cents", "chave").agg(F.count("*").alias("quantidade"), F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["id"].cast("string")), ", ").alias("ids"))
+    return got.where("quantidade >= 2").select("origem", "periodo", "tipo", (F.col("cents").cast("decimal(20,0)") / 100).cast(MONEY).alias("valor"), "quantidade", "ids", "chave", F.lit(fixed.NOTE_DUPLICATE).alias("observacao"))
 
 
 def match_rows(matches: DataFrame, bank: DataFrame, ledger: DataFrame) -> DataFrame:
-    """One report row for each match: ids in group order, sorted distinct dates and documents, sums and difference."""
-
-    def side(ids: str, facts: DataFrame, p: str, words: F.Column) -> DataFrame:
-        one = matches.select("_m", F.posexplode(ids).alias("pos", "id")).join(facts.withColumn("_text", words), "id")
-        listed = F.array_sort(F.collect_list(F.struct("pos", F.col("id").cast("string").alias("id"), "_text")))
-        return one.groupBy("_m").agg(
-            F.array_join(F.transform(listed, lambda s: s["id"]), ",").alias(f"{p}_id"), F.array_join(F.array_sort(F.collect_set(F.col("data_ref").cast("string"))), ",").alias(f"{p}_data"), F.first("tipo").alias(f"{p}_tipo"),
-            F.sum("valor").cast(MONEY).alias(f"{p}_valor"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("documento") != "", F.col("documento")))), ",").alias(f"{p}_documento"), F.array_join(F.transform(listed, lambda s: s["_text"]), " | ").alias(f"{p}_descricao"),
+    """One report row for each match with a ledger row: ids in group order, sorted distinct dates and documents, sums
+    and difference; names of the first row of a side. Columns that a fact lacks are ''."""
+
+    def side(ids: str, facts: DataFrame, words: F.Column, first: dict[str, str], p: str, label: str) -> DataFrame:
+        known = {a: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in facts.columns else F.lit("") for a, c in first.items()}
+        facts = facts.select("id", "data_ref", "valor", "documento", words.alias("text"), F.struct(*(c.alias(a) for a, c in known.items())).alias("first"))
+        one = matches.select("key", F.posexplode(ids).alias("pos", "id")).join(facts, "id")
+        listed = F.array_sort(F.collect_list(F.struct("pos", F.col("id").cast("string").alias("id"), "text", "first")))
+        got = one.groupBy("key").agg(
+            listed.alias("rows"), F.array_join(F.array_sort(F.collect_set(F.col("data_ref").cast("string"))), ", ").alias(f"{p}_data"), F.sum("valor").cast(MONEY).alias(f"{p}_valor"),
+            F.array_join(F.array_sort(F.collect_set(F.when(F.col("documento") != "", F.col("documento")))), ", ").alias(f"{p}_documento"),
         )
+        texts = F.filter(F.transform("rows", lambda s: s["text"]), lambda x: x != "")
+        return got.select("key", F.array_join(F.transform("rows", lambda s: s["id"]), ", ").alias(f"{p}_id"), F.array_join(texts, " | ").alias(label), *(F.col("rows")[0]["first"][a].alias(a) for a in first), f"{p}_data", f"{p}_valor", f"{p}_documento")
 
-    matches = matches.withColumn("_m", F.xxhash64("bank_ids", "ledger_ids"))
-    b = side("bank_ids", bank, "banco", F.col("descricao"))
-    l = side("ledger_ids", ledger, "sistema", F.concat_ws(" - ", F.when(F.col("favorecido") != "", F.col("favorecido")), F.when(F.col("descricao") != "", F.col("descricao"))))
-    got = matches.drop("bank_ids", "ledger_ids").join(b, "_m", "left").join(l, "_m", "left").drop("_m")
-    return got.withColumn("diferenca_valor", F.col("banco_valor") - F.col("sistema_valor"))
+    # A bank row is in one match only, so the first one names it.
+    matches = matches.where(F.size("ledger_ids") > 0).withColumn("key", F.col("bank_ids")[0])
+    b = side("bank_ids", bank, F.coalesce("descricao", F.lit("")), {"banco_tipo": "tipo", "banco_banco": "banco_nome", "banco_conta": "conta", "banco_empresa": "empresa"}, "banco", "banco_descricao")
+    both = F.concat_ws(" - ", F.when(F.col("favorecido") != "", F.col("favorecido")), F.when(F.col("descricao") != "", F.col("descricao")))
+    names = {"sistema_tipo": "tipo", "sistema_empresa": "empresa", "sistema_categoria": "categoria", "sistema_centro_custo": "centro_custo", "sistema_origem": "sistema_origem"}
+    l = side("ledger_ids", ledger, both, names, "sistema", "sistema_favorecido_descricao")
+    note = F.when((F.col("status") == "CONCILIADO_VALOR_IGUAL") & (F.coalesce("observacao", F.lit("")) == ""), fixed.NOTE_EQUAL_VALUE_ONLY).otherwise(F.col("observacao"))
+    got = matches.join(b, "key", "left").join(l, "key", "left").withColumn("diferenca_valor", (F.col("banco_valor") - F.col("sistema_valor")).cast(MONEY)).withColumn("observacao", note)
+    return got.select(*MATCH_COLUMNS)
 
 
 def links(matches: DataFrame) -> DataFrame:
@@ -81,12 +96,22 @@ def unmatched(facts: DataFrame, matches: DataFrame, ids: str) -> DataFrame:
     return facts.join(used, "id", "left_anti")
 
 
-def summary(matches: DataFrame, bank: DataFrame, ledger: DataFrame) -> DataFrame:
-    """indicador, valor: counts and totals of both sides and of the matches' statuses."""
-    fmt = lambda c: c.cast("string")
-    total = lambda df, p: df.agg(F.count("*").alias("n"), _if("tipo = 'ENTRADA'").alias("e"), _if("tipo = 'SAIDA'").alias("s")).select(F.explode(F.array(*(F.struct(F.lit(f"{p} {t}").alias("indicador"), fmt(F.col(c)).alias("valor")) for t, c in (("quantidade", "n"), ("entradas", "e"), ("saidas", "s"))))).alias("x")).select("x.*")
-    by = matches.groupBy("status").agg(F.count("*").alias("n")).select(F.col("status").alias("indicador"), fmt(F.col("n")).alias("valor"))
-    return total(bank, "Banco").unionByName(total(ledger, "Sistema")).unionByName(by)
+def summary(matches: DataFrame, bank: DataFrame, ledger: DataFrame, start: str = "2025-09-01", end: str = "2026-09-01") -> DataFrame:
+    """indicador, valor: counts and totals of both sides, of the matches' statuses and of what has no match."""
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.agg(F.count("*").alias(f"{p}n"), _if("tipo = 'ENTRADA'").cast(MONEY).alias(f"{p}e"), _if("tipo = 'SAIDA'").cast(MONEY).alias(f"{p}s"))
+
+    status = {"both": "CONCILIADO", "equal": "CONCILIADO_VALOR_IGUAL", "maybe": "POSSIVEL_CORRESPONDENCIA", "review": "POSSIVEL_REVISAO", "apart": "DIVERGENCIA", "none": "NAO_ENCONTRADO"}
+    of = matches.agg(*(F.count_if(F.col("status") == v).alias(k) for k, v in status.items()), F.coalesce(F.sum(F.size("ledger_ids")), F.lit(0)).alias("used"))
+    one = side(bank, "b").crossJoin(side(ledger, "l")).crossJoin(of)  # three single rows
+    done = F.col("both") + F.col("equal")
+    values_ = (
+        ("Periodo analisado", F.lit(f"{start} a {end}")), ("Quantidade Banco", F.col("bn")), ("Quantidade Sistema", F.col("ln")), ("Banco entradas", F.col("be")), ("Banco saidas", F.col("bs")), ("Sistema entradas", F.col("le")),
+        ("Sistema saidas", F.col("ls")), ("Conciliados", done), ("Conciliados por valor igual para validar", F.col("equal")), ("Possiveis correspondencias", F.col("maybe")), ("Possiveis revisoes", F.col("review")),
+        ("Divergencias", F.col("apart")), ("Banco sem Sistema", F.col("none")), ("Sistema sem Banco", F.col("ln") - F.col("used")), ("% Banco conciliado", F.format_string("%.4f", F.when(F.col("bn") > 0, done / F.col("bn")).otherwise(0.0))),
+    )
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("indicador"), v.cast("string").alias("valor")) for n, v in values_))).alias("x")).select("x.*")
 
 
 def first_of_each(df: DataFrame, key: str, order: list[str]) -> DataFrame:

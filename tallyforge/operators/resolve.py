@@ -85,6 +85,21 @@ def _compatible(a: dict, b: dict) -> bool:
     return _same(a, b) or (len(a["doc"]) == 14 == len(b["doc"]) and a["root"] == b["root"])
 
 
+def _remark(b: dict, l: dict, texts: Texts) -> str:
+    """What differs and what links two rows that are matched by their value alone."""
+    differ = [t for on, t in ((b["data_ref"] != l["data_ref"], "data diferente"), (b["doc"] != l["doc"], "CNPJ/CPF diferente ou ausente"), (not texts.supplier(b, l), "fornecedor/prestador diferente ou nao identificado")) if on]
+    out = [fixed.NOTE_EQUAL_VALUE]
+    if b["federal"] and l["tax"]:
+        out.append(fixed.NOTE_TAX)
+    if differ:
+        out.append("Outras informacoes divergentes: " + ", ".join(differ) + ".")
+    cats = sorted(k for k, w in fixed.CATEGORIES.items() if b["tokset"] & set(w) and l["tokset"] & set(w))
+    common = sorted(b["tokset"] & l["tokset"])[:5]
+    link = "; ".join(f"{name}: {', '.join(x)}" for name, x in (("categorias relacionadas", cats), ("palavras em comum", common)) if x)
+    out.append(f"Ligacao textual encontrada: {link}." if link else fixed.NOTE_NO_LINK)
+    return " ".join(out)
+
+
 def _frame(out: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in MATCH.split(", ")])
 
@@ -132,7 +147,7 @@ def _best_of_month(bank: list[dict], ledger: list[dict]) -> list[tuple]:
             _, l, score, method = best
             used.add(l["id"])
             status = scoring.class_of(score, method)
-            note = "Conciliado automaticamente por valor igual; validar demais informacoes." if status == "CONCILIADO_VALOR_IGUAL" else ""
+            note = _remark(b, l, texts) if status == "CONCILIADO_VALOR_IGUAL" else ""
             out.append((b["empresa_id"], [b["id"]], [l["id"]], score, method, status, note))
     return out
 
@@ -164,7 +179,8 @@ def _groups_of_month(bank: list[dict], ledger: list[dict]) -> list[tuple]:
 
 
 def resolve_months(bank: DataFrame, ledger: DataFrame) -> DataFrame:
-    """MATCH rows of all months: one-to-one first, then groups; rows of different months never meet."""
+    """MATCH rows of all months: one-to-one first, then groups; rows of different months never meet. Bank rows
+    without a match follow without ledger ids (NAO_ENCONTRADO)."""
     # Features are read by both steps; kept on disk where memory is short.
     b, l = bank_features(bank).persist(StorageLevel.DISK_ONLY), ledger_features(ledger).persist(StorageLevel.DISK_ONLY)
     # Only keys that both sides have reach Python.
@@ -181,7 +197,11 @@ def resolve_months(bank: DataFrame, ledger: DataFrame) -> DataFrame:
     keys = ["month", "tipo", "part"]
     many = l.groupBy(*keys).count().where("count > 1").select(keys)
     both = _both(b.join(many, keys, "left_semi"), l.join(b.select(keys).distinct(), keys, "left_semi"), ["part"])
-    return pairs.unionByName(_dealt(both, keys, _groups_of_month, MATCH))
+    found = pairs.unionByName(_dealt(both, keys, _groups_of_month, MATCH)).persist(StorageLevel.DISK_ONLY)
+    none = bank.join(found.select(F.explode("bank_ids").alias("id")), "id", "left_anti")
+    kinds = dict(x.split(" ", 1) for x in MATCH.split(", "))
+    given = {"bank_ids": F.array("id"), "ledger_ids": F.array(), "score": F.lit(0), "metodo": F.lit("SEM_CORRESPONDENCIA"), "status": F.lit("NAO_ENCONTRADO"), "observacao": F.lit("")}
+    return found.unionByName(none.select(*(given.get(c, F.col(c) if c == "empresa_id" else None).cast(k).alias(c) for c, k in kinds.items())))
 
 
 class _Near:
@@ -242,7 +262,7 @@ class _Account:
             fits = [x for x in self.free(1 - side, index.within((r["tipo"], r["root"]), r, fixed.NEAR_DAYS)) if x["valor"] < r["valor"] and _compatible(r, x)]
             if got := self.sums(r, fits, fixed.GROUP_LIMIT, False):
                 branch = any(not _same(r, x) for x in got)
-                note = "Soma exata do grupo; mesma raiz de CNPJ com filial diferente." if branch else "Soma exata do grupo com o mesmo CNPJ/CPF."
+                note = fixed.NOTE_BRANCH_GROUP if branch else ""
                 self.emit(*(([r], got) if side == 0 else (got, [r])), 98, method, "CONCILIADO", note)
 
     def by_tax(self, side: int) -> None:
@@ -255,7 +275,7 @@ class _Account:
                 continue
             fits = [x for x in self.free(1 - side, index.within(r["tipo"], r, fixed.SUPPLIER_DAYS)) if x["valor"] < r["valor"]]
             if got := self.sums(r, fits, fixed.TAX_GROUP_LIMIT, True):
-                self.emit(*(([r], got) if side == 0 else (got, [r])), 98, method, "CONCILIADO", "Soma exata de tributos/encargos pagos pela CAIXA ECONOMICA.")
+                self.emit(*(([r], got) if side == 0 else (got, [r])), 98, method, "CONCILIADO", fixed.NOTE_TAX_GROUP)
 
     def by_payee(self) -> None:
         skip = set(fixed.IGNORED_PAYEE_TOKENS)
@@ -273,7 +293,7 @@ class _Account:
                     payees.setdefault(l["payee"], []).append(l)
             for fits in payees.values():
                 if got := self.sums(b, fits, fixed.GROUP_LIMIT, False):
-                    self.emit([b], got, 98, "AGRUPAMENTO_SISTEMA_FORNECEDOR_DATA_VALOR", "CONCILIADO", "Soma exata de lancamentos do mesmo fornecedor em data proxima.")
+                    self.emit([b], got, 98, "AGRUPAMENTO_SISTEMA_FORNECEDOR_DATA_VALOR", "CONCILIADO", fixed.NOTE_PAYEE_GROUP)
                     break
 
     def pair(self, b: dict, l: dict, score: int, method: str) -> None:
@@ -287,22 +307,9 @@ class _Account:
             elif nb > 1:
                 note = f"Quantidade mensal conferida: banco={nb}, sistema={nl}"
         if status == "CONCILIADO_VALOR_IGUAL":
-            note = self.remark(b, l)
+            note = _remark(b, l, self.texts)
         self.emit([b], [l], score, method, status, note)
 
-    def remark(self, b: dict, l: dict) -> str:
-        differ = [t for on, t in ((b["data_ref"] != l["data_ref"], "data diferente"), (b["doc"] != l["doc"], "CNPJ/CPF diferente ou ausente"), (not self.texts.supplier(b, l), "fornecedor/prestador diferente ou nao identificado")) if on]
-        out = ["Conciliado automaticamente porque o tipo e o valor sao iguais."]
-        if b["federal"] and l["tax"]:
-            out.append("Pagamento para CAIXA ECONOMICA associado a tributo/encargo do sistema.")
-        if differ:
-            out.append("Outras informacoes divergentes: " + ", ".join(differ) + ".")
-        cats = sorted(k for k, w in fixed.CATEGORIES.items() if b["tokset"] & set(w) and l["tokset"] & set(w))
-        common = sorted(b["tokset"] & l["tokset"])[:5]
-        link = "; ".join(f"{name}: {', '.join(x)}" for name, x in (("categorias relacionadas", cats), ("palavras em comum", common)) if x)
-        out.append(f"Ligacao textual encontrada: {link}." if link else "Sem ligacao textual clara; manter na aba de validacao por valor igual.")
-        return " ".join(out)
-
     def strong_pairs(self) -> None:
         """Equal document and value with at least 95, best pairs of all first."""
         index = defaultdict(list)

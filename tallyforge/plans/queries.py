@@ -70,10 +70,9 @@ l AS (SELECT *, (valor * 100)::BIGINT AS cents, strftime(data_ref, '%Y-%m') AS m
 # --- scalar functions
 
 
-@query(f"SELECT doc_id, {digits_sql('left(text, 400)')} AS digits, {root_sql('left(text, 400)')} AS root FROM documents")
+@query(f"SELECT doc_id, {digits_sql('text')} AS digits, {root_sql('text')} AS root FROM documents")
 def scalar_digits_and_root(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.substring("text", 1, 400)
-    return read(spark, sf, "documents").select("doc_id", text.digits(head).alias("digits"), text.doc_root(head).alias("root"))
+    return read(spark, sf, "documents").select("doc_id", text.digits("text").alias("digits"), text.doc_root("text").alias("root"))
 
 
 @query(f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents")
@@ -296,9 +295,9 @@ def agg_repetitions(spark: SparkSession, sf: str) -> DataFrame:
     return reports.repetitions(bank(spark, sf), ledger(spark, sf))
 
 
-@query(FEATURES + """, u AS (SELECT 'BANCO' AS origem, month AS periodo, tipo, cents, CASE WHEN root <> '' THEN root ELSE array_to_string(string_split(norm, ' ')[1:6], ' ') END AS chave, id FROM b
- UNION ALL SELECT 'SISTEMA', month, tipo, cents, CASE WHEN root <> '' THEN root ELSE array_to_string(string_split(norm, ' ')[1:6], ' ') END, id FROM l)
-SELECT origem, periodo, tipo, (cents * 0.01)::DECIMAL(18,2) AS valor, count(*) AS quantidade, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, chave FROM u GROUP BY origem, periodo, tipo, cents, chave HAVING count(*) >= 2""")
+@query(FEATURES + """, u AS (SELECT 'BANCO' AS origem, month AS periodo, tipo, cents, CASE WHEN root <> '' THEN root ELSE array_to_string(string_split(norm, ' ')[1:6], ' ') END AS chave, id, data_ref FROM b
+ UNION ALL SELECT 'SISTEMA', month, tipo, cents, CASE WHEN root <> '' THEN root ELSE array_to_string(string_split(norm, ' ')[1:6], ' ') END, id, data_ref FROM l)
+SELECT origem, periodo, tipo, (cents * 0.01)::DECIMAL(18,2) AS valor, count(*) AS quantidade, string_agg(id::VARCHAR, ', ' ORDER BY data_ref, id) AS ids, chave, 'Possivel duplicidade: mesmo mes, tipo, valor e documento/texto-base.' AS observacao FROM u GROUP BY origem, periodo, tipo, cents, chave HAVING count(*) >= 2""")
 def agg_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
     return reports.duplicates(bank(spark, sf), ledger(spark, sf))
 

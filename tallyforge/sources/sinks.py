@@ -32,8 +32,12 @@ def publish(df: DataFrame, path: str, bad: str | None = None, most_bad: int = 50
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     ok = not bad or spark.read.parquet(new).where(bad).count() <= most_bad
     target = path if ok else f"{path}.falha"
-    fs.delete(fs_path(target), True)
+    old = fs_path(f"{target}.anterior")
+    if fs.exists(fs_path(target)):  # a crash from here on leaves the old result beside the place of the new one
+        fs.delete(old, True)
+        fs.rename(fs_path(target), old)
     fs.rename(fs_path(new), fs_path(target))
+    fs.delete(old, True)
     return ok
 
 

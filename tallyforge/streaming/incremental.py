@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ def idempotent_sink(spark: SparkSession, path: str, keys: list[str]) -> Callable
     def write(batch: DataFrame, _: int) -> None:
         try:
             known = spark.read.parquet(path).select(*keys)
-        except Exception:  # noqa: BLE001 - the first batch has no table yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only the first batch has no table yet
+                raise
             known = batch.select(*keys).limit(0)
         etl.append_new(known, batch, keys).write.mode("append").parquet(path)
 

@@ -70,7 +70,10 @@ def test_exact_subset_agrees_with_all_subsets():
 
 def test_months_on_fixtures(spark, sf):
     bs, ls = bank(spark, sf), ledger(spark, sf)
-    m = resolve.resolve_months(bs, ls).collect()
+    whole = resolve.resolve_months(bs, ls).collect()
+    m, none = [r for r in whole if r["ledger_ids"]], [r for r in whole if not r["ledger_ids"]]
+    assert {(r["score"], r["metodo"], r["status"]) for r in none} == {(0, "SEM_CORRESPONDENCIA", "NAO_ENCONTRADO")} and all(len(r["bank_ids"]) == 1 for r in none)
+    assert all(r["observacao"].startswith("Conciliado automaticamente porque") for r in m if r["status"] == "CONCILIADO_VALOR_IGUAL")
     banks, ledgers = [i for r in m for i in r["bank_ids"]], [i for r in m for i in r["ledger_ids"]]
     assert len(banks) == len(set(banks)) and len(ledgers) == len(set(ledgers))
     bv, lv = {r["id"]: r for r in bs.collect()}, {r["id"]: r for r in ls.collect()}
@@ -83,7 +86,12 @@ def test_months_on_fixtures(spark, sf):
     groups = [r for r in m if len(r["ledger_ids"]) > 1]
     assert {r["bank_ids"][0] % 13 for r in groups} <= {8, 12} and len(groups) > 50 and all(r["score"] == 98 for r in groups)
     left = reports.unmatched(bs, resolve.resolve_months(bs, ls), "bank_ids").count()
-    assert left == len(bv) - len(banks)
+    assert left == len(bv) - len(banks) == len(none)
+    report = reports.match_rows(resolve.resolve_months(bs, ls), bs.withColumn("conta", F.lit("c1")), ls)
+    assert report.columns == reports.MATCH_COLUMNS and report.count() == len(m) and {r["banco_conta"] for r in report.collect()} == {"c1"}
+    sums = {r["indicador"]: r["valor"] for r in reports.summary(resolve.resolve_months(bs, ls), bs, ls).collect()}
+    done = sum(r["status"] in ("CONCILIADO", "CONCILIADO_VALOR_IGUAL") for r in m)
+    assert len(sums) == 15 and sums["Quantidade Banco"] == str(len(bv)) and sums["Banco sem Sistema"] == str(len(none)) and sums["Sistema sem Banco"] == str(len(lv) - len(ledgers)) and sums["% Banco conciliado"] == f"{done / len(bv):.4f}"
     near = resolve.near_matches(reports.unmatched(bs, resolve.resolve_months(bs, ls), "bank_ids"), reports.unmatched(ls, resolve.resolve_months(bs, ls), "ledger_ids")).collect()
     assert near and all(r["diferenca"] == bv[r["bank_id"]]["valor"] - lv[r["ledger_id"]]["valor"] != 0 for r in near)
 
