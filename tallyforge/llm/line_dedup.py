@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm._spark import global_index, remove, written
+from tallyforge.llm._spark import global_index, written
 
 MIN_LINES = 2
 PASSAGE_WORDS = 51  # more than 50 words: a passage, on however few lines
@@ -53,19 +53,17 @@ def _looked_up(rows: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Replaces the columns `by` by rank, their place among distinct values; unique ones leave. Values
-    are counted before they are dealt out, so a common one is one row."""
-    known = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    """Replaces the columns `by` by rank, their place among distinct values, and first, the earliest suffix that has
+    them; unique ones leave. Values are counted before they are dealt out, so a common one is one row."""
+    known = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "k")).alias("first")).where("n > 1")
     known = written(global_index(known, [F.col(c) for c in by], "rank"), "ranks")
     return _looked_up(rows, known, by).drop(*by)
 
 
-def _later(rows: DataFrame) -> DataFrame:
+def _later(rows: DataFrame, depth: int) -> DataFrame:
     """Suffixes that are not the earliest of their rank, with the earliest one (from_id, from_h, from_k)."""
-    at = F.struct("id", "h", "k")
-    first = written(rows.groupBy("rank").agg(F.count("*").alias("n"), F.min(at).alias("first")), "first")
-    got = _looked_up(rows, first, ["rank"]).where(~at.eqNullSafe(F.col("first")))
-    return got.select("id", "h", "k", *(F.col("first")[c].alias(f"from_{c}") for c in ("id", "h", "k")))
+    got = rows.where(~F.struct("id", "h", "k").eqNullSafe(F.col("first")))
+    return got.select("id", "h", "k", *(F.col("first")[c].alias(f"from_{c}") for c in ("id", "h", "k")), F.lit(depth).alias("depth"))
 
 
 def runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
@@ -75,21 +73,17 @@ def runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = No
     passage = F.lit(False) if min_words is None else F.regexp_count("s.line", F.lit(_WORD)) >= min_words
     lines = lines.select("id", "h", "k", F.xxhash64("s.line").alias("a"), F.xxhash64("s.line", F.lit(1)).alias("b"), passage.alias("passage"))
     rows = written(_ranked(lines, ["a", "b"]).distinct(), "suffixes")
-    depth, found = 1, []
-    if min_words is not None:
-        found.append(written(_later(rows.where("passage")).withColumn("depth", F.lit(1)), "later"))
-    rows, old = rows.drop("passage"), rows
-    while True:
+    found = [] if min_words is None else [_later(rows.where("passage"), 1)]
+    depth = 1
+    while depth <= min_lines or not rows.isEmpty():
         if depth >= min_lines:
-            found.append(written(_later(rows).withColumn("depth", F.lit(depth)), "later"))
+            found.append(_later(rows, depth))
         step = depth if depth >= min_lines else min(depth, min_lines - depth)
+        before = rows.select("id", "h", "k", F.col("rank").alias("r1"))
         after = rows.select(F.col("id").alias("_id"), F.col("h").alias("_h"), (F.col("k") - step).alias("_k"), F.col("rank").alias("r2"))
-        pairs = rows.withColumnRenamed("rank", "r1").join(after, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("k") == F.col("_k"))).select("id", "h", "k", "r1", "r2")
+        pairs = before.join(after, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("k") == F.col("_k"))).select("id", "h", "k", "r1", "r2")
         rows = written(_ranked(pairs, ["r1", "r2"]), "suffixes")
-        remove(old)
-        depth, old = depth + step, rows
-        if found and depth > min_lines and rows.isEmpty():
-            break
+        depth += step
     later = found[0]
     for more in found[1:]:
         later = later.unionByName(more)
