@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import tempfile
 import time
 import uuid
@@ -10,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+TABLES_A_RELEASE = 6
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,11 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_tables = itertools.count(1)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder."""
+    """Cuts lineage: df as a Parquet table in the shared folder. Every few tables, shuffle files of the plans before
+    are let go, as a driver that makes little garbage would keep them to the end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyforge/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if next(_tables) % TABLES_A_RELEASE == 0:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
