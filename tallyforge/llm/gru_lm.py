@@ -2,8 +2,8 @@
 
 Words are counted over all training documents (in shards of the hash space; a task sends each word once).
 The model's symbols are the end, all words of at least LEAST occurrences (the `head` most frequent ones in any
-case), in classes near the square root of their number, and tail classes: the rare words by the octave of their
-count, unseen words in a class of their own. So what is learned grows with the corpus. A word's probability is that of its class
+case), in classes whose number and sizes balance the cost of a token, and tail classes: the rare words by the octave
+of their count, unseen words in a class of their own. So what is learned grows with the corpus. A word's probability is that of its class
 given the state, times that of its symbol within the class given the state, times, for tail classes, its
 smoothed share of the class. So the model is a proper distribution over the words seen in training and one
 unseen outcome, like the base. A tail word is trained as if its own occurrence were left out of its count,
@@ -37,6 +37,7 @@ HEAD, LEAST, HIDDEN, LANES, STEPS, ROUNDS = 2000, 64, 24, 512, 48, 2
 TAILS = 44
 TOKENS_A_WEIGHT = 2
 SLICES = 16
+ROWS, BLOCK = 1024, 1 << 15
 END_HASH = np.uint64(0xE0F0E0F0E0F0E0F1)
 
 
@@ -73,8 +74,12 @@ class Vocabulary:
         return out
 
     def classes(self) -> np.ndarray:
-        """Class of each symbol: a tail class is its own; the end and head words by frequency."""
-        return np.concatenate([np.arange(TAILS), TAILS + np.arange(len(self.head)) // max(1, math.isqrt(len(self.head)))])
+        """Class of each symbol: a tail class is its own; the end and head words by frequency, with equal sums of the
+        roots of their counts. So classes of frequent words are small, which costs least by token."""
+        root = np.sqrt(self.head.astype(float))
+        n = max(1, math.ceil(root.sum() / math.sqrt(max(1, self.head.sum()))))
+        cls = np.unique((np.cumsum(root) - root) // (max(1.0, root.sum()) / n), return_inverse=True)[1]
+        return np.concatenate([np.arange(TAILS), TAILS + cls]).astype(np.int64)
 
     def prior(self) -> np.ndarray:
         """Expected share of each symbol, tail words with their own occurrence left out of their counts."""
@@ -84,6 +89,28 @@ class Vocabulary:
         return p / p.sum()
 
 
+def _calm(u: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no logit of a state (all in -1..1) can be too large or too small for exp in single precision."""
+    return math.sqrt(u.shape[1] * np.einsum("ij,ij->i", u, u).max(initial=0)) + np.abs(b).max(initial=0) < 60
+
+
+def _picked(h: np.ndarray, u: np.ndarray, b: np.ndarray, k: np.ndarray, calm: bool, learn: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of column k of each row in softmax(h @ u + b); with learn, its gradient by the logits."""
+    q = h @ u
+    q += b
+    if not calm:
+        q -= q.max(1, keepdims=True)
+    rows = np.arange(len(k))
+    lp = q[rows, k]
+    np.exp(q, out=q)
+    total = q @ np.ones(q.shape[1], q.dtype)
+    lp -= np.log(total)
+    if learn:
+        q *= (1 / total)[:, None]
+        q[rows, k] -= 1
+    return lp, q
+
+
 class Model:
     """Parameters in one flat vector; w_in: input gates of each symbol; rec: recurrent; out_c, out_s: class and
     within-class output weights and biases."""
@@ -140,41 +167,34 @@ class Model:
 
     def outputs(self, hs: np.ndarray, y: np.ndarray, grad: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each symbol y (N) after states hs (N, H); with grad, adds d(-sum log p)."""
-        own = self.cls[y]
-        logit = hs @ self.uc + self.bc
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1, keepdims=True)
-        rows = np.arange(len(y))
-        lp = logit[rows, own] - np.log(total[:, 0])
-        dh = None
-        if grad is not None:
+        order = np.argsort(self.cls[y], kind="stable")
+        hs, y = hs[order], y[order]
+        own, learn = self.cls[y], grad is not None
+        lp, dh = np.empty(len(y), hs.dtype), np.empty_like(hs) if learn else None
+        if learn:
             g = {k: grad[a:z].reshape(s) for k, (a, z, s) in self.at.items()}
-            d = e / total
-            d[rows, own] -= 1
-            g["uc"] += hs.T @ d
-            g["bc"] += d.sum(0)
-            dh = d @ self.uc.T
-        order = np.argsort(own, kind="stable")
-        cut = np.searchsorted(own[order], np.arange(self.n_cls + 1))
-        for c in range(TAILS, self.n_cls):
-            i = order[cut[c] : cut[c + 1]]
-            if not len(i):
-                continue
+        calm = _calm(self.uc.T, self.bc), _calm(self.us, self.bs)
+        for lo in range(0, len(y), ROWS):
+            i = slice(lo, lo + ROWS)
+            lp[i], d = _picked(hs[i], self.uc, self.bc, own[i], calm[0], learn)
+            if learn:
+                g["uc"] += hs[i].T @ d
+                g["bc"] += d.sum(0)
+                dh[i] = d @ self.uc.T
+        cut = np.searchsorted(own, np.arange(self.n_cls + 1))
+        for c in np.flatnonzero(cut[TAILS + 1 :] > cut[TAILS:-1]) + TAILS:
             a, z = self.first[c], self.first[c + 1]
-            q = hs[i] @ self.us[a:z].T + self.bs[a:z]
-            q -= q.max(1, keepdims=True)
-            e = np.exp(q)
-            total = e.sum(1, keepdims=True)
-            k = np.arange(len(i))
-            lp[i] += q[k, y[i] - a] - np.log(total[:, 0])
-            if grad is not None:
-                d = e / total
-                d[k, y[i] - a] -= 1
-                g["us"][a:z] += d.T @ hs[i]
-                g["bs"][a:z] += d.sum(0)
-                dh[i] += d @ self.us[a:z]
-        return lp, dh
+            for lo in range(cut[c], cut[c + 1], ROWS):
+                i = slice(lo, min(lo + ROWS, cut[c + 1]))
+                p, d = _picked(hs[i], self.us[a:z].T, self.bs[a:z], y[i] - a, calm[1], learn)
+                lp[i] += p
+                if learn:
+                    g["us"][a:z] += d.T @ hs[i]
+                    g["bs"][a:z] += d.sum(0)
+                    dh[i] += d @ self.us[a:z]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return lp[back], dh[back] if learn else None
 
     def backward(self, x: np.ndarray, tape: tuple, dhs: np.ndarray, grad: np.ndarray) -> None:
         n, (prev, zr, m, c, on, any_fresh) = self.h, tape
@@ -238,6 +258,28 @@ def _windows(symbols: list[np.ndarray], width: int) -> Iterator[tuple]:
         yield d, x, fresh, y, live
 
 
+def _adam(g: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, scale: float, step: float, over: float) -> None:
+    """One step of Adam, in place and in blocks that fit the cache; g is set back to zero."""
+    held = np.empty(min(len(g), BLOCK), g.dtype)
+    for lo in range(0, len(g), BLOCK):
+        d, m, v, x = (y[lo : lo + BLOCK] for y in (g, a, b, w))
+        t = held[: len(d)]
+        d *= scale
+        m *= 0.9
+        m += np.multiply(d, 0.1, out=t)
+        np.multiply(d, d, out=t)
+        t *= 0.01
+        v *= 0.99
+        v += t
+        np.sqrt(v, out=t)
+        t *= 1 / math.sqrt(over)
+        t += 1e-8
+        np.divide(m, t, out=t)
+        t *= step
+        x -= t
+        d.fill(0)
+
+
 def train(model: Model, symbols: list[np.ndarray], state: tuple, width: int = LANES, rate: float = 0.01) -> None:
     """One pass of truncated backpropagation (Adam; of the input gates only the rows of symbols in the window move);
     state: its two moments and the number of steps."""
@@ -256,19 +298,17 @@ def train(model: Model, symbols: list[np.ndarray], state: tuple, width: int = LA
         _, dh[keep] = model.outputs(flat[keep], y.ravel()[keep], grad)
         model.backward(x, tape, dh.reshape(hs.shape), grad)
         used = np.unique(x)
-        inner = inputs[0][used]
-        scale = 1 / max(1, keep.sum())
-        norm = scale * float(np.sqrt((inner * inner).sum() + (others[0] * others[0]).sum()))
+        rows = [a[used] for a in inputs]
+        scale = 1 / max(1, int(keep.sum()))
+        norm = scale * math.sqrt(float(np.vdot(rows[0], rows[0])) + float(others[0] @ others[0]))
         if norm > 1:
             scale /= norm
         k[0] += 1
         step, over = rate / (1 + k[0] / 400) / (1 - 0.9 ** k[0]), 1 - 0.99 ** k[0]
-        for (g, a, b, w), at in ((others, slice(None)), (inputs, used)):
-            d = g[at] * np.float32(scale)
-            a[at] += 0.1 * (d - a[at])
-            b[at] += 0.01 * (d * d - b[at])
-            w[at] -= step * a[at] / (np.sqrt(b[at] / over) + 1e-8)
-            g[at] = 0
+        _adam(*others, scale, step, over)
+        _adam(*(a.reshape(-1) for a in rows), scale, step, over)
+        for a, b in zip(inputs, rows, strict=True):
+            a[used] = b
         h = hs[-1]
 
 
