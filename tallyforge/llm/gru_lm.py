@@ -113,20 +113,22 @@ def _picked(h: np.ndarray, u: np.ndarray, b: np.ndarray, k: np.ndarray, calm: bo
 
 class Model:
     """Parameters in one flat vector; w_in: input gates of each symbol; rec: recurrent; out_c, out_s: class and
-    within-class output weights and biases."""
+    within-class output weights and biases. With flat, these are its parameters, not copied."""
 
-    def __init__(self, classes: np.ndarray, prior: np.ndarray, hidden: int = HIDDEN, seed: int = 3):
+    def __init__(self, classes: np.ndarray, prior: np.ndarray, hidden: int = HIDDEN, seed: int = 3, flat: np.ndarray | None = None):
         self.cls, self.h, self.n_sym, self.n_cls = classes, hidden, len(classes), int(classes.max()) + 1
         self.first = np.searchsorted(classes, np.arange(self.n_cls + 1))
         shapes = {"w_in": (self.n_sym, 3 * hidden), "rec": (hidden, 3 * hidden), "b": (hidden,), "uc": (hidden, self.n_cls), "bc": (self.n_cls,), "us": (self.n_sym, hidden), "bs": (self.n_sym,)}
         g = np.random.default_rng(seed)
-        self.flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), np.float32)
+        self.flat = flat if flat is not None else np.zeros(sum(int(np.prod(s)) for s in shapes.values()), np.float32)
         self.at, k = {}, 0
         for name, s in shapes.items():
             n = int(np.prod(s))
             self.at[name] = (k, k + n, s)
             k += n
         self.use(self.flat)
+        if flat is not None:
+            return
         self.w_in[:] = g.normal(0, 0.3, self.w_in.shape)
         self.rec[:] = g.normal(0, 1 / np.sqrt(hidden), self.rec.shape)
         mass = np.bincount(classes, weights=prior, minlength=self.n_cls)
@@ -432,7 +434,7 @@ def encoded(docs: DataFrame, replies: DataFrame, voc: Vocabulary, shards: int) -
     return docs.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(lambda a, b: run(a, b), _ENCODED)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], kind: str, tokens: int = 1 << 23) -> Iterator[pa.Table]:
+def _blocks(batches: Iterator[pa.RecordBatch], kind: str, tokens: int = 1 << 22) -> Iterator[pa.Table]:
     """Runs of batches of about so many tokens: the more, the more documents run side by side."""
     held, n = [], 0
     for b in batches:
@@ -457,8 +459,7 @@ def fitted(table: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
         start = model.flat.copy()
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            own = Model(classes, prior)
-            own.use(start.copy())
+            own = Model(classes, prior, flat=start.copy())
             state, seen = (np.zeros_like(start), np.zeros_like(start), [0]), 0
             for t in _blocks(batches, kind):
                 docs = []
@@ -500,8 +501,7 @@ def lm_score(docs: DataFrame, head: int = HEAD) -> tuple[DataFrame, Model]:
     flat, classes, prior, total, kind = model.flat, voc.classes(), voc.prior(), voc.n, voc.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(classes, prior)
-        own.use(flat)
+        own = Model(classes, prior, flat=flat)
         for t in _blocks(batches, kind):
             got = score(own, [np.frombuffer(s, kind) for s in t.column("symbols").to_pylist()]) / np.log(10) if len(t) else np.zeros(0)
             out = pa.table([*(t.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(t), total, np.int64)), t.column("base_score"), pa.array(got + t.column("tail_score").to_numpy())], names=_OUT)
