@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+# Report columns of days and of numbers.
+DATE_COLUMNS = ("data", "banco_data", "sistema_data")
+NUMBER_COLUMNS = ("valor", "banco_valor", "sistema_valor", "diferenca_valor", "score", "quantidade")
 
 
 def _col(c: str | Column) -> Column:
@@ -125,3 +128,13 @@ def network_error(status: str | Column, message: str | Column) -> Column:
     for p in parts:
         out = out | t.contains(p)
     return (_col(status) == "ERRO_LEITURA") & out
+
+
+def report_cell(header: str, c: str | Column) -> Column:
+    """A cell of a text report by its column's name, as struct(day, number, text): one field is set, none where the cell
+    is blank. Line ends become spaces; what is no day or number stays text."""
+    t = F.trim(F.replace(F.replace(F.coalesce(_col(c), F.lit("")), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" ")))
+    h = header.lower()
+    day = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")) if h in DATE_COLUMNS else F.lit(None).cast("date")
+    number = t.try_cast("decimal(38,6)") if h in NUMBER_COLUMNS else F.lit(None).cast("decimal(38,6)")
+    return F.struct(day.alias("day"), number.alias("number"), F.when((t != "") & day.isNull() & number.isNull(), t).alias("text"))
