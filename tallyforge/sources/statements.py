@@ -31,7 +31,9 @@ _D = r"\d{2}/\d{2}/\d{4}"
 @dataclass
 class Layout:
     """rows: patterns with groups date, desc, value, and doc, sign, kind or neg where they occur. Upper-case patterns
-    (start, stop, skip, no_row) are matched on accent-free upper-case lines."""
+    (start, stop, skip, no_row) are matched on accent-free upper-case lines. item, item_doc and item_value: a row over
+    several lines, that is, its date (group 2: money out), its document and description, its value; the lines held
+    before are the beginning of its description."""
 
     rows: list[str]
     start: str = ""
@@ -43,6 +45,9 @@ class Layout:
     join_tail: str = ""
     pending: str = ""
     doc_line: str = ""
+    item: str = ""
+    item_doc: str = ""
+    item_value: str = ""
     year: str = ""
     doc_in_desc: str = ""
     flags: int = 0
@@ -84,15 +89,15 @@ LAYOUTS: dict[str, Layout] = {
         pending=rf"^(?!.*{_V}$)", flags=re.I,
     ),
     "CAIXA_EXTRATO_NOVO": Layout(
-        rows=[rf"^(?P<date>{_D})\s+(?P<doc>\S+)\s+(?P<desc>.+?)\s+(?P<neg>-?\s*)?R\$\s*(?P<value>{_V})\s+R\$\s*{_V}\s*[CD]?$", rf"^(?P<doc>\d{{6}})\s+(?P<desc>.+?)\s+(?P<neg>-?\s*)?R\$\s*(?P<value>{_V})(?:\s+R\$\s*{_V}\s*[CD]?)?$"],
-        date_line=rf"^({_D})(?:\s+-)?$", start=r"DOCUMENTO HISTORICO|DATA EFETIVA", skip=r"SALDO DIA|SALDO ANTERIOR", pending=rf"^(?!{_D}|\d{{2}}/\d{{2}}\s+\d{{2}}:\d{{2}}|.*R\$)",
+        rows=[rf"^(?P<date>{_D})\s+(?P<doc>\S+)\s+(?P<desc>.+?)\s+(?P<neg>-?\s*)?R\$\s*(?P<value>{_V})\s+R\$\s*{_V}\s*[CD]?$"], item=rf"^({_D})(\s+-)?$", item_doc=rf"^(\d{{6}})\s+(.*?)\s*(?:R\$\s*{_V}\s*[CD]?)?$", item_value=rf"R\$\s*({_V})$",
+        start=r"DOCUMENTO HISTORICO|DATA EFETIVA", skip=r"SALDO DIA|SALDO ANTERIOR", no_row=r"(?!)", pending=rf"^(?!{_D}|\d{{2}}/\d{{2}}\s+\d{{2}}:\d{{2}}|.*R\$)",
     ),
 }
 NO_MOVEMENT = "DEMONSTRATIVO_SEM_MOVIMENTO_TRANSACIONAL"
 
 
-def detect(txt: F.Column, name: F.Column, any_text: F.Column) -> F.Column:
-    """Layout by ordered tests on the accent-free upper-case text and file name."""
+def detect(txt: F.Column, name: F.Column, any_text: F.Column, raw: F.Column) -> F.Column:
+    """Layout by ordered tests on the accent-free upper-case text and file name, and on the upper-case raw text."""
     t, n = txt.contains, name.contains
     # Marks of each layout, in the order in which they are tested.
     return (
@@ -104,7 +109,7 @@ def detect(txt: F.Column, name: F.Column, any_text: F.Column) -> F.Column:
         .when(t("COOPERATIVA UNIPRIME") | (n("UNIPRIME") & t("CONTA CORRENTE")), "UNIPRIME_CONTA_CORRENTE").when(t("BANCO BRADESCO") | n("BRADESCO"), "BRADESCO_NET_EMPRESA")
         .when(t("BANCO DA AMAZONIA") | t("AMAZONIA ONLINE") | n("BASA"), "BASA_AMAZONIA_ONLINE").when(t("SICOOB"), "SICOOB_SISBR").when(t("BANCO SAFRA") | n("SAFRA"), "SAFRA_EXTRATO_MOVIMENTACAO")
         .when(t("INSTITUICAO STONE") | (n("STONE") & t("EXTRATO DE CONTA CORRENTE")), "STONE_CONTA_CORRENTE")
-        .when(t("LANCAMENTOS DO PERIODO") | (t("LANGAMENTOS") & t("ITAU")) | (t("LANCAMENTOS PERIODO") & n("ITAU")), "ITAU_CONTA_CORRENTE")
+        .when(t("LANCAMENTOS DO PERIODO") | (t("LANGAMENTOS") & t("ITAU")) | raw.contains("LANÇAMENTOS PERÍODO") | (t("LANCAMENTOS PERIODO") & n("ITAU")), "ITAU_CONTA_CORRENTE")
         .when(t("DEMONSTRATIVO DE RENTABILIDADE") | t("EXTRATO CONSOLIDADO") | t("INFORMATIVO MENSAL CDB") | n("APLIC"), NO_MOVEMENT)
         .when(~any_text, "PDF_SEM_TEXTO_EXTRAIVEL").otherwise("NAO_SUPORTADO")
     )
@@ -114,7 +119,7 @@ def layouts(lines: DataFrame) -> DataFrame:
     """file, layout of every file."""
     per = lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))), lambda s: s["line"]), "\n").alias("t"))
     whole = text.normalize_upper("t")
-    return per.select("file", detect(whole, text.normalize_upper(F.element_at(F.split("file", "[/\\\\]"), -1)), F.trim(whole) != "").alias("layout"))
+    return per.select("file", detect(whole, text.normalize_upper(F.element_at(F.split("file", "[/\\\\]"), -1)), F.trim(whole) != "", F.upper("t")).alias("layout"))
 
 
 def _upper(s: str) -> str:
@@ -134,10 +139,11 @@ def read_lines(spec: Layout, lines: list[tuple[int, str]]) -> list[dict]:
     on = lambda p, f=0: re.compile(p, f) if p else None
     rows, start, stop, skip, no_row = [re.compile(p, spec.flags) for p in spec.rows], on(spec.start), on(spec.stop), on(spec.skip), on(spec.no_row)
     join, tail, pending, doc_line, date_line, own_doc = on(spec.join), on(spec.join_tail), on(spec.pending), on(spec.doc_line), on(spec.date_line), on(spec.doc_in_desc, re.I)
+    item, item_doc, item_value = on(spec.item), on(spec.item_doc), on(spec.item_value)
     year = ""
     if spec.year and (m := re.search(spec.year, "\n".join(l for _, l in lines), re.I)):
         year = next(g for g in m.groups() if g)
-    inside, date, held, last, out = not start, "", [], None, []
+    inside, date, held, last, out, open_ = not start, "", [], None, [], None
     for page, raw in lines:
         line = " ".join(raw.split())
         up = _upper(line)
@@ -157,7 +163,19 @@ def read_lines(spec: Layout, lines: list[tuple[int, str]]) -> list[dict]:
             continue
         if skip and skip.search(up):
             continue
+        if item and (m := item.match(line)):
+            open_ = {"page": page, "data": m[1], "tipo": "SAIDA" if m[2] else "ENTRADA", "descricao": " ".join(held), "documento": ""}
+            held = []
+            continue
         hit = next((m for p in rows if (m := p.match(line))), None)
+        if open_ and not hit and (m := item_value.search(line)):
+            desc = open_["descricao"].rstrip("-").strip()
+            out.append(open_ | {"valor": abs(_money(m[1])), "descricao": desc, "documento": open_["documento"] or next(iter(_DOC.findall(desc)), "")})
+            open_ = None
+            continue
+        if open_ and not hit and (m := item_doc.match(line)):
+            open_ |= {"documento": m[1], "descricao": f"{open_['descricao']} {m[2]}".strip()}
+            continue
         got = hit.groupdict() if hit else {}
         if hit and (got.get("date") or date):
             date = got.get("date") or date
@@ -165,10 +183,11 @@ def read_lines(spec: Layout, lines: list[tuple[int, str]]) -> list[dict]:
             if desc and no_row.search(_upper(desc)):
                 last = None
                 continue
-            desc = " ".join([*held, desc] if desc else held) or got.get("doc") or ""
-            held = []
+            if not item:
+                desc = " ".join([*held, desc] if desc else held) or got.get("doc") or ""
+                held = []
             value, kind = _money(got["value"]), _upper(got.get("kind") or "")
-            minus = value < 0 or "-" in (got.get("neg") or "") or got.get("sign") == "-" or kind.startswith("D") or "" in (got.get("tail") or "") or "D" in (got.get("tail") or "")
+            minus = value < 0 or "-" in (got.get("neg") or "") or got.get("sign") == "-" or kind.startswith("D") or "\uf056" in (got.get("tail") or "") or "D" in (got.get("tail") or "")
             doc = got.get("doc") or ""
             if own_doc and (m := own_doc.search(desc)):
                 doc = m[1].strip()

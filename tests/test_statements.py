@@ -45,3 +45,20 @@ def test_rows(parsed, layout):
 
 def test_declarative_form_agrees(parsed):
     assert [(r["data"], r["tipo"], str(r["valor"]), r["descricao"]) for r in parsed[2]] == [x[:4] for x in CASES["CORA"][2]]
+
+
+def test_caixa_rows_over_several_lines():
+    lines = [
+        "Data Documento Histórico Valor", "PIX RECEBIDO -", "05/03/2025", "000124 JOSE R$ 110,00 C", "05/03 10:22:01", "R$ 20,00", "TARIFA", "06/03/2025 -", "000125 CESTA", "- R$ 7,50",
+        "SALDO DIA R$ 102,50 C", "solto", "07/03/2025 000126 SALDO DE CONTA R$ 1,00 R$ 103,50 C", "08/03/2025 -", "R$ 2,00",
+    ]
+    got = st.read_lines(st.LAYOUTS["CAIXA_EXTRATO_NOVO"], [(1, l) for l in lines])
+    assert [(r["data"], r["tipo"], str(r["valor"]), r["descricao"], r["documento"]) for r in got] == [
+        ("05/03/2025", "ENTRADA", "20.00", "PIX RECEBIDO - JOSE", "000124"), ("06/03/2025", "SAIDA", "7.50", "TARIFA CESTA", "000125"),
+        ("07/03/2025", "ENTRADA", "1.00", "SALDO DE CONTA", "000126"), ("08/03/2025", "SAIDA", "2.00", "solto", ""),
+    ]
+
+
+def test_itau_by_its_accented_heading(spark):
+    df = spark.createDataFrame([("x.pdf", 1, 1, "lançamentos período: 01/03/2025")], st.LINES)
+    assert st.layouts(df).first()["layout"] == "ITAU_CONTA_CORRENTE"
