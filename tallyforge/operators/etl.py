@@ -27,7 +27,7 @@ def ledger_from_transfers(transfers: DataFrame) -> DataFrame:
     """Each transfer as two rows: out at the source, in at the destination."""
     side = lambda tipo, bank: F.struct(F.lit(tipo).alias("tipo"), F.col(bank).alias("banco"))
     out = transfers.where("nr_valor <> 0").withColumn("s", F.explode(F.array(side("SAIDA", "banco_origem"), side("ENTRADA", "banco_destino"))))
-    return out.select(F.concat_ws(":", F.lit(TRANSFER_ID.rstrip(":")), F.col("cd_transferencia").cast("string"), "s.tipo").alias("identificador_externo"), "data_ref", "s.tipo", "s.banco", F.abs(F.col("nr_valor")).cast(values.MONEY).alias("valor"), F.col("cd_transferencia").cast("string").alias("documento"))
+    return out.select(F.concat_ws(":", F.lit(TRANSFER_ID.rstrip(":")), F.col("cd_transferencia").cast("string"), F.when(F.col("s.tipo") == "SAIDA", "SAIDA_ORIGEM").otherwise("ENTRADA_DESTINO")).alias("identificador_externo"), "data_ref", "s.tipo", "s.banco", F.abs(F.col("nr_valor")).cast(values.MONEY).alias("valor"), F.col("cd_transferencia").cast("string").alias("documento"))
 
 
 def dedup_key(df: DataFrame, file: str, order: list[str], account: list[str]) -> DataFrame:

@@ -192,7 +192,7 @@ def _transfers(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("cd_transferencia"), F.col("o_orderdate").cast("date").alias("data_ref"), F.col("o_totalprice").cast(values.MONEY).alias("nr_valor"), F.expr("concat('N', o_custkey % 25)").alias("banco_origem"), F.expr("concat('N', o_orderkey % 25)").alias("banco_destino"))
 
 
-@query(f"WITH t AS ({_TRANSFERS}) SELECT 'CLINUX:TRANSFERENCIA:' || id || ':SAIDA' AS identificador_externo, data_ref, 'SAIDA' AS tipo, src AS banco, nr_valor AS valor, id::VARCHAR AS documento FROM t UNION ALL SELECT 'CLINUX:TRANSFERENCIA:' || id || ':ENTRADA', data_ref, 'ENTRADA', dst, nr_valor, id::VARCHAR FROM t")
+@query(f"WITH t AS ({_TRANSFERS}) SELECT 'CLINUX:TRANSFERENCIA:' || id || ':SAIDA_ORIGEM' AS identificador_externo, data_ref, 'SAIDA' AS tipo, src AS banco, nr_valor AS valor, id::VARCHAR AS documento FROM t UNION ALL SELECT 'CLINUX:TRANSFERENCIA:' || id || ':ENTRADA_DESTINO', data_ref, 'ENTRADA', dst, nr_valor, id::VARCHAR FROM t")
 def join_transfer_two_sides(spark: SparkSession, sf: str) -> DataFrame:
     return etl.ledger_from_transfers(_transfers(spark, sf))
 
