@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import gru_lm, jaccard_join, line_dedup, mixing, nearest, packing, quality_rules, sharding, site_style_tree, substring_dedup
+from tallyforge.llm import conversation_repair, gru_lm, hyperminhash, jaccard_join, line_dedup, mixing, nearest, packing, quality_rules, sharding, site_style_tree, source_divergence, substring_dedup
 from tallyforge.llm._spark import table
 
 
@@ -56,6 +56,19 @@ def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.lm_score(table(spark, sf_dir, "documents"))[0]
 
 
+def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = hyperminhash.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_nearest": op2_nearest,
@@ -67,10 +80,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_gru_lm": op10_gru_lm,
+    "op11_hyperminhash": op11_hyperminhash,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op7_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_jaccard_join": jaccard_join.oracle_sql(),
+    "op11_hyperminhash": hyperminhash.ORACLE_SQL,
+    "op13_source_divergence": source_divergence.oracle_sql(),
 }
