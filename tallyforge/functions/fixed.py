@@ -30,6 +30,8 @@ NOTE_NO_LINK = "Sem ligacao textual clara; manter na aba de validacao por valor
 NOTE_BRANCH_GROUP = "Agrupamento conciliado por soma exata com CNPJ de mesma raiz e filial diferente entre Banco e Sistema."
 NOTE_TAX_GROUP = "Agrupamento de tributo/encargo conciliado com CAIXA ECONOMICA porque a soma dos valores fecha."
 NOTE_PAYEE_GROUP = "Agrupamento conciliado por soma exata, data proxima e fornecedor/prestador compativel."
+NOTE_SUM = "Conciliado por soma exata de parcelas do Sistema contra um lançamento do Banco."
+NOTE_SUM_TAX = "Tributo/encargo associado a CAIXA ECONOMICA; parcelas do Sistema somam exatamente o valor do Banco."
 NOTE_DUPLICATE = "Possivel duplicidade: mesmo mes, tipo, valor e documento/texto-base."
 
 # Text categories and their words.

@@ -1,380 +1,314 @@
-"""The order-dependent step of matching: rows are consumed once, in (date, id) order.
+"""Resolvers: which candidates become matches, each row used once, rows in (date, id) order.
 
-Everything before is declarative; these resolvers run in `applyInPandas` on partitions that share no rows.
-The month engine's one-to-one step is partitioned by (month, kind, cents), as no candidate lies outside; its
-group step by document root, with the roots that tax rules reach kept together. The account engine is
-sequential over all its passes, so it is partitioned by company; inside, hash indexes replace pair loops.
+All passes are joins to find pairs, scores as expressions, and the rounds of `rounds` to decide; no group of rows is
+collected. Only text similarity and sums of a limited number of amounts run in Python, on pairs and short arrays. One
+part is a loop: values that more than SCORED_LIMIT ledger rows of one month and kind share, as only so many of what is
+free may be scored there; it goes by month, kind and value and scores each two kinds of rows once.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import fixed, text
-from tallyforge.operators import scoring
+from tallyforge.operators import candidates, scoring
 from tallyforge.operators.features import bank_features, ledger_features
+from tallyforge.operators.lineage import remove, written
+from tallyforge.operators.rounds import best_first, exact_groups, first_come
 
 MATCH = "empresa_id long, bank_ids array<long>, ledger_ids array<long>, score int, metodo string, status string, observacao string"
 _BANK = ["id", "data_ref", "tipo", "valor", "empresa_id", "cents", "month", "doc", "root", "norm", "toks", "federal"]
 _LEDGER = ["id", "data_ref", "tipo", "valor", "empresa_id", "cents", "month", "doc", "root", "norm", "toks", "tax", "payee"]
+_NARROW = ["id", "data_ref", "tipo", "valor", "empresa_id", "cents", "month", "doc", "root"]
+#: Marks of a row in a group.
+COMPATIBLE, TAX = 1, 2
 
 
-def exact_subset(cents: list[int], target: int) -> list[int]:
-    """Places of the values that sum to target, or []. Sums are reached in the given order and keep the first value
-    that reached them, so the answer depends on the order alone."""
-    last: dict[int, int] = {0: -1}
-    for i, v in enumerate(cents):
-        for s in [s for s in last if s + v <= target and s + v not in last]:
-            last[s + v] = i
-        if target in last and target:
-            out, s = [], target
-            while s:
-                out.append(last[s])
-                s -= cents[last[s]]
-            return out[::-1]
-    return []
+def _same() -> Column:
+    return (F.col("b_doc") != "") & (F.col("b_doc") == F.col("l_doc"))
 
 
-class Texts:
-    """Text questions about pairs, each answered once."""
+def _compatible() -> Column:
+    return _same() | ((F.length("b_doc") == 14) & (F.length("l_doc") == 14) & (F.col("b_root") == F.col("l_root")))
 
-    def __init__(self) -> None:
-        self.known: dict[tuple[str, str], float] = {}
 
-    def similarity(self, b: dict, l: dict) -> float:
-        k = (b["norm"], l["norm"])
-        if k not in self.known:
-            self.known[k] = text.ratio(*k)
-        return self.known[k]
+def _turn(p: str) -> Column:
+    return F.struct(F.col(f"{p}_data_ref").alias("at"), F.col(f"{p}_id").alias("id"))
 
-    def supplier(self, b: dict, l: dict) -> bool:
-        return bool(b["tokset"] & l["tokset"]) or self.similarity(b, l) >= fixed.TEXT_SIMILARITY
 
-    @staticmethod
-    def related(b: dict, l: dict) -> bool:
-        return bool(b["tokset"] & l["tokset"]) or any(b["tokset"] & w and l["tokset"] & w for w in map(set, fixed.CATEGORIES.values()))
-
-
-def _rows(pdf: pd.DataFrame) -> tuple[list[dict], list[dict]]:
-    """Bank and ledger rows, each in (date, id) order."""
-    sides: tuple[list[dict], list[dict]] = ([], [])
-    for r in pdf.to_dict("records"):
-        r["tokset"] = set(r.get("toks", ()))
-        sides[r["side"]].append(r)
-    for s in sides:
-        s.sort(key=lambda r: (r["data_ref"], r["id"]))
-    return sides
+def _remark() -> Column:
+    """What differs and what links two rows that are matched by their value alone."""
+    differ = F.concat_ws(", ", F.when(F.col("b_data_ref") != F.col("l_data_ref"), "data diferente"), F.when(F.col("b_doc") != F.col("l_doc"), "CNPJ/CPF diferente ou ausente"), F.when(~F.col("supplier"), "fornecedor/prestador diferente ou nao identificado"))
+    in_both = lambda words: F.arrays_overlap("b_toks", words) & F.arrays_overlap("l_toks", words)
+    cats = F.concat_ws(", ", *(F.when(in_both(F.array(*map(F.lit, fixed.CATEGORIES[k]))), k) for k in sorted(fixed.CATEGORIES)))
+    common = F.array_join(F.slice(F.array_sort(F.array_intersect("b_toks", "l_toks")), 1, 5), ", ")
+    link = F.concat_ws("; ", F.when(cats != "", F.concat(F.lit("categorias relacionadas: "), cats)), F.when(common != "", F.concat(F.lit("palavras em comum: "), common)))
+    return F.concat_ws(
+        " ", F.lit(fixed.NOTE_EQUAL_VALUE), F.when(F.col("b_federal") & F.col("l_tax"), fixed.NOTE_TAX), F.when(differ != "", F.concat(F.lit("Outras informacoes divergentes: "), differ, F.lit("."))),
+        F.when(link != "", F.concat(F.lit("Ligacao textual encontrada: "), link, F.lit("."))).otherwise(fixed.NOTE_NO_LINK),
+    )
 
 
-def _gap(a: dict, b: dict) -> int:
-    return abs((a["data_ref"] - b["data_ref"]).days)
+def _with_note(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("observacao", F.when(F.col("status") == "CONCILIADO_VALOR_IGUAL", _remark()).otherwise(""))
 
 
-def _same(a: dict, b: dict) -> bool:
-    return a["doc"] != "" and a["doc"] == b["doc"]
+def _similarity_of_ties(pairs: DataFrame, tied: list[str], use: bool) -> DataFrame:
+    """Adds sim: the texts' similarity where other pairs are equal in what is compared before it, else 0."""
+    if not use:
+        return pairs.withColumn("sim", F.lit(0.0))
+    ask = F.count("*").over(Window.partitionBy(*tied)) > 1
+    pairs = pairs.withColumn("_ask", ask)
+    return pairs.withColumn("sim", text.similarity(F.when(F.col("_ask"), F.col("b_norm")).otherwise(""), F.when(F.col("_ask"), F.col("l_norm")).otherwise(""))).drop("_ask")
 
 
-def _compatible(a: dict, b: dict) -> bool:
-    return _same(a, b) or (len(a["doc"]) == 14 == len(b["doc"]) and a["root"] == b["root"])
+def _matches(df: DataFrame, banks: Column, ledgers: Column, score: Column | int, method: Column | str, status: Column | str, note: Column | str) -> DataFrame:
+    """Rows of MATCH."""
+    given = {"empresa_id": F.col("empresa_id"), "bank_ids": banks, "ledger_ids": ledgers, "score": score, "metodo": method, "status": status, "observacao": note}
+    kinds = dict(x.split(" ", 1) for x in MATCH.split(", "))
+    return df.select(*((v if isinstance(v, Column) else F.lit(v)).cast(kinds[c]).alias(c) for c, v in given.items()))
 
 
-def _remark(b: dict, l: dict, texts: Texts) -> str:
-    """What differs and what links two rows that are matched by their value alone."""
-    differ = [t for on, t in ((b["data_ref"] != l["data_ref"], "data diferente"), (b["doc"] != l["doc"], "CNPJ/CPF diferente ou ausente"), (not texts.supplier(b, l), "fornecedor/prestador diferente ou nao identificado")) if on]
-    out = [fixed.NOTE_EQUAL_VALUE]
-    if b["federal"] and l["tax"]:
-        out.append(fixed.NOTE_TAX)
-    if differ:
-        out.append("Outras informacoes divergentes: " + ", ".join(differ) + ".")
-    cats = sorted(k for k, w in fixed.CATEGORIES.items() if b["tokset"] & set(w) and l["tokset"] & set(w))
-    common = sorted(b["tokset"] & l["tokset"])[:5]
-    link = "; ".join(f"{name}: {', '.join(x)}" for name, x in (("categorias relacionadas", cats), ("palavras em comum", common)) if x)
-    out.append(f"Ligacao textual encontrada: {link}." if link else fixed.NOTE_NO_LINK)
-    return " ".join(out)
+def _pair_rows(pairs: DataFrame) -> DataFrame:
+    return _matches(pairs.withColumn("empresa_id", F.col("b_empresa_id")), F.array("b_id"), F.array("l_id"), F.col("score"), F.col("metodo"), F.col("status"), F.col("observacao"))
 
 
-def _frame(out: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=[c.split()[0] for c in MATCH.split(", ")])
+def _unused(facts: DataFrame, matches: DataFrame, ids: str) -> DataFrame:
+    return facts.join(matches.select(F.explode(ids).alias("id")), "id", "left_anti")
 
 
-def _both(bank: DataFrame, ledger: DataFrame, extra: list[str]) -> DataFrame:
-    b = bank.select(F.lit(0).alias("side"), *_BANK, F.lit(False).alias("tax"), F.lit("").alias("payee"), *extra)
-    l = ledger.select(F.lit(1).alias("side"), *_LEDGER, F.lit(False).alias("federal"), *extra)
-    return b.unionByName(l)
+def _none(bank: DataFrame, matches: DataFrame) -> DataFrame:
+    return _matches(_unused(bank, matches, "bank_ids"), F.array("id"), F.array(), 0, "SEM_CORRESPONDENCIA", "NAO_ENCONTRADO", "")
 
 
-Step = Callable[[list[dict], list[dict]], list[tuple]]
+# --- one to one
 
 
-def _dealt(df: DataFrame, keys: list[str], step: Step, schema: str) -> DataFrame:
-    """step on both sides of each group of keys. Groups are small and many, so a Python call gets all groups of one
-    part and deals their rows out itself."""
-    n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [c.split()[0] for c in schema.replace("decimal(18,2)", "decimal").split(", ")]
+def _crowded_month(use_similarity: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The loop for one month, kind and value with many ledger rows: (b, l). Of what is free, the first SCORED_LIMIT by
+    document, distance and id are scored; lists are kept for each kind of bank row and scores for each two kinds."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: dict[tuple, tuple[list[dict], list[dict]]] = defaultdict(lambda: ([], []))
-        for side, rows in enumerate(_rows(pdf)):
-            for r in rows:
-                groups[tuple(r[k] for k in keys)][side].append(r)
-        return pd.DataFrame([x for sides in groups.values() for x in step(*sides)], columns=names)
-
-    return df.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(n))).groupBy("_part").applyInPandas(run, schema)
-
-
-def _best_of_month(bank: list[dict], ledger: list[dict]) -> list[tuple]:
-    """One-to-one of one month, kind and value."""
-    texts, used, out = Texts(), set(), []
-    for b in bank:
-        free = [l for l in ledger if l["id"] not in used]
-        if not free:
-            break
-        free.sort(key=lambda l: (not _compatible(b, l), _gap(b, l), l["id"]))
-        best = None
-        for l in free[: fixed.SCORED_LIMIT]:
-            score, method = scoring.score_pair(b, l, texts.supplier, texts.related, False)
-            key = (-score, _gap(b, l), not _same(b, l), not texts.supplier(b, l), -texts.similarity(b, l), l["id"])
-            if score and (best is None or key < best[0]):
-                best = (key, l, score, method)
-        if best:
-            _, l, score, method = best
-            used.add(l["id"])
-            status = scoring.class_of(score, method)
-            note = _remark(b, l, texts) if status == "CONCILIADO_VALOR_IGUAL" else ""
-            out.append((b["empresa_id"], [b["id"]], [l["id"]], score, method, status, note))
-    return out
-
-
-def _groups_of_month(bank: list[dict], ledger: list[dict]) -> list[tuple]:
-    """Instalments of the ledger that sum to a bank row, within a month and kind."""
-    texts, used, out = Texts(), set(), []
-    by_root, taxes = defaultdict(list), [l for l in ledger if l["tax"]]
-    for l in ledger:
-        by_root[l["root"]].append(l)
-    for b in bank:
-        own = by_root[b["root"]] if b["root"] else taxes if b["federal"] else []
-        fits = [l for l in own if l["id"] not in used and l["valor"] < b["valor"] and _gap(b, l) <= fixed.SUPPLIER_DAYS and (_compatible(b, l) or (l["tax"] if b["federal"] else texts.supplier(b, l)))]
-        if len(fits) < 2:
-            continue
-        fits.sort(key=lambda l: (not _compatible(b, l), _gap(b, l), l["valor"], l["id"]))
-        fits = fits[: fixed.MONTH_GROUP_LIMIT]
-        got = [fits[i] for i in exact_subset([l["cents"] for l in fits], b["cents"])]
-        if not got:
-            continue
-        used.update(l["id"] for l in got)
-        method, note = "AGRUPAMENTO_SISTEMA_VALOR", "Conciliado por soma exata de parcelas do Sistema contra um lançamento do Banco."
-        if b["federal"] and any(l["tax"] for l in got):
-            method, note = "AGRUPAMENTO_SISTEMA_TRIBUTO_CAIXA_VALOR", "Tributo/encargo associado a CAIXA ECONOMICA; parcelas do Sistema somam exatamente o valor do Banco."
-        elif any(_compatible(b, l) for l in got):
-            method = "AGRUPAMENTO_SISTEMA_CNPJ_VALOR"
-        out.append((b["empresa_id"], [b["id"]], [l["id"] for l in got], 98, method, "CONCILIADO", note))
-    return out
-
-
-def resolve_months(bank: DataFrame, ledger: DataFrame) -> DataFrame:
-    """MATCH rows of all months: one-to-one first, then groups; rows of different months never meet. Bank rows
-    without a match follow without ledger ids (NAO_ENCONTRADO)."""
-    # Features are read by both steps; kept on disk where memory is short.
-    b, l = bank_features(bank).persist(StorageLevel.DISK_ONLY), ledger_features(ledger).persist(StorageLevel.DISK_ONLY)
-    # Only keys that both sides have reach Python.
-    keys = ["month", "tipo", "cents"]
-    one = _both(b.join(l.select(keys).distinct(), keys, "left_semi"), l.join(b.select(keys).distinct(), keys, "left_semi"), [])
-    pairs = _dealt(one, keys, _best_of_month, MATCH)
-    pairs = pairs.persist(StorageLevel.DISK_ONLY)
-    b = b.join(pairs.select(F.explode("bank_ids").alias("id")), "id", "left_anti")
-    l = l.join(pairs.select(F.explode("ledger_ids").alias("id")), "id", "left_anti")
-    # Roots with a tax entry, and bank rows that reach taxes without a document, stay together.
-    tax_roots = l.where("tax and root <> ''").select("root", F.lit(True).alias("reached")).distinct()
-    b = b.where("root <> '' or federal").join(tax_roots, "root", "left").withColumn("part", F.when(F.col("reached") | (F.col("root") == ""), "").otherwise(F.col("root"))).drop("reached")
-    l = l.where("root <> '' or tax").join(tax_roots, "root", "left").withColumn("part", F.when(F.col("reached") | (F.col("root") == ""), "").otherwise(F.col("root"))).drop("reached")
-    keys = ["month", "tipo", "part"]
-    many = l.groupBy(*keys).count().where("count > 1").select(keys)
-    both = _both(b.join(many, keys, "left_semi"), l.join(b.select(keys).distinct(), keys, "left_semi"), ["part"])
-    found = pairs.unionByName(_dealt(both, keys, _groups_of_month, MATCH)).persist(StorageLevel.DISK_ONLY)
-    none = bank.join(found.select(F.explode("bank_ids").alias("id")), "id", "left_anti")
-    kinds = dict(x.split(" ", 1) for x in MATCH.split(", "))
-    given = {"bank_ids": F.array("id"), "ledger_ids": F.array(), "score": F.lit(0), "metodo": F.lit("SEM_CORRESPONDENCIA"), "status": F.lit("NAO_ENCONTRADO"), "observacao": F.lit("")}
-    return found.unionByName(none.select(*(given.get(c, F.col(c) if c == "empresa_id" else None).cast(k).alias(c) for c, k in kinds.items())))
+    def supplier(b: dict, l: dict) -> bool:
+        return bool(b["toks"] & l["toks"]) or use_similarity and text.ratio(b["norm"], l["norm"]) >= fixed.TEXT_SIMILARITY
 
+    def related(b: dict, l: dict) -> bool:
+        return bool(b["toks"] & l["toks"]) or any(b["toks"] & w and l["toks"] & w for w in map(set, fixed.CATEGORIES.values()))
 
-class _Near:
-    """Rows by a key, found by distance in days."""
+    def kind(r: dict) -> tuple:
+        return (r["data_ref"], r["doc"], r["norm"])
 
-    def __init__(self, rows: Iterable[dict], key: Callable[[dict], object]):
-        self.by: dict[object, list[dict]] = defaultdict(list)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(pdf.to_dict("records"), key=lambda r: (r["data_ref"], r["id"]))
         for r in rows:
-            self.by[key(r)].append(r)
-        self.day = {k: [r["data_ref"].toordinal() for r in v] for k, v in self.by.items()}
-
-    def within(self, key: object, row: dict, days: int) -> list[dict]:
-        at = self.day.get(key)
-        if not at:
-            return []
-        d = row["data_ref"].toordinal()
-        return self.by[key][bisect_left(at, d - days) : bisect_right(at, d + days)]
-
-
-class _Account:
-    """All passes over one company's rows."""
-
-    def __init__(self, bank: list[dict], ledger: list[dict]):
-        self.bank, self.ledger, self.texts, self.out = bank, ledger, Texts(), []
-        self.used: tuple[set, set] = (set(), set())
-        self.times: tuple[dict, dict] = (defaultdict(int), defaultdict(int))
-        for side, rows in enumerate((bank, ledger)):
-            for r in rows:
-                if r["doc"]:
-                    self.times[side][self.quantity_key(r)] += 1
-
-    @staticmethod
-    def quantity_key(r: dict) -> tuple:
-        return (r["doc"], r["tipo"], r["cents"], r["month"])
-
-    def free(self, side: int, rows: Iterable[dict]) -> list[dict]:
-        return [r for r in rows if r["id"] not in self.used[side]]
-
-    def emit(self, banks: list[dict], ledgers: list[dict], score: int, method: str, status: str, note: str = "") -> None:
-        self.used[0].update(b["id"] for b in banks)
-        self.used[1].update(l["id"] for l in ledgers)
-        self.out.append(((banks or ledgers)[0]["empresa_id"], [b["id"] for b in banks], [l["id"] for l in ledgers], score, method, status, note))
-
-    def sums(self, one: dict, many: list[dict], limit: int, cut: bool) -> list[dict]:
-        if len(many) < 2 or (len(many) > limit and not cut):
-            return []
-        many = sorted(many, key=lambda r: (_gap(one, r), r["valor"], r["id"]))[:limit]
-        return [many[i] for i in exact_subset([r["cents"] for r in many], one["cents"])]
-
-    def by_document(self, side: int) -> None:
-        """Rows of the other side with a compatible document, near in date, that sum to one row of this side."""
-        mine, other = (self.bank, self.ledger) if side == 0 else (self.ledger, self.bank)
-        index = _Near(other, lambda r: (r["tipo"], r["root"]))
-        method = ("AGRUPAMENTO_SISTEMA_CNPJ_DATA_VALOR", "AGRUPAMENTO_BANCO_CNPJ_DATA_VALOR")[side]
-        for r in self.free(side, mine):
-            if not r["doc"]:
-                continue
-            fits = [x for x in self.free(1 - side, index.within((r["tipo"], r["root"]), r, fixed.NEAR_DAYS)) if x["valor"] < r["valor"] and _compatible(r, x)]
-            if got := self.sums(r, fits, fixed.GROUP_LIMIT, False):
-                branch = any(not _same(r, x) for x in got)
-                note = fixed.NOTE_BRANCH_GROUP if branch else ""
-                self.emit(*(([r], got) if side == 0 else (got, [r])), 98, method, "CONCILIADO", note)
-
-    def by_tax(self, side: int) -> None:
-        flag = ("federal", "tax")
-        mine, other = (self.bank, self.ledger) if side == 0 else (self.ledger, self.bank)
-        index = _Near([x for x in other if x[flag[1 - side]]], lambda r: r["tipo"])
-        method = ("AGRUPAMENTO_SISTEMA_TRIBUTO_CAIXA_VALOR", "AGRUPAMENTO_BANCO_TRIBUTO_CAIXA_VALOR")[side]
-        for r in self.free(side, mine):
-            if not r[flag[side]]:
-                continue
-            fits = [x for x in self.free(1 - side, index.within(r["tipo"], r, fixed.SUPPLIER_DAYS)) if x["valor"] < r["valor"]]
-            if got := self.sums(r, fits, fixed.TAX_GROUP_LIMIT, True):
-                self.emit(*(([r], got) if side == 0 else (got, [r])), 98, method, "CONCILIADO", fixed.NOTE_TAX_GROUP)
-
-    def by_payee(self) -> None:
-        skip = set(fixed.IGNORED_PAYEE_TOKENS)
-        words: dict[str, set] = {}
-        for l in self.ledger:
-            words.setdefault(l["payee"], {t for t in l["payee"].split() if len(t) >= 4 and not t.isdigit()} - set(fixed.IGNORED_TOKENS) - skip)
-        index = _Near(self.ledger, lambda r: r["tipo"])
-        for b in self.free(0, self.bank):
-            toks = b["tokset"] - skip
-            if not toks:
-                continue
-            payees: dict[str, list[dict]] = {}
-            for l in self.free(1, index.within(b["tipo"], b, fixed.NEAR_DAYS)):
-                if l["valor"] < b["valor"] and toks & words[l["payee"]]:
-                    payees.setdefault(l["payee"], []).append(l)
-            for fits in payees.values():
-                if got := self.sums(b, fits, fixed.GROUP_LIMIT, False):
-                    self.emit([b], got, 98, "AGRUPAMENTO_SISTEMA_FORNECEDOR_DATA_VALOR", "CONCILIADO", fixed.NOTE_PAYEE_GROUP)
-                    break
-
-    def pair(self, b: dict, l: dict, score: int, method: str) -> None:
-        """Emits a pair after the quantity rule and the remark on equal values."""
-        status, note, key = scoring.class_of(score, method), "", self.quantity_key(b)
-        if b["doc"] and key == self.quantity_key(l):
-            nb, nl = self.times[0][key], self.times[1][key]
-            if nb != nl:
-                score, status, method = min(score, 72), "POSSIVEL_REVISAO", f"{method}_QTD_DIVERGENTE"
-                note = f"Mesmo fornecedor, mes e valor, mas quantidade diferente: banco={nb}, sistema={nl}"
-            elif nb > 1:
-                note = f"Quantidade mensal conferida: banco={nb}, sistema={nl}"
-        if status == "CONCILIADO_VALOR_IGUAL":
-            note = _remark(b, l, self.texts)
-        self.emit([b], [l], score, method, status, note)
-
-    def strong_pairs(self) -> None:
-        """Equal document and value with at least 95, best pairs of all first."""
-        index = defaultdict(list)
-        for l in self.free(1, self.ledger):
-            if l["doc"]:
-                index[(l["tipo"], l["cents"], l["doc"])].append(l)
-        found = []
-        for b in self.free(0, self.bank):
-            for l in index.get((b["tipo"], b["cents"], b["doc"]), ()):
-                score, method = scoring.score_pair(b, l, self.texts.supplier, self.texts.related, True)
-                if score >= 95:
-                    found.append(((-score, _gap(b, l), 0, not self.texts.supplier(b, l), -self.texts.similarity(b, l), b["id"], l["id"]), b, l, score, method))
-        for _, b, l, score, method in sorted(found, key=lambda x: x[0]):
-            if b["id"] not in self.used[0] and l["id"] not in self.used[1]:
-                self.pair(b, l, score, method)
-
-    def best_of_rest(self) -> None:
-        """Each bank row takes its best free ledger row; of equal scores the first by date and id."""
-        value, near = defaultdict(list), _Near([l for l in self.ledger if l["doc"]], lambda r: (r["tipo"], r["doc"]))
-        for l in self.ledger:
-            value[(l["tipo"], l["cents"])].append(l)
-        for b in self.free(0, self.bank):
-            best = None
-            fits = {l["id"]: l for l in self.free(1, value.get((b["tipo"], b["cents"]), ()))}
-            if not fits or b["doc"]:
-                fits |= {l["id"]: l for l in self.free(1, near.within((b["tipo"], b["doc"]), b, fixed.NEAR_DAYS))} if b["doc"] else {}
-            for l in sorted(fits.values(), key=lambda r: (r["data_ref"], r["id"])):
-                score, method = scoring.score_pair(b, l, self.texts.supplier, self.texts.related, True)
-                if score and (best is None or score > best[1]):
-                    best = (l, score, method)
+            r["toks"] = set(r["toks"])
+        bank, ledger = ([r for r in rows if r["side"] == s] for s in (0, 1))
+        lists: dict[tuple, list[dict]] = {}
+        known: dict[tuple, tuple] = {}
+        used, out = set(), []
+
+        def wish(b: dict, l: dict) -> tuple:
+            k = (*kind(b), *kind(l))
+            if k not in known:
+                gap, same, sup = abs((b["data_ref"] - l["data_ref"]).days), b["doc"] != "" and b["doc"] == l["doc"], supplier(b, l)
+                score, _ = scoring.score_pair(b, l, lambda *_: sup, related, False)
+                known[k] = (-score, gap, not same, not sup, -text.ratio(b["norm"], l["norm"]) if use_similarity else 0)
+            return (*known[k], l["id"])
+
+        def before(b: dict, l: dict) -> tuple:
+            close = b["doc"] != "" and b["doc"] == l["doc"] or len(b["doc"]) == 14 == len(l["doc"]) and b["root"] == l["root"]
+            return (not close, abs((b["data_ref"] - l["data_ref"]).days), l["id"])
+
+        for b in bank:
+            if kind(b) not in lists:
+                lists[kind(b)] = sorted((l for l in ledger if l["id"] not in used), key=lambda l: before(b, l), reverse=True)
+            order, window = lists[kind(b)], []
+            while order and len(window) < fixed.SCORED_LIMIT:  # the nearest are at the end; used ones go for good
+                l = order.pop()
+                if l["id"] not in used:
+                    window.append(l)
+            order.extend(reversed(window))
+            best = min((x for x in (wish(b, l) for l in window) if x[0]), default=None)
             if best:
-                self.pair(b, *best)
-            else:
-                self.emit([b], [], 0, "SEM_CORRESPONDENCIA", "NAO_ENCONTRADO")
+                used.add(best[-1])
+                out.append((b["id"], best[-1]))
+        return pd.DataFrame(out, columns=["b", "l"])
 
-    def run(self) -> pd.DataFrame:
-        for step in (lambda: self.by_document(0), lambda: self.by_document(1), lambda: self.by_tax(0), lambda: self.by_tax(1), self.by_payee, self.strong_pairs, self.best_of_rest):
-            step()
-        return _frame(self.out)
+    return run
 
 
-def resolve_account(bank: DataFrame, ledger: DataFrame) -> DataFrame:
-    """MATCH rows of each company, over all passes; bank rows without a match have no ledger ids."""
-    both = _both(bank_features(bank), ledger_features(ledger), [])
-    return both.groupBy("empresa_id").applyInPandas(lambda pdf: _Account(*_rows(pdf)).run(), MATCH)
+def match_months(b: DataFrame, l: DataFrame, use_similarity: bool = True) -> DataFrame:
+    """MATCH rows of one bank and one ledger row of equal month, kind and value; b and l with features."""
+    keys = ["month", "tipo", "cents"]
+    size = l.groupBy(*keys).agg((F.count("*") > fixed.SCORED_LIMIT).alias("crowded"))
+    # Only keys that both sides have.
+    b = b.join(size, keys)
+    crowd = l.join(size.where("crowded"), keys, "left_semi")
+    both = b.where("crowded").select(F.lit(0).alias("side"), *_BANK, F.lit(False).alias("tax")).unionByName(crowd.select(F.lit(1).alias("side"), *_LEDGER[:-1], F.lit(False).alias("federal")))
+    loop = both.groupBy(*keys).applyInPandas(_crowded_month(use_similarity), "b long, l long")
+
+    few = candidates.equal_value(b.where("not crowded").drop("crowded"), l, month=True)
+    few = scoring.score_month(few, use_similarity).where("score > 0").withColumns({"gap": candidates.days(), "same": _same()})
+    few = _similarity_of_ties(few, ["b_id", "score", "gap", "same", "supplier"], use_similarity)
+    wish = F.struct((-F.col("score")).alias("score"), "gap", (~F.col("same")).alias("same"), (~F.col("supplier")).alias("supplier"), (-F.col("sim")).alias("sim"), "l_id")
+    pairs = few.select(F.col("b_id").alias("b"), F.col("l_id").alias("l"), _turn("b").alias("turn"), wish.alias("wish"))
+    taken = first_come(pairs).unionByName(loop)
+
+    one, two = candidates.prefixed(b.drop("crowded"), "b_"), candidates.prefixed(l, "l_")
+    got = taken.join(one, F.col("b") == F.col("b_id")).join(two, F.col("l") == F.col("l_id"))
+    return _pair_rows(_with_note(scoring.score_month(got, use_similarity)))
 
 
 def near_matches(bank: DataFrame, ledger: DataFrame) -> DataFrame:
     """bank_id, ledger_id, diferenca: rows left over with equal document root and kind but another value. The month
     is asked only where no ledger row lies within three days, and then its first 20 rows."""
-    cols = ["id", "data_ref", "tipo", "valor", "root"]
-    b = bank_features(bank).where("root <> ''").select(F.lit(0).alias("side"), *cols)
-    l = ledger_features(ledger).where("root <> ''").select(F.lit(1).alias("side"), *cols)
-
-    def step(bank: list[dict], ledger: list[dict]) -> list[tuple]:
-        index, months, used, out = _Near(ledger, lambda r: 0), defaultdict(list), set(), []
-        for r in ledger:
-            months[(r["data_ref"].year, r["data_ref"].month)].append(r)
-        for r in bank:
-            fits = index.within(0, r, fixed.NEAR_DAYS) or months[(r["data_ref"].year, r["data_ref"].month)][: fixed.MONTH_FALLBACK_LIMIT]
-            fits = [x for x in fits if x["id"] not in used and x["valor"] != r["valor"]]
-            if fits:
-                x = min(fits, key=lambda x: (_gap(r, x), abs(r["valor"] - x["valor"]), str(x["id"])))
-                used.add(x["id"])
-                out.append((r["id"], x["id"], r["valor"] - x["valor"]))
-        return out
-
-    return _dealt(b.unionByName(l), ["tipo", "root"], step, "bank_id long, ledger_id long, diferenca decimal(18,2)")
+    b, l = (f.where("root <> ''").select(*_NARROW) for f in (bank_features(bank), ledger_features(ledger)))
+    cols = ["b_id", "b_data_ref", "b_valor", "l_id", "l_data_ref", "l_valor"]
+    near = candidates.band(b, l, ["tipo", "root"], fixed.NEAR_DAYS).select(*cols)
+    alone = candidates.prefixed(b, "b_").join(near.select("b_id"), "b_id", "left_anti")
+    order = Window.partitionBy("tipo", "root", "month").orderBy("data_ref", "id")
+    firsts = candidates.prefixed(l.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= fixed.MONTH_FALLBACK_LIMIT).drop("_no"), "l_")
+    late = alone.join(firsts, [F.col(f"b_{k}") == F.col(f"l_{k}") for k in ("tipo", "root", "month")]).select(*cols)
+    pairs = near.unionByName(late).where("b_valor <> l_valor")
+    wish = F.struct(candidates.days().alias("gap"), F.abs(F.col("b_valor") - F.col("l_valor")).alias("apart"), F.col("l_id").cast("string").alias("id"))
+    got = first_come(pairs.select(F.col("b_id").alias("b"), F.col("l_id").alias("l"), _turn("b").alias("turn"), wish.alias("wish")))
+    values = got.join(b.select(F.col("id").alias("b"), F.col("valor").alias("bv")), "b").join(l.select(F.col("id").alias("l"), F.col("valor").alias("lv")), "l")
+    return values.select(F.col("b").alias("bank_id"), F.col("l").alias("ledger_id"), (F.col("bv") - F.col("lv")).cast("decimal(18,2)").alias("diferenca"))
+
+
+# --- groups
+
+
+def _groups(pairs: DataFrame, side: int, place: Column, mark: Column, limit: int, cut: bool, sub: Column | None = None) -> DataFrame:
+    """one, many of exact_groups for pairs of bank and ledger rows; side 0: one bank row, many ledger rows."""
+    one, many = ("b", "l") if side == 0 else ("l", "b")
+    pairs = pairs.where(F.col(f"{many}_valor") < F.col(f"{one}_valor"))
+    sub = F.lit("") if sub is None else sub
+    return exact_groups(pairs.select(F.col(f"{one}_id").alias("one"), F.col(f"{many}_id").alias("many"), _turn(one).alias("turn"), sub.alias("sub"), _turn(many).alias("seen"), place.alias("place"), F.col(f"{many}_cents").alias("cents"), F.col(f"{one}_cents").alias("target"), mark.alias("mark")), limit, cut)
+
+
+def _marked(mark: int) -> Column:
+    return F.exists("many", lambda m: m["mark"].bitwiseAND(mark) > 0)
+
+
+def groups_of_months(b: DataFrame, l: DataFrame, use_similarity: bool = True) -> DataFrame:
+    """MATCH rows of a bank row and the ledger rows of its month and kind that sum to it: of its document's root, or
+    taxes where the federal bank gives none."""
+    one, two = candidates.prefixed(b, "b_"), candidates.prefixed(l, "l_")
+    on = [F.col("b_month") == F.col("l_month"), F.col("b_tipo") == F.col("l_tipo"), F.col("l_valor") < F.col("b_valor")]
+    own = one.where("b_root <> ''").join(two.where("l_root <> ''"), [*on, F.col("b_root") == F.col("l_root")])
+    tax = one.where("b_root = '' AND b_federal").join(two.where("l_tax"), on)
+    # The text is asked only where neither document nor tax decides.
+    rest = own.withColumn("close", _compatible()).where(F.col("close") | ~F.col("b_federal") | F.col("l_tax"))
+    ask = ~F.col("close") & ~F.col("b_federal") & ~scoring.tokens_in_common()
+    sim = text.similarity(F.when(ask, F.col("b_norm")).otherwise(""), F.when(ask, F.col("l_norm")).otherwise("")) if use_similarity else F.lit(0.0)
+    rest = rest.withColumn("_sim", sim).where(F.col("close") | F.col("b_federal") | scoring.tokens_in_common() | (F.col("_sim") >= fixed.TEXT_SIMILARITY)).drop("_sim")
+    pairs = rest.unionByName(tax.withColumn("close", F.lit(False))).withColumn("gap", candidates.days()).where(F.col("gap") <= fixed.SUPPLIER_DAYS)
+    place = F.struct((~F.col("close")).alias("far"), "gap", "l_valor", "l_id")
+    mark = F.when(F.col("close"), COMPATIBLE).otherwise(0) + F.when(F.col("l_tax"), TAX).otherwise(0)
+    got = _groups(pairs, 0, place, mark, fixed.MONTH_GROUP_LIMIT, True).join(b.select(F.col("id").alias("one"), "empresa_id", "federal"), "one")
+    taxed = F.col("federal") & _marked(TAX)
+    method = F.when(taxed, "AGRUPAMENTO_SISTEMA_TRIBUTO_CAIXA_VALOR").when(_marked(COMPATIBLE), "AGRUPAMENTO_SISTEMA_CNPJ_VALOR").otherwise("AGRUPAMENTO_SISTEMA_VALOR")
+    return _matches(got, F.array("one"), F.transform("many", lambda m: m["id"]), 98, method, "CONCILIADO", F.when(taxed, fixed.NOTE_SUM_TAX).otherwise(fixed.NOTE_SUM))
+
+
+def resolve_months(bank: DataFrame, ledger: DataFrame, use_similarity: bool = True) -> DataFrame:
+    """MATCH rows of all months: one-to-one first, then groups; rows of different months never meet. Bank rows
+    without a match follow without ledger ids (NAO_ENCONTRADO)."""
+    b, l = written(bank_features(bank).select(*_BANK), "bank"), written(ledger_features(ledger).select(*_LEDGER), "ledger")
+    pairs = written(match_months(b, l, use_similarity), "matches")
+    groups = groups_of_months(_unused(b, pairs, "bank_ids"), _unused(l, pairs, "ledger_ids"), use_similarity)
+    found = written(pairs.unionByName(groups), "matches")
+    remove(pairs, b, l)
+    return found.unionByName(_none(bank, found))
+
+
+# --- the account dialect
+
+
+def _group_rows(got: DataFrame, side: int, facts: DataFrame, method: str, note: Column | str) -> DataFrame:
+    got = got.join(facts.select(F.col("id").alias("one"), "empresa_id"), "one")
+    many = F.transform("many", lambda m: m["id"])
+    return _matches(got, *((F.array("one"), many) if side == 0 else (many, F.array("one"))), 98, method, "CONCILIADO", note)
+
+
+def _by_document(b: DataFrame, l: DataFrame, side: int) -> DataFrame:
+    """Rows of the other side with a compatible document, near in date, that sum to one row of this side."""
+    near = candidates.band(b.where("doc <> ''").select(*_NARROW), l.where("doc <> ''").select(*_NARROW), ["empresa_id", "tipo", "root"], fixed.NEAR_DAYS).where(_compatible())
+    many = "l" if side == 0 else "b"
+    got = _groups(near, side, F.struct(candidates.days().alias("gap"), f"{many}_valor", f"{many}_id"), F.when(_same(), 0).otherwise(1), fixed.GROUP_LIMIT, False)
+    method = ("AGRUPAMENTO_SISTEMA_CNPJ_DATA_VALOR", "AGRUPAMENTO_BANCO_CNPJ_DATA_VALOR")[side]
+    return _group_rows(got, side, (b, l)[side], method, F.when(_marked(1), fixed.NOTE_BRANCH_GROUP).otherwise(""))
+
+
+def _by_tax(b: DataFrame, l: DataFrame, side: int) -> DataFrame:
+    near = candidates.band(b.where("federal").select(*_NARROW), l.where("tax").select(*_NARROW), ["empresa_id", "tipo"], fixed.SUPPLIER_DAYS)
+    many = "l" if side == 0 else "b"
+    got = _groups(near, side, F.struct(candidates.days().alias("gap"), f"{many}_valor", f"{many}_id"), F.lit(0), fixed.TAX_GROUP_LIMIT, True)
+    method = ("AGRUPAMENTO_SISTEMA_TRIBUTO_CAIXA_VALOR", "AGRUPAMENTO_BANCO_TRIBUTO_CAIXA_VALOR")[side]
+    return _group_rows(got, side, (b, l)[side], method, fixed.NOTE_TAX_GROUP)
+
+
+def _by_payee(b: DataFrame, l: DataFrame) -> DataFrame:
+    """Ledger rows of one payee, which shares a word with the bank row; payees by their first row."""
+    skip = F.array(*map(F.lit, fixed.IGNORED_PAYEE_TOKENS))
+    word = lambda toks: F.explode(F.array_except(toks, skip)).alias("word")
+    near = candidates.band(b.select(*_NARROW, word(F.col("toks"))), l.select(*_NARROW, "payee", word(text.tokens("payee"))), ["empresa_id", "tipo", "word"], fixed.NEAR_DAYS).dropDuplicates(["b_id", "l_id"])
+    got = _groups(near, 0, F.struct(candidates.days().alias("gap"), "l_valor", "l_id"), F.lit(0), fixed.GROUP_LIMIT, False, F.col("l_payee"))
+    return _group_rows(got, 0, b, "AGRUPAMENTO_SISTEMA_FORNECEDOR_DATA_VALOR", fixed.NOTE_PAYEE_GROUP)
+
+
+def _with_quantity(pairs: DataFrame, times: DataFrame) -> DataFrame:
+    """The quantity rule: equal document, kind, value and month must occur as often on both sides."""
+    keys = ["empresa_id", "doc", "tipo", "cents", "month"]
+    same = (F.col("b_doc") != "") & (F.col("b_doc") == F.col("l_doc")) & (F.col("b_cents") == F.col("l_cents")) & (F.col("b_month") == F.col("l_month"))
+    got = pairs.join(times.select(*(F.col(k).alias(f"b_{k}") for k in keys), "nb", "nl"), [f"b_{k}" for k in keys], "left").withColumn("_same", same)
+    apart, often = F.col("_same") & (F.col("nb") != F.col("nl")), F.col("_same") & (F.col("nb") == F.col("nl")) & (F.col("nb") > 1)
+    counts = F.concat(F.lit("banco="), F.col("nb").cast("string"), F.lit(", sistema="), F.col("nl").cast("string"))
+    note = F.when(apart, F.concat(F.lit("Mesmo fornecedor, mes e valor, mas quantidade diferente: "), counts)).when(often, F.concat(F.lit("Quantidade mensal conferida: "), counts)).otherwise("")
+    got = got.withColumns({"observacao": note, "score": F.when(apart, F.least("score", F.lit(72))).otherwise(F.col("score")), "status": F.when(apart, "POSSIVEL_REVISAO").otherwise(F.col("status")), "metodo": F.when(apart, F.concat("metodo", F.lit("_QTD_DIVERGENTE"))).otherwise(F.col("metodo"))})
+    return got.withColumn("observacao", F.when(F.col("status") == "CONCILIADO_VALOR_IGUAL", _remark()).otherwise(F.col("observacao")))
+
+
+def _scored_in_company(pairs: DataFrame, use_similarity: bool) -> DataFrame:
+    return scoring.score_account(pairs.where("b_empresa_id = l_empresa_id"), use_similarity)
+
+
+def _chosen(scored: DataFrame, taken: DataFrame, times: DataFrame) -> DataFrame:
+    return _pair_rows(_with_quantity(scored.join(taken.select(F.col("b").alias("b_id"), F.col("l").alias("l_id")), ["b_id", "l_id"]), times))
+
+
+def _strong_pairs(b: DataFrame, l: DataFrame, times: DataFrame, use_similarity: bool) -> DataFrame:
+    """Equal document and value with at least 95, best pairs of all first."""
+    scored = _scored_in_company(candidates.equal_value_and_document(b, l), use_similarity).where("score >= 95").withColumn("gap", candidates.days())
+    scored = written(_similarity_of_ties(scored, ["b_empresa_id", "b_doc", "b_cents", "score", "gap", "supplier"], use_similarity), "scored")
+    key = F.struct((-F.col("score")).alias("score"), "gap", (~F.col("supplier")).alias("supplier"), (-F.col("sim")).alias("sim"), "b_id", "l_id")
+    return _chosen(scored, best_first(scored.select(F.col("b_id").alias("b"), F.col("l_id").alias("l"), key.alias("key"))), times)
+
+
+def _best_of_rest(b: DataFrame, l: DataFrame, times: DataFrame, use_similarity: bool) -> DataFrame:
+    """Each bank row takes its best free ledger row; of equal scores the first by date and id."""
+    scored = written(_scored_in_company(candidates.scoring_pairs(b, l), use_similarity).where("score > 0"), "scored")
+    wish = F.struct((-F.col("score")).alias("score"), "l_data_ref", "l_id")
+    return _chosen(scored, first_come(scored.select(F.col("b_id").alias("b"), F.col("l_id").alias("l"), _turn("b").alias("turn"), wish.alias("wish"))), times)
+
+
+def resolve_account(bank: DataFrame, ledger: DataFrame, use_similarity: bool = True) -> DataFrame:
+    """MATCH rows of each company, over all passes; bank rows without a match have no ledger ids."""
+    b, l = written(bank_features(bank).select(*_BANK), "bank"), written(ledger_features(ledger).select(*_LEDGER), "ledger")
+    keys = ["empresa_id", "doc", "tipo", "cents", "month"]
+    sides = b.select(*keys, F.lit(1).alias("b"), F.lit(0).alias("l")).unionByName(l.select(*keys, F.lit(0).alias("b"), F.lit(1).alias("l")))
+    times = sides.where("doc <> ''").groupBy(*keys).agg(F.sum("b").alias("nb"), F.sum("l").alias("nl"))
+    passes: list[Callable[[DataFrame, DataFrame], DataFrame]] = [
+        lambda b, l: _by_document(b, l, 0), lambda b, l: _by_document(b, l, 1), lambda b, l: _by_tax(b, l, 0), lambda b, l: _by_tax(b, l, 1), _by_payee,
+        lambda b, l: _strong_pairs(b, l, times, use_similarity), lambda b, l: _best_of_rest(b, l, times, use_similarity),
+    ]
+    found = None
+    for step in passes:
+        free = (b, l) if found is None else (_unused(b, found, "bank_ids"), _unused(l, found, "ledger_ids"))
+        got = written(step(*free), "matches")
+        found = got if found is None else found.unionByName(got)
+    return found.unionByName(_none(bank, found))

@@ -3,11 +3,12 @@ import random
 from decimal import Decimal
 from itertools import combinations
 
+import loops
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text, values
-from tallyforge.operators import candidates, etl, reports, resolve, scoring
+from tallyforge.operators import candidates, etl, reports, resolve, rounds, scoring
 from tallyforge.operators.features import bank_features, ledger_features
 from tallyforge.plans.fixtures import bank, ledger
 from tallyforge.sources import files, sinks
@@ -49,7 +50,7 @@ def test_every_rule_in_both_dialects_and_both_forms(spark):
     for by_account, score in ((True, scoring.score_account), (False, scoring.score_month)):
         got = {r["b_id"]: (r["score"], r["metodo"], r["status"]) for r in score(pairs).collect()}
         assert [got[k][0] for k in range(len(RULES))] == [x[2 if by_account else 3] for x in RULES]
-        t = resolve.Texts()
+        t = loops.Texts()
         for r in pairs.collect():
             x, y = ({c[2:]: v for c, v in r.asDict().items() if c.startswith(p)} for p in ("b_", "l_"))
             x["tokset"], y["tokset"] = set(x["toks"]), set(y["toks"])
@@ -62,10 +63,10 @@ def test_exact_subset_agrees_with_all_subsets():
     for _ in range(200):
         v = [r.randrange(1, 60) for _ in range(r.randrange(1, 11))]
         target = r.randrange(1, 200)
-        got = resolve.exact_subset(v, target)
+        got = rounds.exact_subset(v, target)
         any_ = any(sum(c) == target for k in range(1, len(v) + 1) for c in combinations(v, k))
         assert bool(got) == any_ and (not got or (sum(v[i] for i in got) == target and got == sorted(set(got))))
-    assert resolve.exact_subset([30, 20, 10, 50], 50) == [0, 1]
+    assert rounds.exact_subset([30, 20, 10, 50], 50) == [0, 1]
 
 
 def test_months_on_fixtures(spark, sf):
