@@ -3,13 +3,13 @@
 A document is the set of its distinct n-word shingles; rows with the same set are one node. Each set has BUCKETS
 registers of 16 bits: of the shingle hashes that fall into a bucket the least, kept as its number of leading zeros (6
 bits) and the MANTISSA bits after the first one, so a register is smaller than a hash and still tells minima apart;
-0 is a bucket without shingles. ROWS registers in a row are a band, and nodes that agree in a band that is not empty
-are candidates. Two sets of Jaccard J agree in none of the BANDS bands with a chance of about (1 - J^ROWS)^BANDS:
+0 is a bucket without shingles. For banding, empty registers borrow from others by densification, as a band of a short
+text would else hold a single shingle; ROWS registers are a band, and nodes that agree in one are candidates. Two sets of Jaccard J agree in none of the BANDS bands with a chance of about (1 - J^ROWS)^BANDS:
 3e-9 at 0.85, less above. Candidates must then reach t, less MARGIN standard errors, by the share of equal registers
 less the agreements that the short registers have by chance. What is left is verified on the full sets.
 
-A band's bucket first gives only pairs with its least node, so copies by the thousand make a star and no clique. Then,
-where nodes of one bucket still lie in several components, those outside its largest component are compared with all
+A band's bucket first gives only pairs with the node of it that meets most others in all bands, so copies by the thousand
+make a star and no clique. Then, where nodes of one bucket still lie in several components, those outside its largest component are compared with all
 others of the bucket, in chunks dealt over tasks; only links that join components are returned. Nothing is capped.
 
 Null and empty texts have no shingles and link with nothing. Texts of fewer than n words are one shingle. Rows with
@@ -33,7 +33,9 @@ from tallyforge.llm.components import components
 from tallyforge.llm.jaccard_join import _blobs, _mixed, _verified, bitmaps, distinct_grams, linked, most_apart, node_of, oracle_sql
 
 BUCKETS, MANTISSA = 256, 10
-BANDS, ROWS = 42, 6
+BANDS, ROWS, TRIES = 42, 6, 128
+#: Bits of a hash beyond those that choose its bucket.
+BITS = 64 - (BUCKETS - 1).bit_length()
 MARGIN = 6.0
 
 
@@ -43,27 +45,41 @@ def registers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     x = _text.mix(h ^ np.uint64(0x2545F4914F6CDD1D))
     at = np.repeat(np.arange(len(n)), n) * BUCKETS + (x & np.uint64(BUCKETS - 1)).astype(np.int64)
     least = np.full(len(n) * BUCKETS, np.iinfo(np.uint64).max)
-    np.minimum.at(least, at, x >> np.uint64(8))  # 56 bits, uniform
-    held = least < np.uint64(1 << 56)
+    np.minimum.at(least, at, x >> np.uint64(64 - BITS))
+    held = least < np.uint64(1 << BITS)
     low = np.where(held, least, 0)
     # The place of the first one, exactly: float conversion may round up to the next power of two.
     top = np.frexp(low.astype(np.float64))[1].astype(np.int64)
     top -= (low < (np.uint64(1) << np.maximum(top - 1, 0).astype(np.uint64))) & (top > 0)
-    zeros = np.minimum(56 - top, 62)
+    zeros = np.minimum(BITS - top, 62)
     after = np.where(top > MANTISSA, low >> np.maximum(top - 1 - MANTISSA, 0).astype(np.uint64), low << np.maximum(MANTISSA + 1 - top, 0).astype(np.uint64))
     packed = ((zeros + 1) << MANTISSA) | (after.astype(np.int64) & ((1 << MANTISSA) - 1))
     return np.where(held, packed, 0).astype(np.uint16).reshape(len(n), BUCKETS)
 
 
-def bands(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row of each) of the bands that are not empty."""
-    part = m[:, : BANDS * ROWS].reshape(len(m), BANDS, ROWS).astype(np.uint64)
+def filled(m: np.ndarray) -> np.ndarray:
+    """Registers in which each empty one has the value of the first of TRIES buckets, drawn for its place, that is not
+    empty (optimal densification: filled registers of two sets agree with chance J, too), else the row's largest."""
+    out = m.copy()
+    rows = np.flatnonzero((m == 0).any(1) & m.any(1))
+    for k in range(TRIES):
+        if not len(rows):
+            break
+        at = (_text.mix(np.arange(BUCKETS, dtype=np.uint64) + np.uint64(BUCKETS * (k + 1))) % np.uint64(BUCKETS)).astype(np.int64)
+        part = out[rows]
+        part = np.where(part == 0, m[rows][:, at], part)
+        out[rows] = part
+        rows = rows[(part == 0).any(1)]
+    return np.where(out == 0, m.max(1, keepdims=True), out)
+
+
+def bands(m: np.ndarray) -> np.ndarray:
+    """BANDS keys of each row of registers that are not all empty."""
+    part = filled(m)[:, : BANDS * ROWS].reshape(len(m), BANDS, ROWS).astype(np.uint64)
     key = np.zeros((len(m), BANDS), np.uint64)
     for k in range(ROWS):
         key = _text.mix(key ^ (part[:, :, k] + np.uint64(k << 32)))
-    key = _text.mix(key + np.arange(BANDS, dtype=np.uint64))
-    row, band = np.nonzero(part.any(2))
-    return key[row, band].view(np.int64), row
+    return _text.mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def by_chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -112,8 +128,8 @@ def _keys(kinds: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                key, row = bands(_matrix(b.column(1)))
-                yield pa.record_batch([pa.array(key), b.column(0).take(pa.array(row))], names=["key", "node"])
+                key = bands(_matrix(b.column(1)))
+                yield pa.record_batch([pa.array(key.ravel()), b.column(0).take(pa.array(np.repeat(np.arange(len(b)), BANDS)))], names=["key", "node"])
 
     return kinds.select("node", "regs").mapInArrow(run, "key long, node long")
 
@@ -207,10 +223,12 @@ def dedup(docs: DataFrame, t: float = 0.85, n: int = 5) -> tuple[DataFrame, Data
     rows = written(_sketched(docs, n), "sketches")
     kinds = written(rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")
     keys = _keys(kinds)
-    full = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("list")).where("k > 1")
-    full = written(full, "bands")
-    members = written(keys.join(full.select("key", "lead", "k", "list"), "key"), "members")
-    stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    full = written(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("list")).where("k > 1"), "bands")
+    members = written(keys.join(full.select("key", "k"), "key"), "members")
+    # The text from which copies were made meets most of them, and most bands: it leads, so that one star holds them.
+    weight = members.groupBy("node").agg(F.sum("k").alias("weight"))
+    leads = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
+    stars = members.join(leads, "key").where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     stars = written(_near(stars, kinds, t), "stars")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -230,7 +248,7 @@ def dedup(docs: DataFrame, t: float = 0.85, n: int = 5) -> tuple[DataFrame, Data
     labels = labelled(links)
 
     # Bands with the same nodes are one list (same exclusive or, number and least of the nodes' hashes).
-    once = full.where("k > 2").groupBy("list", "k", "lead").agg(F.min("key").alias("key")).select("key")
+    once = full.where("k > 2").groupBy("list", "k", "least").agg(F.min("key").alias("key")).select("key")
     lists = members.where("k > 2").join(once, "key", "left_semi").select(F.col("key").alias("list"), "node")
     near = written(_nearest(_mixed(lists, labels, kinds), kinds, t), "near")
     sets = sets_of(near.select("node"))

@@ -115,7 +115,7 @@ def test_registers_are_least_hashes_compressed():
 
 @pytest.mark.parametrize("j", [0.0, 0.3, 0.7, 0.9])
 def test_estimate_is_unbiased(j):
-    """Unlike sets get about 0 (without the correction 0.0002 for each of 4096 pairs), others about their Jaccard."""
+    """Unlike sets get about 0 (without the correction 0.0002 for each of some thousand pairs), others about their Jaccard."""
     rng = np.random.default_rng(5)
     n, seen = 3000, []
     for _ in range(60):
