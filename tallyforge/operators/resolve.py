@@ -235,7 +235,7 @@ def _group_rows(got: DataFrame, side: int, facts: DataFrame, method: str, note:
     return _matches(got, *((F.array("one"), many) if side == 0 else (many, F.array("one"))), 98, method, "CONCILIADO", note)
 
 
-def _by_document(b: DataFrame, l: DataFrame, side: int) -> DataFrame:
+def by_document(b: DataFrame, l: DataFrame, side: int) -> DataFrame:
     """Rows of the other side with a compatible document, near in date, that sum to one row of this side."""
     near = candidates.band(b.where("doc <> ''").select(*_NARROW), l.where("doc <> ''").select(*_NARROW), ["empresa_id", "tipo", "root"], fixed.NEAR_DAYS).where(_compatible())
     many = "l" if side == 0 else "b"
@@ -244,7 +244,8 @@ def _by_document(b: DataFrame, l: DataFrame, side: int) -> DataFrame:
     return _group_rows(got, side, (b, l)[side], method, F.when(_marked(1), fixed.NOTE_BRANCH_GROUP).otherwise(""))
 
 
-def _by_tax(b: DataFrame, l: DataFrame, side: int) -> DataFrame:
+def by_tax(b: DataFrame, l: DataFrame, side: int) -> DataFrame:
+    """Taxes and rows of the federal bank within SUPPLIER_DAYS, of which those of one side sum to one of the other."""
     near = candidates.band(b.where("federal").select(*_NARROW), l.where("tax").select(*_NARROW), ["empresa_id", "tipo"], fixed.SUPPLIER_DAYS)
     many = "l" if side == 0 else "b"
     got = _groups(near, side, F.struct(candidates.days().alias("gap"), f"{many}_valor", f"{many}_id"), F.lit(0), fixed.TAX_GROUP_LIMIT, True)
@@ -252,7 +253,7 @@ def _by_tax(b: DataFrame, l: DataFrame, side: int) -> DataFrame:
     return _group_rows(got, side, (b, l)[side], method, fixed.NOTE_TAX_GROUP)
 
 
-def _by_payee(b: DataFrame, l: DataFrame) -> DataFrame:
+def by_payee(b: DataFrame, l: DataFrame) -> DataFrame:
     """Ledger rows of one payee, which shares a word with the bank row; payees by their first row."""
     skip = F.array(*map(F.lit, fixed.IGNORED_PAYEE_TOKENS))
     word = lambda toks: F.explode(F.array_except(toks, skip)).alias("word")
@@ -277,23 +278,24 @@ def _scored_in_company(pairs: DataFrame, use_similarity: bool) -> DataFrame:
     return scoring.score_account(pairs.where("b_empresa_id = l_empresa_id"), use_similarity)
 
 
-def _chosen(scored: DataFrame, taken: DataFrame, times: DataFrame) -> DataFrame:
-    return _pair_rows(_with_quantity(scored.join(taken.select(F.col("b").alias("b_id"), F.col("l").alias("l_id")), ["b_id", "l_id"]), times))
+def _chosen(scored: DataFrame, taken: DataFrame) -> DataFrame:
+    return scored.join(taken.select(F.col("b").alias("b_id"), F.col("l").alias("l_id")), ["b_id", "l_id"])
 
 
-def _strong_pairs(b: DataFrame, l: DataFrame, times: DataFrame, use_similarity: bool) -> DataFrame:
-    """Equal document and value with at least 95, best pairs of all first."""
+def strong_pairs(b: DataFrame, l: DataFrame, use_similarity: bool = True) -> DataFrame:
+    """Scored pairs of equal document and value with at least 95, best pairs of all first."""
     scored = _scored_in_company(candidates.equal_value_and_document(b, l), use_similarity).where("score >= 95").withColumn("gap", candidates.days())
     scored = written(_similarity_of_ties(scored, ["b_empresa_id", "b_doc", "b_cents", "score", "gap", "supplier"], use_similarity), "scored")
     key = F.struct((-F.col("score")).alias("score"), "gap", (~F.col("supplier")).alias("supplier"), (-F.col("sim")).alias("sim"), "b_id", "l_id")
-    return _chosen(scored, best_first(scored.select(F.col("b_id").alias("b"), F.col("l_id").alias("l"), key.alias("key"))), times)
+    return _chosen(scored, best_first(scored.select(F.col("b_id").alias("b"), F.col("l_id").alias("l"), key.alias("key"))))
 
 
-def _best_of_rest(b: DataFrame, l: DataFrame, times: DataFrame, use_similarity: bool) -> DataFrame:
-    """Each bank row takes its best free ledger row; of equal scores the first by date and id."""
+def best_of_rest_pairs(b: DataFrame, l: DataFrame, use_similarity: bool = True) -> DataFrame:
+    """Scored pairs in which each bank row of a company, by date and id, takes its best free ledger row; of equal scores
+    the first by date and id."""
     scored = written(_scored_in_company(candidates.scoring_pairs(b, l), use_similarity).where("score > 0"), "scored")
     wish = F.struct((-F.col("score")).alias("score"), "l_data_ref", "l_id")
-    return _chosen(scored, first_come(scored.select(F.col("b_id").alias("b"), F.col("l_id").alias("l"), _turn("b").alias("turn"), wish.alias("wish"))), times)
+    return _chosen(scored, first_come(scored.select(F.col("b_id").alias("b"), F.col("l_id").alias("l"), _turn("b").alias("turn"), wish.alias("wish"))))
 
 
 def resolve_account(bank: DataFrame, ledger: DataFrame, use_similarity: bool = True) -> DataFrame:
@@ -303,8 +305,8 @@ def resolve_account(bank: DataFrame, ledger: DataFrame, use_similarity: bool = T
     sides = b.select(*keys, F.lit(1).alias("b"), F.lit(0).alias("l")).unionByName(l.select(*keys, F.lit(0).alias("b"), F.lit(1).alias("l")))
     times = sides.where("doc <> ''").groupBy(*keys).agg(F.sum("b").alias("nb"), F.sum("l").alias("nl"))
     passes: list[Callable[[DataFrame, DataFrame], DataFrame]] = [
-        lambda b, l: _by_document(b, l, 0), lambda b, l: _by_document(b, l, 1), lambda b, l: _by_tax(b, l, 0), lambda b, l: _by_tax(b, l, 1), _by_payee,
-        lambda b, l: _strong_pairs(b, l, times, use_similarity), lambda b, l: _best_of_rest(b, l, times, use_similarity),
+        lambda b, l: by_document(b, l, 0), lambda b, l: by_document(b, l, 1), lambda b, l: by_tax(b, l, 0), lambda b, l: by_tax(b, l, 1), by_payee,
+        lambda b, l: _pair_rows(_with_quantity(strong_pairs(b, l, use_similarity), times)), lambda b, l: _pair_rows(_with_quantity(best_of_rest_pairs(b, l, use_similarity), times)),
     ]
     found = None
     for step in passes:

@@ -401,12 +401,170 @@ def flagship_status_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- resolvers
 
+_WISH = "-score, d, NOT same, NOT t, ledger_id"
+_STATUS = "CASE WHEN metodo = 'CNPJ_DATA_VALOR_DIFERENTE' THEN 'DIVERGENCIA' WHEN score >= 95 THEN 'CONCILIADO' WHEN score >= 70 AND (metodo LIKE 'VALOR\\_%' ESCAPE '\\' OR metodo = 'CNPJ_VALOR_DATA_DIFERENTE') THEN 'CONCILIADO_VALOR_IGUAL' WHEN score >= 80 THEN 'POSSIVEL_CORRESPONDENCIA' WHEN score >= 70 THEN 'POSSIVEL_REVISAO' ELSE 'NAO_ENCONTRADO' END"
+
+
+def _first_come_sql(name: str, pairs: str) -> str:
+    """CTEs up to `name` (bank_id, ledger_id): the loop over the banks of each group, one bank of each group a step.
+    pairs: grp, bank_id, ledger_id, turn (sorts banks), wish (rank of the ledger row for its bank, from 1)."""
+    return f"""
+{name}_p AS ({pairs}),
+{name}_t AS (SELECT grp, bank_id, row_number() OVER (PARTITION BY grp ORDER BY any_value(turn)) AS k FROM {name}_p GROUP BY grp, bank_id),
+{name}_r AS (
+  SELECT DISTINCT grp, 0::BIGINT AS k, NULL::BIGINT AS bank_id, NULL::BIGINT AS ledger_id, []::BIGINT[] AS used FROM {name}_p
+  UNION ALL
+  SELECT r.grp, r.k + 1, any_value(t.bank_id), arg_min(p.ledger_id, p.wish), CASE WHEN count(p.ledger_id) = 0 THEN any_value(r.used) ELSE list_append(any_value(r.used), arg_min(p.ledger_id, p.wish)) END
+  FROM {name}_r r JOIN {name}_t t ON t.grp = r.grp AND t.k = r.k + 1 LEFT JOIN {name}_p p ON p.bank_id = t.bank_id AND NOT list_contains(r.used, p.ledger_id) GROUP BY r.grp, r.k),
+{name} AS (SELECT bank_id, ledger_id FROM {name}_r WHERE ledger_id IS NOT NULL)"""
+
+
+def _scored_sql(by_account: bool) -> str:
+    """CTEs up to s: scored pairs without text similarity, with what orders them."""
+    return "WITH RECURSIVE" + _score_sql(by_account).split("WITH", 1)[1].split("SELECT bank_id, ledger_id, metodo, score, CASE")[0] + f""",
+x AS (SELECT s.*, b.empresa_id, l.empresa_id AS l_empresa_id, b.month, b.tipo, b.cents, l.cents AS l_cents, b.month = l.month AS in_month, b.data_ref, l.data_ref AS l_data_ref, {_D} AS d, {_SAME} AS same, list_has_any(b.toks, l.toks) AS t FROM s JOIN b ON b.id = s.bank_id JOIN l ON l.id = s.ledger_id)"""
+
+
+#: One to one of a month; groups are then the loop of exact sums. A group holds what reached sums so far, in order.
+_MONTH_PAIRS = f"SELECT month || tipo || cents AS grp, bank_id, ledger_id, (data_ref, bank_id) AS turn, row_number() OVER (PARTITION BY bank_id ORDER BY {_WISH}) AS wish FROM x WHERE cents = l_cents AND in_month AND score > 0"
+_MONTHS_SQL = _scored_sql(False) + "," + _first_come_sql("m", _MONTH_PAIRS) + f""",
+bf AS (SELECT * FROM b WHERE id NOT IN (SELECT bank_id FROM m)), lf AS (SELECT * FROM l WHERE id NOT IN (SELECT ledger_id FROM m)),
+e AS (
+  SELECT b.month || b.tipo AS grp, b.id AS bank_id, l.id AS ledger_id, b.cents AS target, l.cents, (b.data_ref, b.id) AS turn, {_CLOSE} AS close, l.tax, {_D} AS d, l.valor
+  FROM bf b JOIN lf l ON b.month = l.month AND b.tipo = l.tipo AND l.valor < b.valor AND {_D} <= 45 AND CASE WHEN b.root <> '' THEN b.root = l.root ELSE b.federal AND l.tax END
+  WHERE {_CLOSE} OR CASE WHEN b.federal THEN l.tax ELSE list_has_any(b.toks, l.toks) END),
+gt AS (SELECT grp, bank_id, any_value(target) AS target, row_number() OVER (PARTITION BY grp ORDER BY any_value(turn)) AS k FROM e GROUP BY grp, bank_id HAVING count(*) > 1),
+gr AS (
+  SELECT DISTINCT grp, 0::BIGINT AS k, NULL::BIGINT AS bank_id, []::BIGINT[] AS got, []::BIGINT[] AS used FROM gt
+  UNION ALL
+  SELECT grp, k, bank_id, got, list_concat(used, got) FROM (
+    SELECT grp, k + 1 AS k, bank_id, used, coalesce(list_filter(list_reduce(items[1:18], lambda a, i: list_concat(a, list_transform(list_filter(a, lambda y: y.s + i.c <= target AND NOT list_contains(list_transform(a, lambda z: z.s), y.s + i.c)),
+      lambda y: {{'s': y.s + i.c, 'c': 0::BIGINT, 'ids': list_append(y.ids, i.ids[1])}})), [{{'s': 0::BIGINT, 'c': 0::BIGINT, 'ids': []::BIGINT[]}}]), lambda y: y.s = target)[1].ids, []) AS got
+    FROM (
+      SELECT r.grp, r.k, t.bank_id, any_value(r.used) AS used, any_value(t.target) AS target, list({{'s': 0::BIGINT, 'c': e.cents, 'ids': [e.ledger_id]}} ORDER BY NOT e.close, e.d, e.valor, e.ledger_id) FILTER (e.ledger_id IS NOT NULL) AS items
+      FROM gr r JOIN gt t ON t.grp = r.grp AND t.k = r.k + 1 LEFT JOIN e ON e.bank_id = t.bank_id AND NOT list_contains(r.used, e.ledger_id) GROUP BY r.grp, r.k, t.bank_id))),
+g AS (SELECT bank_id, got FROM gr WHERE len(got) > 0),
+w AS (
+  SELECT bank_id::VARCHAR AS bank_ids, ledger_id::VARCHAR AS ledger_ids, score, metodo, {_STATUS} AS status FROM m JOIN s USING (bank_id, ledger_id)
+  UNION ALL SELECT g.bank_id::VARCHAR, array_to_string(got, ','), 98, CASE WHEN b.federal AND u.tax THEN 'AGRUPAMENTO_SISTEMA_TRIBUTO_CAIXA_VALOR' WHEN u.close THEN 'AGRUPAMENTO_SISTEMA_CNPJ_VALOR' ELSE 'AGRUPAMENTO_SISTEMA_VALOR' END, 'CONCILIADO'
+    FROM g JOIN b ON b.id = g.bank_id JOIN (SELECT g.bank_id, bool_or(e.tax) AS tax, bool_or(e.close) AS close FROM g JOIN e ON e.bank_id = g.bank_id AND list_contains(g.got, e.ledger_id) GROUP BY 1) u ON u.bank_id = g.bank_id
+  UNION ALL SELECT id::VARCHAR, '', 0, 'SEM_CORRESPONDENCIA', 'NAO_ENCONTRADO' FROM bf WHERE id NOT IN (SELECT bank_id FROM g))
+"""
+_NEAR_SQL = f""",
+c AS (SELECT b.tipo || ':' || b.root AS grp, b.id AS bank_id, l.id AS ledger_id, (b.data_ref, b.id) AS turn, {_D} AS d, b.valor - l.valor AS diferenca, b.month = l.month AS in_month, l.no FROM bn b JOIN (SELECT *, row_number() OVER (PARTITION BY tipo, root, month ORDER BY data_ref, id) AS no FROM ln) l ON b.tipo = l.tipo AND b.root = l.root AND b.root <> ''),
+n AS (SELECT bank_id FROM c WHERE d <= 3),
+q AS (SELECT * FROM c WHERE diferenca <> 0 AND (d <= 3 OR in_month AND no <= 20 AND bank_id NOT IN (SELECT bank_id FROM n))),
+""" + _first_come_sql("nm", "SELECT grp, bank_id, ledger_id, turn, row_number() OVER (PARTITION BY bank_id ORDER BY d, abs(diferenca), ledger_id::VARCHAR) AS wish FROM q").lstrip() + " SELECT bank_id, ledger_id, diferenca FROM nm JOIN q USING (bank_id, ledger_id)"
+
 
 def _named(m: DataFrame) -> DataFrame:
     ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return m.select(ids("bank_ids").alias("bank_ids"), ids("ledger_ids").alias("ledger_ids"), "score", "metodo", "status", "observacao")
 
 
+@query(_MONTHS_SQL + "SELECT * FROM w")
+def resolve_months_no_text(spark: SparkSession, sf: str) -> DataFrame:
+    """All passes of the month engine; texts are compared by their words only, as SQL can."""
+    return _named(resolve.resolve_months(bank(spark, sf), ledger(spark, sf), False)).drop("observacao")
+
+
+@query(_MONTHS_SQL + "SELECT metodo, status, count(*) AS qtd, sum(score)::BIGINT AS pontos FROM w GROUP BY ALL")
+def resolve_months_summary_no_text(spark: SparkSession, sf: str) -> DataFrame:
+    got = resolve.resolve_months(bank(spark, sf), ledger(spark, sf), False)
+    return got.groupBy("metodo", "status").agg(F.count("*").alias("qtd"), F.sum("score").cast("long").alias("pontos"))
+
+
+@query(_MONTHS_SQL.rstrip() + ", bn AS (SELECT * FROM b WHERE id::VARCHAR NOT IN (SELECT bank_ids FROM w WHERE ledger_ids <> '')), ln AS (SELECT * FROM lf WHERE id NOT IN (SELECT unnest(got) FROM g))" + _NEAR_SQL)
+def near_matches_no_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Near matches of what the month engine (words only) leaves over."""
+    b, l = bank(spark, sf), ledger(spark, sf)
+    m = resolve.resolve_months(b, l, False)
+    return resolve.near_matches(reports.unmatched(b, m, "bank_ids"), reports.unmatched(l, m, "ledger_ids"))
+
+
+@query(FEATURES.replace("WITH", "WITH RECURSIVE", 1).rstrip() + ", bn AS (SELECT * FROM b), ln AS (SELECT * FROM l)" + _NEAR_SQL)
+def near_matches_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Near matches of the whole facts, matched or not."""
+    return resolve.near_matches(bank(spark, sf), ledger(spark, sf))
+
+
+@query(_scored_sql(True) + "," + _first_come_sql("m", "SELECT empresa_id AS grp, bank_id, ledger_id, (data_ref, bank_id) AS turn, row_number() OVER (PARTITION BY bank_id ORDER BY -score, l_data_ref, ledger_id) AS wish FROM x WHERE score > 0 AND empresa_id = l_empresa_id") + f" SELECT bank_id, ledger_id, score, metodo, {_STATUS} AS status FROM m JOIN s USING (bank_id, ledger_id)")
+def account_best_of_rest_no_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The account engine's last pass by itself: every bank row in order takes its best free ledger row."""
+    return resolve.best_of_rest_pairs(bank_features(bank(spark, sf)), ledger_features(ledger(spark, sf)), False).select(F.col("b_id").alias("bank_id"), F.col("l_id").alias("ledger_id"), "score", "metodo", "status")
+
+
+def _sums_sql(name: str, pairs: str, limit: int, cut: bool) -> str:
+    """CTEs up to `name` (one, got): the loop over the rows `one` of each group, which take the first exact sum of their
+    free rows. pairs: grp, one, many, turn, target, cents, place."""
+    first = "{'s': 0::BIGINT, 'c': 0::BIGINT, 'ids': []::BIGINT[]}"
+    return f"""
+{name}_e AS ({pairs}),
+{name}_t AS (SELECT grp, one, any_value(target) AS target, row_number() OVER (PARTITION BY grp ORDER BY any_value(turn)) AS k FROM {name}_e GROUP BY grp, one HAVING count(*) > 1),
+{name}_r AS (
+  SELECT DISTINCT grp, 0::BIGINT AS k, NULL::BIGINT AS one, []::BIGINT[] AS got, []::BIGINT[] AS used FROM {name}_t
+  UNION ALL
+  SELECT grp, k, one, got, list_concat(used, got) FROM (
+    SELECT grp, k + 1 AS k, one, used, CASE WHEN {cut} OR len(items) <= {limit} THEN coalesce(list_filter(list_reduce(items[1:{limit}], lambda a, i: list_concat(a, list_transform(list_filter(a, lambda y: y.s + i.c <= target AND NOT list_contains(list_transform(a, lambda z: z.s), y.s + i.c)),
+      lambda y: {{'s': y.s + i.c, 'c': 0::BIGINT, 'ids': list_append(y.ids, i.ids[1])}})), [{first}]), lambda y: y.s = target)[1].ids, []) ELSE [] END AS got
+    FROM (
+      SELECT r.grp, r.k, t.one, any_value(r.used) AS used, any_value(t.target) AS target, list({{'s': 0::BIGINT, 'c': e.cents, 'ids': [e.many]}} ORDER BY e.place) FILTER (e.many IS NOT NULL) AS items
+      FROM {name}_r r JOIN {name}_t t ON t.grp = r.grp AND t.k = r.k + 1 LEFT JOIN {name}_e e ON e.one = t.one AND NOT list_contains(r.used, e.many) GROUP BY r.grp, r.k, t.one))),
+{name} AS (SELECT one, got FROM {name}_r WHERE len(got) > 0)"""
+
+
+def _account_groups_sql(side: int, on: str, grp: str, limit: int, cut: bool) -> str:
+    one, many = ("b", "l") if side == 0 else ("l", "b")
+    pairs = f"SELECT b.empresa_id || b.tipo || {grp} AS grp, {one}.id AS one, {many}.id AS many, ({one}.data_ref, {one}.id) AS turn, {one}.cents AS target, {many}.cents, ({_D}, {many}.valor, {many}.id) AS place FROM b JOIN l ON b.empresa_id = l.empresa_id AND b.tipo = l.tipo AND {many}.valor < {one}.valor AND {on}"
+    return FEATURES.replace("WITH", "WITH RECURSIVE", 1).rstrip() + "," + _sums_sql("g", pairs, limit, cut) + " SELECT one, array_to_string(got, ',') AS many FROM g"
+
+
+_BY_DOC, _BY_TAX = f"b.doc <> '' AND l.doc <> '' AND b.root = l.root AND {_D} <= 3 AND {_CLOSE}", f"b.federal AND l.tax AND {_D} <= 45"
+
+
+def _sums(spark: SparkSession, sf: str, step: Callable[[DataFrame, DataFrame, int], DataFrame], side: int) -> DataFrame:
+    got = step(bank_features(bank(spark, sf)), ledger_features(ledger(spark, sf)), side)
+    one, many = ("bank_ids", "ledger_ids") if side == 0 else ("ledger_ids", "bank_ids")
+    return got.select(F.col(one)[0].alias("one"), F.array_join(F.transform(many, lambda x: x.cast("string")), ",").alias("many"))
+
+
+@query(_account_groups_sql(0, _BY_DOC, "b.root", 14, False))
+def account_bank_rows_by_document(spark: SparkSession, sf: str) -> DataFrame:
+    """Bank rows and the ledger rows of their document, near in date, that sum to them."""
+    return _sums(spark, sf, resolve.by_document, 0)
+
+
+@query(_account_groups_sql(1, _BY_DOC, "b.root", 14, False))
+def account_ledger_rows_by_document(spark: SparkSession, sf: str) -> DataFrame:
+    return _sums(spark, sf, resolve.by_document, 1)
+
+
+@query(_account_groups_sql(0, _BY_TAX, "''", 20, True))
+def account_bank_rows_by_tax(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the federal bank and the tax entries of 45 days around that sum to them."""
+    return _sums(spark, sf, resolve.by_tax, 0)
+
+
+@query(_account_groups_sql(1, _BY_TAX, "''", 20, True))
+def account_ledger_rows_by_tax(spark: SparkSession, sf: str) -> DataFrame:
+    return _sums(spark, sf, resolve.by_tax, 1)
+
+
+#: Best pairs first: a pair is taken in the step in which no better one of its rows is left.
+@query(_scored_sql(True) + """,
+k AS (SELECT x.bank_id, x.ledger_id, x.empresa_id || x.tipo || x.cents || b.doc AS grp, row_number() OVER (PARTITION BY x.empresa_id, x.tipo, x.cents, b.doc ORDER BY -score, d, NOT t, x.bank_id, x.ledger_id) AS no FROM x JOIN b ON b.id = x.bank_id WHERE x.same AND score >= 95 AND x.cents = l_cents AND x.empresa_id = l_empresa_id),
+r AS (
+  SELECT DISTINCT grp, 0::BIGINT AS step, NULL::BIGINT AS bank_id, NULL::BIGINT AS ledger_id, []::BIGINT[] AS bs, []::BIGINT[] AS ls FROM k
+  UNION ALL
+  SELECT r.grp, r.step + 1, arg_min(k.bank_id, k.no), arg_min(k.ledger_id, k.no), list_append(any_value(r.bs), arg_min(k.bank_id, k.no)), list_append(any_value(r.ls), arg_min(k.ledger_id, k.no))
+  FROM r JOIN k ON k.grp = r.grp AND NOT list_contains(r.bs, k.bank_id) AND NOT list_contains(r.ls, k.ledger_id) GROUP BY r.grp, r.step)
+SELECT r.bank_id, r.ledger_id, score, metodo FROM r JOIN s USING (bank_id, ledger_id)""")
+def account_strong_pairs_no_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of equal document and value with 95 points or more, the best of all first."""
+    got = resolve.strong_pairs(bank_features(bank(spark, sf)), ledger_features(ledger(spark, sf)), False)
+    return got.select(F.col("b_id").alias("bank_id"), F.col("l_id").alias("ledger_id"), "score", "metodo")
+
+
 @query()
 def resolve_months(spark: SparkSession, sf: str) -> DataFrame:
     return _named(resolve.resolve_months(bank(spark, sf), ledger(spark, sf)))
