@@ -407,7 +407,7 @@ _ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sco
 
 def encoded(docs: DataFrame, replies: DataFrame, voc: Vocabulary, shards: int) -> DataFrame:
     """_ENCODED rows: the base's score, the tail's share of the score, and the symbols of each document."""
-    below = np.log10(voc.n + 0.5 * (voc.v + 1)) if voc.n else 0.0
+    below = np.log10(voc.n + 0.5 * (voc.v + 1))
     share = np.log10(np.maximum(voc.mass + 0.5 * voc.types, 0.5))
 
     def run(t: pa.Table, got: pa.Table) -> pa.Table:

@@ -114,8 +114,9 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = N
     keep = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), F.col("dead"))
     kept = F.array_join(F.transform(keep, lambda i: F.get(F.col("raw"), i)), "\n")
     text = F.when(F.col("copies").isNull(), text).otherwise(kept)
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")  # noqa: E731  size(null) depends on ANSI mode
     columns = [(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return got.select(*columns, F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("copies"), F.lit(0)).cast("long").alias("n_removed"))
+    return got.select(*columns, size("places").alias("n_lines"), size("copies").alias("n_removed"))
 
 
 #: min_lines = 2 and min_words = PASSAGE_WORDS.

@@ -205,7 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, la
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_labelled ids
     got = text_statistics(some).join(F.broadcast(known), "doc_id").where(~base_failed())
-    got = got.select("_label", "doc_id", *(feature(f).alias(f) for f in FEATURES)).toPandas().sort_values(["doc_id", *FEATURES])
+    # One row for each labelled id, however often it occurs, so that what is collected is bounded.
+    got = got.groupBy("doc_id").agg(F.min(F.struct("_label", *(feature(f).alias(f) for f in FEATURES))).alias("x")).select("doc_id", "x.*").toPandas().sort_values("doc_id")
     return learn({f: got[f].to_numpy(float) for f in FEATURES}, got["_label"].to_numpy() == 0) if len(got) else DecisionList()
 
 
@@ -224,9 +225,9 @@ def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
             at = b.schema.names.index("text")
             for lo, hi, w in _text.chunks(b.column(at)):
                 got = counts(w)
-                yield pa.record_batch([*(c.slice(lo, hi - lo) for c in b.columns), *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], names=[*names, *(f"_{c}" for c in COUNTS)])
+                yield pa.record_batch([*(c.slice(lo, hi - lo) for c in b.columns), *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], names=[*names, *(f"_own_{c}" for c in COUNTS)])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    got = docs.mapInArrow(run, ", ".join([*kinds, *(f"_{c} long" for c in COUNTS)]))
-    stats = got.select("*", *(F.col(f"_{c}").alias(c) for c in COUNTS if c not in names))
-    return stats.where(~base_failed() & rules.verdict()).select(*names)
+    got = docs.mapInArrow(run, ", ".join([*kinds, *(f"_own_{c} long" for c in COUNTS)]))
+    stats = got.select(F.struct(*(f"`{c}`" for c in names)).alias("_row"), *(F.col(f"_own_{c}").alias(c) for c in COUNTS))  # own columns of docs can't stand for the counts
+    return stats.where(~base_failed() & rules.verdict()).select("_row.*")

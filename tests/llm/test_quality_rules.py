@@ -60,3 +60,12 @@ def test_empty_tables(spark):
     rules = q.fit(docs, labels)
     assert rules.rules == [] and q.apply_rules(docs, rules).count() == 0
     assert q.apply_rules(docs_of(spark, ["w " * 20, "a b c d e f g h i j k l m"]), rules).where("kept").count() == 1
+
+
+def test_keep_judges_by_its_own_counts_and_fit_collects_one_row_an_id(spark):
+    good = " ".join(f"word{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, good, 3, 0, "a")], "doc_id long, text string, n_words long, _n_words long, n_symbols string")
+    kept = q.keep(docs, q.DecisionList())
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, good, 3, 0, "a")]
+    many = spark.range(500).selectExpr("7L AS doc_id", f"'{good}' AS text")
+    assert q.fit(many, spark.createDataFrame([(7, 0)], "doc_id long, quality long")).rules == []
