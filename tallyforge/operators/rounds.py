@@ -42,7 +42,7 @@ def best_first(pairs: DataFrame) -> DataFrame:
     left, out = written(pairs, "pairs"), None
     while True:
         least = lambda c: F.min("key").over(Window.partitionBy(c))
-        got = written(left.where(F.lit(True)).withColumn("_b", least("b")).withColumn("_l", least("l")).where("key = _b AND key = _l").select("b", "l"), "taken")
+        got = written(left.withColumn("_b", least("b")).withColumn("_l", least("l")).where("key = _b AND key = _l").select("b", "l"), "taken")
         out = got if out is None else out.unionByName(got)
         rest = written(left.join(got.select("b"), "b", "left_anti").join(got.select("l"), "l", "left_anti"), "pairs")
         remove(left)
