@@ -12,12 +12,17 @@ order. On pages with an article or main element, only what is inside one is cont
 
 Some parts differ from page to page and still are no content. They are told by what the page says of them: tags and
 roles of navigation, forms and the like, hidden elements, and class or id names all of whose words speak of such a
-part ("cookie-notice", not "related-work"), unless the node so named holds most of the host's text.
+part ("cookie-notice", not "related-work"), unless the node so named holds most of the host's text. Words may be
+plural or run together ("commentlist"). A form or fieldset that holds an article, or most of the page's or of the
+host's text, is a wrapper and no form; what lies in its labels and controls is cut all the same. Reader comments are
+kept only where a page has nothing else. An aside within an article is cut, but for pull quotes, which are told by
+their names or by a blockquote. All these parts are nodes of the tree, but lend a body neither its identity nor its share
+of distinct text.
 
 Copies of one page count once: pages are bodies, known by the longest block of their article, or by all
 blocks where there is no article. A node that is or holds an article, or holds most of the host's distinct
-text, is never cut by content; nor, if fewer than WEAK bodies have it, on a page of which it holds most; and no
-page is cut empty. A host of one body has no repeats: there only presentation counts.
+text, is never cut by content; and a page that has more than such parts is not cut empty. A host of one body has no
+repeats: there only presentation counts.
 
 Statistics are gathered by (host, path, content), never by host alone. Branches to remove are broadcast up to
 CUT_BYTES; beyond, they are joined page by page. A null html gives an empty text; a null url is a host of its own, a
@@ -31,6 +36,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -47,8 +53,9 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
 _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 _SCOPE = {"ul", "ol", "dl", "table", "select", "menu"}
-_NO_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "object", "svg", "canvas", "video", "audio", "datalist", "fieldset", "map"}
-_NO_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
+_NO_TAGS = {"nav", "footer", "aside", "button", "select", "option", "dialog", "menu", "head", "object", "svg", "canvas", "video", "audio", "datalist", "map"}
+_NO_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
+_FORMS, _IN_FORMS = {"form", "fieldset"}, {"label", "legend", "output"}
 _NO_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup",
     "modal", "overlay", "sidebar", "sidenav", "widget", "widgets", "related", "recommended", "recommendations", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation",
@@ -59,13 +66,17 @@ _NO_NAMES_OUTSIDE = {"header", "masthead", "topbar", "toolbar", "site", "logo"}
 _PLAIN_NAMES = {
     "area", "article", "articles", "aside", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "cell", "col", "column", "container", "content", "flex", "form", "global", "grid", "group", "head",
     "header", "heading", "icon", "inner", "item", "items", "left", "link", "links", "list", "main", "message", "mobile", "module", "outer", "page", "panel", "policy", "post", "posts", "primary", "right", "row", "secondary",
-    "section", "site", "slot", "small", "text", "title", "top", "unit", "wrap", "wrapper",
+    "section", "site", "slot", "small", "text", "title", "top", "unit", "wrap", "wrapper", "user", "reader", "visitor", "guest", "customer", "member", "wp", "fb", "facebook", "thread", "feed", "stream", "count", "author", "meta",
+    "avatar", "date", "all", "latest", "recent", "view", "load", "more", "holder", "zone", "region", "app", "root", "embed", "entry", "blog", "children", "tree", "loop",
 }
+_COMMENTS = {"comment", "comments", "disqus", "respond", "reply", "replies", "responses"}
+_QUOTES = {"quote", "quotes", "pullquote", "blockquote", "pull"}
 _MAIN = {"article", "main"}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_ROLE, _NAMED, _IN_MAIN = 1, 2, 4
+_ROLE, _NAMED, _IN_MAIN, _FORM, _COMMENT, _ASIDE = 1, 2, 4, 8, 16, 32
+_PART = _ROLE | _NAMED | _FORM | _COMMENT | _ASIDE
 _MAIN_PATH = r"^(.*?/(?:(?:article|main)(?=[./@]|$)|[^/]*@(?:article|main)(?=/|$)))"
-WEAK, SMOOTH, SMOOTH_IN_MAIN = 8, 0.5, 8.0
+SMOOTH, SMOOTH_IN_MAIN = 0.5, 8.0
 PRESENTATION = 0.1
 CUT_BYTES = 8 << 20
 SALTS = 16
@@ -73,76 +84,118 @@ _HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class _Element:
-    __slots__ = ("flags", "path", "tag")
-
-    def __init__(self, tag: str, path: str, flags: int):
-        self.tag, self.path, self.flags = tag, path, flags
+    __slots__ = ("flags", "forms", "path", "tag")
+
+    def __init__(self, tag: str, path: str, flags: int, forms: tuple[tuple[int, bool], ...]):
+        self.tag, self.path, self.flags, self.forms = tag, path, flags, forms
+
+
+@lru_cache(1 << 16)
+def _parts(word: str) -> frozenset[str]:
+    """The known words of which a word is made, all of it ("commentlist": comment, list); itself if there are none."""
+    known = _NO_NAMES | _COMMENTS | _PLAIN_NAMES
+    ways: list[frozenset[str] | None] = [frozenset()] + [None] * len(word)
+    for end in range(1, len(word) + 1):
+        for at in range(max(0, end - 16), end):
+            w = word[at:end]
+            if ways[at] is not None and len(w) > (2 if at else 1) and (w in known or w[:-1] in known and w[-1] == "s"):
+                ways[end] = ways[at] | {w if w in known else w[:-1]}
+                break
+    return ways[-1] or frozenset([word])
 
 
-def _open(tag: str, attrs: str, parent: _Element | None) -> _Element:
-    path, flags = parent.path if parent else "", parent.flags if parent else 0
-    if tag in _INLINE and not attrs:
-        return _Element(tag, path, flags)
+@lru_cache(1 << 16)
+def _style(tag: str, attrs: str) -> tuple[str, str, bool, int, int, bool]:
+    """Of an element: its step in a path (none for plain inline ones), role, whether it is hidden, and the flags its
+    names give outside and inside of an article, and whether they speak of a quote."""
     names: set[str] = set()
-    spoken: list[set[str]] = []
-    role = ""
+    spoken: list[frozenset[str]] = []
+    role, hidden = "", False
     for k, v in _ATTR.findall(attrs):
         k, v = k.lower(), v.strip("\"'")
         if k in ("class", "id"):
-            spoken += [{w.lower() for w in _WORD.findall(x)} for x in v.split()]
-            names |= set().union(*spoken)
+            for x in v.split():
+                words = {w.lower() for w in _WORD.findall(x)}
+                names |= words
+                spoken.append(frozenset().union(*map(_parts, words)))
         elif k == "role":
             role = v.strip().lower()
         elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"(?:^|;)\s*display\s*:\s*none", v, re.I)):
-            flags |= _ROLE
+            hidden = True
+    told = [_NAMED if any(x & no and x <= no | _PLAIN_NAMES for x in spoken) else 0 for no in (_NO_NAMES | _NO_NAMES_OUTSIDE, _NO_NAMES)]
+    if any(x & _COMMENTS and x <= _COMMENTS | _NO_NAMES | _PLAIN_NAMES for x in spoken):
+        told = [x | _COMMENT for x in told]
+    step = "" if tag in _INLINE and not names and not role else f"/{tag}" + "".join(f".{n}" for n in sorted(names)) + (f"@{role}" if role else "")
+    return step, role, hidden, told[0], told[1], bool(names & _QUOTES)
+
+
+def _open(tag: str, attrs: str, parent: _Element | None, number: int) -> _Element:
+    path, flags, forms = (parent.path, parent.flags, parent.forms) if parent else ("", 0, ())
+    if tag in _IN_FORMS and forms:
+        flags |= _ROLE
+    if tag in _INLINE and not attrs:
+        return _Element(tag, path, flags, forms)
+    step, role, hidden, outside, inside, quote = _style(tag, attrs)
+    if hidden:
+        flags |= _ROLE
     if tag in _MAIN or role in ("main", "article"):
         flags |= _IN_MAIN
     if tag not in ("html", "body"):
-        if tag in _NO_TAGS or role in _NO_ROLES or (tag == "header" and not flags & _IN_MAIN):
+        if tag in _FORMS or role == "form":
+            forms = (*forms, (number, bool(flags & _IN_MAIN)))
+            flags |= _FORM
+        elif tag == "aside" and flags & _IN_MAIN:
+            flags |= 0 if quote else _ASIDE
+        elif tag in _NO_TAGS or role in _NO_ROLES or (tag == "header" and not flags & _IN_MAIN):
             flags |= _ROLE
-        told = _NO_NAMES if flags & _IN_MAIN else _NO_NAMES | _NO_NAMES_OUTSIDE
-        if tag != "main" and any(x & told and x <= told | _PLAIN_NAMES for x in spoken):
-            flags |= _NAMED
-    if tag in _INLINE and not names and not role:
-        return _Element(tag, path, flags)
-    return _Element(tag, f"{path}/{tag}" + "".join(f".{n}" for n in sorted(names)) + (f"@{role}" if role else ""), flags)
+        if tag == "blockquote":
+            flags &= ~_ASIDE
+        if tag != "main":
+            flags |= inside if flags & _IN_MAIN else outside
+    return _Element(tag, path + step, flags, forms)
+
+
+def _wrappers(found: list[tuple[str, int, tuple[tuple[int, bool], ...], str]]) -> set[int]:
+    """The forms that hold an article or most of the page's text."""
+    size: dict[int, int] = {}
+    out: set[int] = set()
+    total = 0
+    for _, flags, forms, text in found:
+        if flags & _PART & ~_FORM:
+            continue
+        total += len(text)
+        for number, in_main in forms:
+            size[number] = size.get(number, 0) + len(text)
+            if flags & _IN_MAIN and not in_main:
+                out.add(number)
+    return out | {number for number, n in size.items() if 2 * n > total}
 
 
 def blocks(page: str) -> list[tuple[str, int, str]]:
     """(path, flags, text) of each block with text, in page order; references decoded, white space one space."""
     stack: list[_Element] = []
-    out: list[tuple[str, int, str]] = []
-    runs: list[tuple[str, _Element | None]] = []
+    found: list[tuple[str, int, tuple[tuple[int, bool], ...], str]] = []
+    runs: list[tuple[str, _Element]] = []
+    root = _Element("", "", 0, ())
 
     def flush() -> None:
-        k = 0
-        while k < len(runs):  # parts of one block that lie in differently styled inline elements
-            at = runs[k][1]
-            n = k + 1
-            while n < len(runs) and (runs[n][1].path if runs[n][1] else "", runs[n][1].flags if runs[n][1] else 0) == (at.path if at else "", at.flags if at else 0):
-                n += 1
-            parts.append((at.path if at else "", at.flags if at else 0, "".join(x for x, _ in runs[k:n])))
-            k = n
+        keep: dict[tuple, tuple[str, list[str]]] = {}  # one block, also where a part of another kind stands inside
+        for raw, e in runs:
+            keep.setdefault((e.flags, e.forms), (e.path, []))[1].append(raw)
         runs.clear()
-        if parts:
-            keep: dict[int, tuple[str, str]] = {}  # one block, also where a part of another kind stands inside
-            for path, flags, raw in parts:
-                keep[flags] = (keep[flags][0], keep[flags][1] + raw) if flags in keep else (path, raw)
-            for flags, (path, raw) in keep.items():
-                text = " ".join(_html.unescape(raw).split())
-                if text:
-                    out.append((path, flags, text))
-            parts.clear()
-
-    parts: list[tuple[str, int, str]] = []
+        for (flags, forms), (path, raw) in keep.items():
+            text = " ".join(_html.unescape("".join(raw)).split())
+            if text:
+                found.append((path, flags, forms, text))
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         if not m:
-            runs.append((page[at:], stack[-1] if stack else None))
+            runs.append((page[at:], stack[-1] if stack else root))
             break
         if m.start() > at:
-            runs.append((page[at : m.start()], stack[-1] if stack else None))
+            runs.append((page[at : m.start()], stack[-1] if stack else root))
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -163,7 +216,7 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             at = end.end() if end else n
             continue
         if tag == "br":
-            runs.append((" ", stack[-1] if stack else None))
+            runs.append((" ", stack[-1] if stack else root))
             continue
         if tag not in _INLINE:
             flush()
@@ -176,9 +229,10 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             elif stack[k].tag in _SCOPE or (stack[k].tag not in _INLINE and "p" in shut):
                 break
         if tag not in _VOID and not attrs.endswith("/"):
-            stack.append(_open(tag, attrs, stack[-1] if stack else None))
+            stack.append(_open(tag, attrs, stack[-1] if stack else None, at))
     flush()
-    return out
+    wrappers = _wrappers(found)
+    return [(path, flags & ~_FORM if forms and all(x in wrappers for x, _ in forms) else flags, text) for path, flags, forms, text in found]
 
 
 def _id(*parts: str) -> int:
@@ -195,7 +249,7 @@ _FACT = "host long, page long, body long, path string, named boolean, content lo
 
 def body_of(found: list[tuple[str, int, str]]) -> int:
     """Names what a page tells: the longest block of its article, or all its blocks."""
-    plain = [x for x in found if not x[1] & _NAMED] or found
+    plain = [x for x in found if not x[1] & _PART] or found
     main = [t for _, flags, t in plain if flags & _IN_MAIN]
     return _id("main", max(main, key=lambda t: (len(t), t))) if main else _id("all", *(f"{p}\n{t}" for p, t in sorted({(p, t) for p, _, t in plain})))
 
@@ -218,9 +272,9 @@ def facts(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows: set[tuple] = set()
             for page, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                found = [x for x in blocks(text or "") if not x[1] & _ROLE]
+                found = blocks(text or "")
                 body = body_of(found)
-                rows.update((own, page, body, path, bool(flags & _NAMED), _id(t), len(t)) for path, flags, t in found)
+                rows.update((own, page, body, path, bool(flags & _PART), _id(t), len(t)) for path, flags, t in found)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "body", "path", "named", "content", "chars"])
 
     return pages.select("_page", "_host", "html").mapInArrow(run, _FACT)
@@ -254,11 +308,11 @@ def style_tree(leaves: DataFrame) -> DataFrame:
 
 
 def removed(tree: DataFrame, least: float = 0.3, most_share: float = 0.6) -> DataFrame:
-    """host, node, spared, weak: branches of low importance (spared false; weak: few bodies have them), and
-    branches that are named like one but hold most of the host's text (spared true)."""
+    """host, node, spared: branches of low importance (spared false), and branches that are marked as no content but
+    hold most of the host's text (spared true)."""
     low = (F.col("importance") < least) & (F.col("seen") * 2 > F.col("m")) & ~F.col("holds") & (F.col("once") <= 0.5)
     spared = F.col("named") & (F.col("share") > most_share)
-    return tree.where(low | spared).select("host", "node", (spared & ~low).alias("spared"), (F.col("seen") < WEAK).alias("weak"))
+    return tree.where(low | spared).select("host", "node", (spared & ~low).alias("spared"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -269,38 +323,39 @@ def extract(pages: DataFrame) -> DataFrame:
     leaves = written(facts(own), "leaves")
     cut = written(removed(style_tree(leaves)), "branches")
     size = cut.agg(F.sum(F.octet_length("node") + 32)).first()[0] or 0
-    known: dict[int, tuple[list[str], list[str], list[str]]] | None = None
+    known: dict[int, tuple[set[str], set[str]]] | None = None
     if size <= CUT_BYTES:
         known = {}
         for r in cut.collect():
-            low, weak, spared = known.setdefault(r["host"], ([], [], []))
-            (spared if r["spared"] else low).append(r["node"])
-            if r["weak"] and not r["spared"]:
-                weak.append(r["node"])
+            known.setdefault(r["host"], (set(), set()))[r["spared"]].add(r["node"])
         rows = own.select("page_id", "url", "html", "_host")
     else:
         nodes = leaves.select("host", "page", "path").distinct().select("host", "page", F.explode(_nodes(F.col("path"), 2)).alias("node")).distinct()
         some = lambda when: F.collect_set(F.when(when, F.col("node")))
-        mine = nodes.join(cut, ["host", "node"]).groupBy(F.col("page").alias("_page")).agg(some(~F.col("spared")).alias("low"), some(~F.col("spared") & F.col("weak")).alias("weak"), some(F.col("spared")).alias("spared"))
-        rows = own.join(mine, "_page", "left").select("page_id", "url", "html", "low", "weak", "spared")
-
-    def under(path: str, nodes: list[str]) -> bool:
-        return any(path == x or x and path.startswith(x + "/") for x in nodes)
+        mine = nodes.join(cut, ["host", "node"]).groupBy(F.col("page").alias("_page")).agg(some(~F.col("spared")).alias("low"), some(F.col("spared")).alias("spared"))
+        rows = own.join(mine, "_page", "left").select("page_id", "url", "html", "low", "spared")
+
+    def under(path: str, nodes: set[str]) -> bool:
+        while path and path not in nodes:
+            path = path.rpartition("/")[0]
+        return path in nodes
+
+    def main_text(page: str, low: set[str], spared: set[str]) -> str:
+        found = blocks(page)
+        for comments in (0, _COMMENT):  # comments only where there is nothing else
+            got = [(p, f, t) for p, f, t in found if not f & (_ROLE | _ASIDE | _COMMENT & ~comments) and not (f & _PART & ~comments and not under(p, spared))]
+            got = [x for x in got if x[1] & _IN_MAIN] or got
+            if got:
+                break
+        return "\n".join(t for _, _, t in [x for x in got if not under(x[0], low)] or got)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
             if known is None:
-                lists = zip(*(b.column(c).to_pylist() for c in (3, 4, 5)), strict=True)
+                lists = [(set(low or []), set(spared or [])) for low, spared in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             else:
-                lists = (known.get(x, ((), (), ())) for x in b.column(3).to_pylist())
-            for page, (low, weak, spared) in zip(b.column(2).to_pylist(), lists, strict=True):
-                got = [(p, f, t) for p, f, t in blocks(page or "") if not f & _ROLE and not (f & _NAMED and not under(p, spared or []))]
-                got = [x for x in got if x[1] & _IN_MAIN] or got
-                size = sum(len(t) for _, _, t in got)
-                most = {x for x in weak or [] if 2 * sum(len(t) for p, _, t in got if under(p, [x])) > size}
-                cut = [x for x in low or [] if x not in most]
-                texts.append("\n".join(t for _, _, t in [x for x in got if not under(x[0], cut)] or got))
+                lists = [known.get(x, (set(), set())) for x in b.column(3).to_pylist()]
+            texts = [main_text(page or "", *sets) for page, sets in zip(b.column(2).to_pylist(), lists, strict=True)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -133,3 +133,22 @@ def test_importance_matches_brute_force(spark):
     got = {r["node"]: r["importance"] for r in s.style_tree(s.facts(df)).collect()}
     want = brute_importance(pages)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_forms_that_wrap_pages(spark):
+    article = "<article><h1>T</h1><p>Text goes on and on</p></article>"
+    page = f"<body><form id=aspnetForm><nav>Menu</nav>{article}<fieldset><legend>Mail</legend><label>Your mail</label>send it</fieldset><footer>End</footer></form></body>"
+    plain = "<body><form><div class=menu>Menu</div><div><p>A long text of the page</p><p>and more of it</p></div><label>Name</label></form></body>"
+    small = "<body><p>A long text of the page</p><form><p>Write us</p></form></body>"
+    pages = [(f"http://{k}.example.com/x", p) for k, p in enumerate([page, plain, small, f"<fieldset><form>{article}</form></fieldset>", f"<form>Only {article}</form><form>Other form that says a lot more than the article does</form>"])]
+    both = "T\nText goes on and on"
+    assert texts(spark, pages) == [both, "A long text of the page\nand more of it", "A long text of the page", both, both]
+    assert texts(spark, [page.replace("T<", f"T{k}<").replace("goes on", f"of {k} goes on") for k in range(12)]) == [f"T{k}\nText of {k} goes on and on" for k in range(12)]
+
+
+def test_comments_by_any_spelling_and_pull_quotes(spark):
+    for name in ("user-comments", "commentlist", "readerComments", "comment_section", "wp-comments-area", "CommentsWrapper", "disqus_thread", "fb-comments"):
+        for page in (f"<article><p>Text</p><ol class='{name}'><li>First!</li></ol></article>", f"<div><p>Text</p></div><section id='{name}'><article>{'First! ' * 30}</article></section>"):
+            assert texts(spark, [page]) == ["Text"]
+    quotes = "<article><p>Text</p><aside class='pull-quote'>Said so</aside><aside><blockquote>And so</blockquote>By me</aside><div class='commentary'>On it</div></article>"
+    assert texts(spark, [quotes, ("http://o/", "<article class=comment><p>Opinion</p></article>")]) == ["Text\nSaid so\nAnd so\nOn it", "Opinion"]
