@@ -1,5 +1,7 @@
+import random
 from decimal import Decimal
 
+import lines as loop
 import pytest
 
 from tallyforge.sources import statements as st
@@ -47,18 +49,56 @@ def test_declarative_form_agrees(parsed):
     assert [(r["data"], r["tipo"], str(r["valor"]), r["descricao"]) for r in parsed[2]] == [x[:4] for x in CASES["CORA"][2]]
 
 
-def test_caixa_rows_over_several_lines():
+def rows_of(spark, files):
+    df = spark.createDataFrame([(name, 1, i, line) for name, lines in files.items() for i, line in enumerate(lines)], st.LINES)
+    out = {}
+    for r in sorted(st.parse(df).collect(), key=lambda r: (r["file"], r["row_no"])):
+        out.setdefault(r["file"], []).append((r["data"], r["tipo"], str(r["valor"]), r["descricao"], r["documento"]))
+    return out
+
+
+def test_caixa_rows_over_several_lines(spark):
     lines = [
-        "Data Documento Histórico Valor", "PIX RECEBIDO -", "05/03/2025", "000124 JOSE R$ 110,00 C", "05/03 10:22:01", "R$ 20,00", "TARIFA", "06/03/2025 -", "000125 CESTA", "- R$ 7,50",
+        "Extrato no período", "Data Documento Histórico Valor", "PIX RECEBIDO -", "05/03/2025", "000124 JOSE R$ 110,00 C", "05/03 10:22:01", "R$ 20,00", "TARIFA", "06/03/2025 -", "000125 CESTA", "- R$ 7,50",
         "SALDO DIA R$ 102,50 C", "solto", "07/03/2025 000126 SALDO DE CONTA R$ 1,00 R$ 103,50 C", "08/03/2025 -", "R$ 2,00",
     ]
-    got = st.read_lines(st.LAYOUTS["CAIXA_EXTRATO_NOVO"], [(1, l) for l in lines])
-    assert [(r["data"], r["tipo"], str(r["valor"]), r["descricao"], r["documento"]) for r in got] == [
+    assert rows_of(spark, {"caixa.pdf": lines})["caixa.pdf"] == [
         ("05/03/2025", "ENTRADA", "20.00", "PIX RECEBIDO - JOSE", "000124"), ("06/03/2025", "SAIDA", "7.50", "TARIFA CESTA", "000125"),
         ("07/03/2025", "ENTRADA", "1.00", "SALDO DE CONTA", "000126"), ("08/03/2025", "SAIDA", "2.00", "solto", ""),
     ]
 
 
+def test_random_lines_equal_the_loop(spark):
+    rng = random.Random(7)
+    bits = [
+        "05/03/2025", "06/03/2025 -", "000124 JOSE R$ 110,00 C", "R$ 20,00", "- R$ 7,50", "FULANO | 123", "SALDO ANTERIOR 1,00", "SALDO DO DIA R$ 1,00", "DEST: LOJA 12345678901", "12345678 90", "DOC.: 777", "solto", "", "05/03 10:11 JOSE 12345678901", "SALDOS",
+        "CENTRAL DE RELACIONAMENTO", "Detalhamento do saldo", "999 -1,00 89,00", "05/03/2025 1,00 2,00", "PIX (Doc.: 55)", "SALDO DA CONTA CORRENTE",
+    ]
+    files = {}
+    for k, (name, lines, _) in CASES.items():
+        if k in st.LAYOUTS:
+            for n in range(8):
+                files[f"{k}/{n}/{name}"] = lines[:2] + [" ".join(rng.choice(bits + lines * 3).split()) for _ in range(40)]
+    got = rows_of(spark, files)
+    for name, lines in files.items():
+        want = [(r["data"], r["tipo"], str(r["valor"]), r["descricao"].strip(), r["documento"]) for r in loop.read_lines(st.LAYOUTS[name.split("/")[0]], [(1, x) for x in lines])]
+        assert got.get(name, []) == want, name
+
+
+def test_headers(spark):
+    files = {
+        "cora.pdf": (["ACME LTDA", "CNPJ 12.345.678/0001-90", "Agência: 0001 - Conta: 123-4 CORA"], ("CORA", "BANCO CORA", None, "ACME LTDA", "12.345.678/0001-90", "0001", "123", "4", None)),
+        "bradesco.pdf": (["BANCO BRADESCO", "ACME | CNPJ: 12.345.678/0001-90", "0123 | 1.234-5"], ("BRADESCO_NET_EMPRESA", "BANCO BRADESCO", "237", "ACME", "12.345.678/0001-90", "123", "1234", "5", None)),
+        "stone.pdf": (["Titular ACME", "Instituição Stone", "Documento 12.345.678/0001-90", "Agência 0001", "Conta 77-1"], ("STONE_CONTA_CORRENTE", "STONE", None, "ACME", "12.345.678/0001-90", "0001", "77", "1", None)),
+        "itau.pdf": (["lançamentos do período: 01/03/2025", "ACME CNPJ Agência 11 Conta 22-3", "12.345.678/0001-90"], ("ITAU_CONTA_CORRENTE", "BANCO ITAU", "341", "ACME", "12.345.678/0001-90", "11", "22", "3", None)),
+        "aplic.pdf": (["Extrato consolidado do BNB"], ("BNB_CONSOLIDADO_INVESTIMENTO", "BANCO DO NORDESTE", "004", None, None, None, None, None, st.NO_ROWS_WARNING)),
+        "z.pdf": (["nada"], ("NAO_SUPORTADO", st.UNKNOWN_BANK, None, None, None, None, None, None, st.UNSUPPORTED_WARNING + "NAO_SUPORTADO")),
+        "e.pdf": ([None], ("PDF_SEM_TEXTO_EXTRAIVEL", st.UNKNOWN_BANK, None, None, None, None, None, None, st.UNSUPPORTED_WARNING + "PDF_SEM_TEXTO_EXTRAIVEL")),
+    }
+    df = spark.createDataFrame([(name, 1, i, line) for name, (lines, _) in files.items() for i, line in enumerate(lines)], st.LINES)
+    assert {r["file"]: tuple(r)[1:] for r in st.headers(df).collect()} == {k: want for k, (_, want) in files.items()}
+
+
 def test_itau_by_its_accented_heading(spark):
     df = spark.createDataFrame([("x.pdf", 1, 1, "lançamentos período: 01/03/2025")], st.LINES)
     assert st.layouts(df).first()["layout"] == "ITAU_CONTA_CORRENTE"
