@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import fixed
 from tallyforge.operators.features import prefixed
+from tallyforge.operators.skew import CELL, dealt_join
 
 
 def days() -> Column:
@@ -30,16 +31,16 @@ def equal_value(bank: DataFrame, ledger: DataFrame, month: bool = False) -> Data
     return b.join(l, on & (F.col("b_month") == F.col("l_month")) if month else on)
 
 
-def band(bank: DataFrame, ledger: DataFrame, keys: list[str], width: int) -> DataFrame:
+def band(bank: DataFrame, ledger: DataFrame, keys: list[str], width: int, cell: int = CELL) -> DataFrame:
     """Pairs with equal keys and dates at most width days apart: dates are cut into buckets of width + 1 days,
-    the ledger side goes to three neighbouring buckets, and the exact distance is a residual condition."""
+    the ledger side goes to three neighbouring buckets, and the exact distance is a residual condition. Buckets of more
+    than cell rows are dealt over several tasks."""
     b, l = _sides(bank, ledger)
     slot = lambda c: F.floor(F.unix_date(c) / (width + 1))
-    b = b.withColumn("_slot", slot("b_data_ref"))
-    l = l.withColumn("_slot", F.explode(F.array(*(slot("l_data_ref") + k for k in (-1, 0, 1)))))
-    on = [F.col(f"b_{k}") == F.col(f"l_{k}") for k in keys] + [b["_slot"] == l["_slot"], days() <= width]
-    out = b.join(l, on)
-    return out.drop("_slot")
+    names = [f"_{k}" for k in keys]
+    b = b.withColumns({n: F.col(f"b_{k}") for n, k in zip(names, keys, strict=True)} | {"_slot": slot("b_data_ref")})
+    l = l.withColumns({n: F.col(f"l_{k}") for n, k in zip(names, keys, strict=True)} | {"_slot": F.explode(F.array(*(slot("l_data_ref") + k for k in (-1, 0, 1))))})
+    return dealt_join(b, l, [*names, "_slot"], cell).where(days() <= width).drop(*names, "_slot")
 
 
 def scoring_pairs(bank: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -48,9 +49,9 @@ def scoring_pairs(bank: DataFrame, ledger: DataFrame) -> DataFrame:
     return equal_value(bank, ledger).unionByName(near)
 
 
-def near_match_band(bank: DataFrame, ledger: DataFrame) -> DataFrame:
+def near_match_band(bank: DataFrame, ledger: DataFrame, cell: int = CELL) -> DataFrame:
     """Equal document root and kind, other value: within 3 days by seven exact dates."""
     b, l = _sides(bank.where("root <> ''"), ledger.where("root <> ''"))
-    b = b.withColumn("_day", F.explode(F.array(*(F.date_add("b_data_ref", k) for k in range(-3, 4)))))
-    on = (F.col("b_root") == F.col("l_root")) & (F.col("b_tipo") == F.col("l_tipo")) & (F.col("_day") == F.col("l_data_ref"))
-    return b.join(l, on).drop("_day").where("b_valor <> l_valor")
+    b = b.withColumns({"_root": F.col("b_root"), "_tipo": F.col("b_tipo"), "_day": F.explode(F.array(*(F.date_add("b_data_ref", k) for k in range(-3, 4))))})
+    l = l.withColumns({"_root": F.col("l_root"), "_tipo": F.col("l_tipo"), "_day": F.col("l_data_ref")})
+    return dealt_join(b, l, ["_root", "_tipo", "_day"], cell).drop("_root", "_tipo", "_day").where("b_valor <> l_valor")
