@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import values
 from tallyforge.operators import etl
+from tallyforge.sources import dialects
 
+# Columns of ledger files.
 LEDGER_REQUIRED = ("empresa_id", "tipo_movimento", "valor")
+LEDGER_COLUMNS = (
+    "empresa_id", "data_lancamento", "data_vencimento", "data_pagamento", "tipo_movimento", "valor", "fornecedor_cliente", "documento",
+    "cnpj_cpf", "descricao", "categoria", "centro_custo", "sistema_origem", "identificador_externo", "status",
+)
 
 
 def bank_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -22,27 +28,18 @@ def sidecar(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).withColumn("arquivo", F.regexp_replace(F.input_file_name(), "\\.json$", ".csv"))
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    """Comma or semicolon, by the first line."""
-    first = spark.read.text(path).limit(1).collect()
-    head = first[0][0] if first else ""
-    return ";" if head.count(";") > head.count(",") else ","
-
-
 def ledger_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects with _error) of a ledger file: bad rows never stop the others."""
-    df = spark.read.option("sep", sniff_separator(spark, path)).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    df = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
-    missing = [c for c in LEDGER_REQUIRED if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    for c in ("data_lancamento", "data_vencimento", "data_pagamento", "documento", "descricao", "favorecido", "status"):
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("string"))
+    """(rows, rejects with _error) of ledger files, each with its own separator; arquivo and linha tell where a row
+    stands. Bad rows never stop the others, nor does a file without the required columns: all its rows are rejects."""
+    df = dialects.table(spark, path, LEDGER_COLUMNS, LEDGER_REQUIRED)
     dated = {c: values.date_any(c) for c in ("data_lancamento", "data_vencimento", "data_pagamento")}
-    rules = {f"{c}_invalida": F.col(c).isNull() | (F.trim(c) == "") | d.isNotNull() for c, d in dated.items()}
+    rules = {f"{c}_invalida": F.col(c).isNull() | d.isNotNull() for c, d in dated.items()}
     rules |= {"valor": values.money_ledger("valor").isNotNull(), "tipo_movimento": values.kind_ledger("tipo_movimento").isNotNull(), "status": values.status_ledger("status").isNotNull(), "empresa_id": F.col("empresa_id").try_cast("long").isNotNull()}
-    ok, bad = etl.valid(df, rules)
+    whole, part = df.where("_missing = ''").drop("_missing"), df.where("_missing <> ''")
+    ok, bad = etl.valid(whole, rules)
+    # Asked last, of rows that are right otherwise.
+    ok, undated = etl.valid(ok, {"data_lancamento_ou_data_pagamento": F.col("data_lancamento").isNotNull() | F.col("data_pagamento").isNotNull()})
+    bad = bad.unionByName(undated).unionByName(part.withColumn("_error", F.concat(F.lit("colunas ausentes: "), "_missing")).drop("_missing"))
     ok = ok.withColumns({**dated, "valor": values.money_ledger("valor"), "tipo": values.kind_ledger("tipo_movimento"), "status": values.status_ledger("status"), "empresa_id": F.col("empresa_id").cast("long")})
     return ok.withColumn("data_ref", F.coalesce("data_pagamento", "data_lancamento")), bad
 
