@@ -33,6 +33,7 @@ NOTE_PAYEE_GROUP = "Agrupamento conciliado por soma exata, data proxima e fornec
 NOTE_SUM = "Conciliado por soma exata de parcelas do Sistema contra um lançamento do Banco."
 NOTE_SUM_TAX = "Tributo/encargo associado a CAIXA ECONOMICA; parcelas do Sistema somam exatamente o valor do Banco."
 NOTE_DUPLICATE = "Possivel duplicidade: mesmo mes, tipo, valor e documento/texto-base."
+NOTE_NEAR = "Mesmo documento/CNPJ raiz e tipo, com data próxima ou mesmo mês, mas valor diferente."
 
 # Text categories and their words.
 CATEGORIES = {

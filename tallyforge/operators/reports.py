@@ -13,6 +13,12 @@ MATCH_COLUMNS = [
     "status", "score", "metodo", "banco_id", "banco_data", "banco_tipo", "banco_valor", "banco_documento", "banco_banco", "banco_conta", "banco_empresa", "banco_descricao", "sistema_id", "sistema_data", "sistema_tipo", "sistema_valor",
     "sistema_documento", "sistema_empresa", "sistema_favorecido_descricao", "sistema_categoria", "sistema_centro_custo", "sistema_origem", "diferenca_valor", "observacao",
 ]
+# Columns of the reports of rows without a match, and where a fact's columns are called otherwise.
+BANK_ONLY_COLUMNS = ["banco_id", "data", "tipo", "valor", "documento", "banco", "conta", "empresa", "descricao"]
+LEDGER_ONLY_COLUMNS = ["sistema_id", "data", "tipo", "valor", "documento", "empresa", "favorecido", "descricao", "categoria", "centro_custo", "sistema_origem"]
+NEAR_COLUMNS = [c for c in MATCH_COLUMNS if c not in ("score", "metodo")]
+NEAR_STATUS = "POSSIVEL_DIVERGENCIA_VALOR"
+_SOURCES = {"banco_id": "id", "sistema_id": "id", "data": "data_ref", "banco": "banco_nome"}
 
 
 def _if(cond: str, col: str = "valor") -> F.Column:
@@ -96,6 +102,42 @@ def unmatched(facts: DataFrame, matches: DataFrame, ids: str) -> DataFrame:
     return facts.join(used, "id", "left_anti")
 
 
+def _report(facts: DataFrame, columns: list[str]) -> DataFrame:
+    return facts.select(*(F.col(_SOURCES.get(c, c)).alias(c) if _SOURCES.get(c, c) in facts.columns else F.lit("").alias(c) for c in columns))
+
+
+def bank_only(bank: DataFrame, matches: DataFrame) -> DataFrame:
+    """Report rows of the bank that no ledger row answers. Columns that the fact lacks are ''."""
+    return _report(unmatched(bank, matches, "bank_ids"), BANK_ONLY_COLUMNS)
+
+
+def ledger_only(ledger: DataFrame, matches: DataFrame) -> DataFrame:
+    """Report rows of the ledger that no match holds. Columns that the fact lacks are ''."""
+    return _report(unmatched(ledger, matches, "ledger_ids"), LEDGER_ONLY_COLUMNS)
+
+
+def near_rows(near: DataFrame, bank: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Report rows of near matches (bank_id, ledger_id, diferenca): both sides as they are in their own reports."""
+    both = ["documento", "empresa", "data", "tipo", "valor"]
+    b = _report(bank, BANK_ONLY_COLUMNS).select("banco_id", *(F.col(c).alias(f"banco_{c}") for c in (*both, "banco", "conta", "descricao")))
+    # Payee and description joined; blanks and dashes at the ends go.
+    said = F.btrim(F.concat(F.coalesce("favorecido", F.lit("")), F.lit(" - "), F.coalesce("descricao", F.lit(""))), F.lit(" -"))
+    l = _report(ledger, LEDGER_ONLY_COLUMNS).select("sistema_id", *(F.col(c).alias(f"sistema_{c}") for c in (*both, "categoria", "centro_custo")), said.alias("sistema_favorecido_descricao"), "sistema_origem")
+    got = near.join(b, near["bank_id"] == b["banco_id"]).join(l, near["ledger_id"] == l["sistema_id"])
+    got = got.withColumns({"status": F.lit(NEAR_STATUS), "diferenca_valor": F.col("diferenca"), "observacao": F.lit(fixed.NOTE_NEAR)})
+    return got.select(*NEAR_COLUMNS)
+
+
+def report_set(matches: DataFrame, near: DataFrame, bank: DataFrame, ledger: DataFrame) -> dict[str, DataFrame]:
+    """The eight reports of a run by the names of their files. matches and near are read several times: give tables."""
+    rows = match_rows(matches, bank, ledger)
+    # Names of the files.
+    return {
+        "01_resumo": summary(matches, bank, ledger), "02_conciliados": rows, "03_valor_igual_validar": rows.where("status = 'CONCILIADO_VALOR_IGUAL'"), "04_divergencias": rows.where("status = 'DIVERGENCIA'"),
+        "05_banco_sem_sistema": bank_only(bank, matches), "06_sistema_sem_banco": ledger_only(ledger, matches), "07_duplicidades": duplicates(bank, ledger), "08_possiveis_divergencias_valor": near_rows(near, bank, ledger),
+    }
+
+
 def summary(matches: DataFrame, bank: DataFrame, ledger: DataFrame, start: str = "2025-09-01", end: str = "2026-09-01") -> DataFrame:
     """indicador, valor: counts and totals of both sides, of the matches' statuses and of what has no match."""
 

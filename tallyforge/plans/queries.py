@@ -565,6 +565,29 @@ def account_strong_pairs_no_text(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.col("b_id").alias("bank_id"), F.col("l_id").alias("ledger_id"), "score", "metodo")
 
 
+@query(_MONTHS_SQL.rstrip() + " SELECT id AS banco_id, data_ref AS data, tipo, valor, documento, '' AS banco, '' AS conta, '' AS empresa, descricao FROM b WHERE id::VARCHAR IN (SELECT bank_ids FROM w WHERE ledger_ids = '')")
+def report_bank_only_no_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Bank rows that the month engine (words only) leaves without a ledger row."""
+    b = bank(spark, sf)
+    return reports.bank_only(b, resolve.resolve_months(b, ledger(spark, sf), False))
+
+
+@query(_MONTHS_SQL.rstrip() + " SELECT id AS sistema_id, data_ref AS data, tipo, valor, documento, '' AS empresa, favorecido, descricao, '' AS categoria, '' AS centro_custo, '' AS sistema_origem FROM lf WHERE id NOT IN (SELECT unnest(got) FROM g)")
+def report_ledger_only_no_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledger rows that no match of the month engine (words only) holds."""
+    l = ledger(spark, sf)
+    return reports.ledger_only(l, resolve.resolve_months(bank(spark, sf), l, False))
+
+
+@query(FEATURES.replace("WITH", "WITH RECURSIVE", 1).rstrip() + ", bn AS (SELECT * FROM b), ln AS (SELECT * FROM l)" + _NEAR_SQL.replace(" SELECT bank_id, ledger_id, diferenca FROM nm JOIN q USING (bank_id, ledger_id)", f""" SELECT 'POSSIVEL_DIVERGENCIA_VALOR' AS status, b.id AS banco_id, b.data_ref AS banco_data, b.tipo AS banco_tipo, b.valor AS banco_valor, b.documento AS banco_documento, '' AS banco_banco, '' AS banco_conta, '' AS banco_empresa, b.descricao AS banco_descricao,
+ l.id AS sistema_id, l.data_ref AS sistema_data, l.tipo AS sistema_tipo, l.valor AS sistema_valor, l.documento AS sistema_documento, '' AS sistema_empresa, trim(l.favorecido || ' - ' || l.descricao, ' -') AS sistema_favorecido_descricao, '' AS sistema_categoria, '' AS sistema_centro_custo, '' AS sistema_origem,
+ diferenca::DECIMAL(18,2) AS diferenca_valor, '{fixed.NOTE_NEAR}' AS observacao FROM nm JOIN q USING (bank_id, ledger_id) JOIN b ON b.id = bank_id JOIN l ON l.id = ledger_id"""))
+def report_near_rows_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Report rows of the near matches of the whole facts."""
+    b, l = bank(spark, sf), ledger(spark, sf)
+    return reports.near_rows(resolve.near_matches(b, l), b, l)
+
+
 @query()
 def resolve_months(spark: SparkSession, sf: str) -> DataFrame:
     return _named(resolve.resolve_months(bank(spark, sf), ledger(spark, sf)))

@@ -12,6 +12,13 @@ def report_csv(df: DataFrame, path: str, single: bool = True) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
 
 
+def report_files(reports: dict[str, DataFrame], root: str) -> None:
+    """One semicolon report a name, with a byte order mark as spreadsheets expect it. The mark stands before the first
+    column's name, so each file of a report has it; a report without rows is its header."""
+    for name, df in reports.items():
+        report_csv(df.withColumnRenamed(df.columns[0], f"\ufeff{df.columns[0]}"), f"{root}/{name}")
+
+
 def with_sidecar(df: DataFrame, meta: DataFrame, path: str) -> None:
     report_csv(df, path)
     meta.coalesce(1).write.mode("overwrite").json(f"{path}.json")
