@@ -64,8 +64,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return one.unionByName(more).where("linha > 1")
 
 
-def table(spark: SparkSession, path: str, columns: tuple[str, ...], required: tuple[str, ...] = ()) -> DataFrame:
-    """arquivo, linha, _missing and the named columns as trimmed strings, null where blank or absent.
+def table(spark: SparkSession, path: str, columns: tuple[str, ...], required: tuple[str, ...] = (), file: str = "arquivo") -> DataFrame:
+    """file (its path), linha, _missing and the named columns as trimmed strings, null where blank or absent.
 
     A file's separator is the one its header has more of (comma, if equal). Header names may not hold separators; of equal names
     the last counts. Records without any content are left out. _missing names required columns that the file lacks."""
@@ -91,5 +91,5 @@ def table(spark: SparkSession, path: str, columns: tuple[str, ...], required: tu
     listed = F.transform(F.array("_v"), lambda s: F.array(*(s[f"f{k}"] for k in range(width))))
     row = F.transform(listed, lambda v: named(v, F.col("_names")))
     missing = F.array_join(F.array_except(F.array(*(F.lit(c) for c in sorted(required))).cast("array<string>"), F.col("_names")), ", ")
-    x = x.select("arquivo", "linha", missing.alias("_missing"), F.inline(row))
+    x = x.select(F.col("arquivo").alias(file), "linha", missing.alias("_missing"), F.inline(row))
     return x.where("_full").drop("_full")

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import values
 from tallyforge.operators import etl
+from tallyforge.operators.lineage import written
 from tallyforge.sources import dialects
 
-# Columns of ledger files.
+# Columns of files, prefix and origin of spreadsheet rows.
+BANK_COLUMNS = ("data", "tipo_movimento", "valor", "descricao", "documento", "pagina")
+BANK_META = ("banco_nome", "banco_codigo", "layout", "empresa_nome", "empresa_cnpj", "agencia", "conta", "digito")
+INVENTORY_COLUMNS = ("status", "ano_detectado", "pasta_banco", "layout", "banco_nome", "banco_codigo", "empresa_nome", "empresa_cnpj", "agencia", "conta", "digito", "quantidade_transacoes", "avisos", "arquivo")
+SHEET_ID, SHEET_ORIGIN = "SISTEMA-XLS:", "SISTEMA.xls"
 LEDGER_REQUIRED = ("empresa_id", "tipo_movimento", "valor")
 LEDGER_COLUMNS = (
     "empresa_id", "data_lancamento", "data_vencimento", "data_pagamento", "tipo_movimento", "valor", "fornecedor_cliente", "documento",
@@ -23,9 +28,34 @@ def bank_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({"data_ref": values.date_any("data"), "valor": F.col("valor").try_cast(values.MONEY), "arquivo": F.input_file_name()})
 
 
-def sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata files beside the data: one JSON object a file, keyed by the data file's name."""
-    return spark.read.option("multiLine", True).json(path).withColumn("arquivo", F.regexp_replace(F.input_file_name(), "\\.json$", ".csv"))
+def sidecar(spark: SparkSession, root: str) -> DataFrame:
+    """arquivo, meta: what the JSON files of a folder tell of the data files of their names; null where they tell nothing."""
+    told = ", ".join(f"{c}: string" for c in BANK_META)
+    x = spark.read.schema(f"metadados struct<{told}>").option("multiLine", True).option("pathGlobFilter", "*.json").json(root)
+    any_told = F.coalesce(*(F.col(f"metadados.{c}") for c in BANK_META)).isNotNull()
+    return x.select(F.regexp_replace("_metadata.file_path", "\\.json$", ".csv").alias("arquivo"), F.when(any_told, F.col("metadados")).alias("meta"))
+
+
+def bank_files(spark: SparkSession, root: str, defaults: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects with _error) of the bank files (*.csv) of a folder, each row with its file's bank, company and account:
+    from the JSON file beside it, else from the file's first row, with defaults where that is blank. A JSON file that
+    tells anything is taken as a whole."""
+    defaults = {"layout": "CSV_LEGADO"} | (defaults or {})
+    df = dialects.table(spark, f"{root.rstrip('/')}/*.csv", (*BANK_COLUMNS, *BANK_META))
+    first = df.groupBy("arquivo").agg(F.min_by(F.struct(*BANK_META), "linha").alias("first"))
+    of = first.join(sidecar(spark, root), "arquivo", "left")
+    own = F.struct(*(F.coalesce(F.col(f"first.{c}"), F.lit(defaults.get(c))).alias(c) for c in BANK_META))
+    # One row a file, as a table: its size is known, and decides whether it is sent to all tasks.
+    of = written(of.select("arquivo", F.coalesce("meta", own).alias("meta")), "meta")
+    rows = df.drop("_missing", *BANK_META).join(of, "arquivo").select("*", "meta.*").drop("meta")
+    day, value, page = values.date_any("data"), F.col("valor").try_cast(values.MONEY), F.col("pagina").try_cast("int")
+    ok, bad = etl.valid(rows, {"data": day.isNotNull(), "tipo_movimento": F.col("tipo_movimento").isNotNull(), "valor": value.isNotNull(), "pagina": page.isNotNull()})
+    return ok.withColumns({"data_ref": day, "valor": value, "pagina": page}), bad
+
+
+def importable(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an inventory of statement files that can be imported."""
+    return dialects.table(spark, path, INVENTORY_COLUMNS, file="inventario").where("status = 'IMPORTAVEL'").drop("_missing")
 
 
 def ledger_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -80,6 +110,19 @@ def ledger_sheet(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
+def sheet_ledger(rows: DataFrame) -> DataFrame:
+    """Ledger rows of spreadsheet rows (sha256 of the file, row_no, the columns of ledger_sheet): the sign of a value tells
+    its kind, rows of 0 are left out. An unreadable value or day is null and its row left out too."""
+    value, day = F.expr("try_cast(valor_realizado as decimal(18,2))"), F.expr("try_cast(substring(data_realizacao, 1, 10) as date)")
+    text = lambda c: F.when(F.trim(c) != "", F.trim(c)).alias
+    x = rows.withColumns({"_value": value, "_day": day}).where("_value <> 0 and _day is not null")
+    return x.select(
+        F.concat(F.lit(SHEET_ID), F.substring("sha256", 1, 16), F.lit(":"), F.when(F.col("row_no") < 10_000, F.lpad(F.col("row_no").cast("string"), 4, "0")).otherwise(F.col("row_no").cast("string"))).alias("identificador_externo"),
+        F.col("_day").alias("data_lancamento"), F.col("_day").alias("data_pagamento"), F.when(F.col("_value") > 0, "ENTRADA").otherwise("SAIDA").alias("tipo"), F.abs("_value").cast(values.MONEY).alias("valor"), text("favorecido")("fornecedor_cliente"),
+        text("cnpj_cpf")("cnpj_cpf"), text("descricao")("descricao"), text("conta")("categoria"), text("centro_custo")("centro_custo"), F.lit(SHEET_ORIGIN).alias("sistema_origem"), F.lit("ABERTO").alias("status"),
+    )
+
+
 def jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, lower: int = 0, upper: int = 0, parts: int = 1, **options: str) -> DataFrame:
     """A relational table; with a numeric column it is read in ranges by many tasks."""
     r = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
