@@ -1,13 +1,14 @@
 """LM scoring: a gated recurrent language model with class-factored output, in numpy.
 
 Words are counted over all training documents (in shards of the hash space; a task sends each word once).
-The model's symbols are the end, all words of at least LEAST occurrences (the `head` most frequent ones in any
+The model's symbols are the end and all words of at least LEAST occurrences (the `head` most frequent ones in any
 case), in classes whose number and sizes balance the cost of a token, and tail classes: the rare words by the octave
-of their count, unseen words in a class of their own. So what is learned grows with the corpus. A word's probability is that of its class
-given the state, times that of its symbol within the class given the state, times, for tail classes, its
-smoothed share of the class. So the model is a proper distribution over the words seen in training and one
-unseen outcome, like the base. A tail word is trained as if its own occurrence were left out of its count,
-which is what held-out words meet.
+of their count, unseen words in a class of their own. The OWN most frequent words have a symbol each; the others of
+at least LEAST occurrences share SHARED symbols by their hash, so no list of them is kept, and neither the model nor
+what the driver holds grows with the vocabulary. A word's probability is that of its class given the state, times that
+of its symbol within the class given the state, times, for shared symbols and tail classes, its smoothed share of
+them. So the model is a proper distribution over the words seen in training and one unseen outcome, like the base.
+A tail word is trained as if its own occurrence were left out of its count, which is what held-out words meet.
 
 Training is truncated backpropagation through windows, over every training document: copies of the model learn
 side by side from shares of the documents, dealt by hash and read in a fixed order, and are averaged by tokens
@@ -35,6 +36,7 @@ from tallyforge.llm._spark import parts_for, release, small_batches, text_bytes,
 
 HEAD, LEAST, HIDDEN, LANES, STEPS, ROUNDS = 2000, 64, 24, 512, 48, 2
 TAILS = 44
+OWN, SHARED = 12288, 4096
 TOKENS_A_WEIGHT = 2
 SLICES = 16
 ROWS, BLOCK = 1024, 1 << 15
@@ -47,26 +49,60 @@ def tail_class(c: np.ndarray) -> np.ndarray:
     return np.where(c < 4, c, 2 + np.log2(np.maximum(c, 4)).astype(np.int64))
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(SHARED)).astype(np.int64)
+
+
+def _by_slot(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Types and mass of each slot for these words and counts."""
+    k = _slot(h)
+    return np.stack([np.bincount(k, minlength=SHARED), np.bincount(k, weights=c, minlength=SHARED).astype(np.int64)])
+
+
+def _merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """One row of rows (w, c, shared): of the words the `most` frequent ones, of the slots the sums."""
+    w, c, shared = np.zeros(0, "<i8"), np.zeros(0, "<i8"), np.zeros(2 * SHARED, "<i8")
+    for b in batches:
+        for x, y, z in zip(*(b.column(k).to_pylist() for k in ("w", "c", "shared")), strict=True):
+            w, c = np.append(w, np.frombuffer(x, "<i8")), np.append(c, np.frombuffer(y, "<i8"))
+            best = np.lexsort((w, -c))[:most]
+            w, c = w[best], c[best]
+            shared += np.frombuffer(z, "<i8")
+    yield pa.record_batch([pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (w, c, shared)], names=["w", "c", "shared"])
+
+
 class Vocabulary:
-    """What scoring needs of the counts: totals, head words and the tail classes' masses."""
+    """What scoring needs of the counts: totals, head words and the masses of tail classes and shared symbols.
+
+    shared: types and mass of all words of at least LEAST occurrences by slot; head words are taken out."""
 
-    def __init__(self, n: int, v: int, head: list[tuple[int, int]], types: np.ndarray, mass: np.ndarray):
+    def __init__(self, n: int, v: int, head: list[tuple[int, int]], types: np.ndarray, mass: np.ndarray, shared: np.ndarray | None = None):
         self.n, self.v = n, v
-        self.hash = np.array([h for h, _ in head], np.int64).view(np.uint64)
+        w, self.head = np.array(head, np.int64).reshape(-1, 2).T.copy()
+        self.hash = w.view(np.uint64)
         self.order = np.argsort(self.hash)
         self.sorted = self.hash[self.order]
-        self.head = np.array([c for _, c in head], np.int64)
         self.types, self.mass = types.copy(), mass.copy()
         if len(head):
             k = tail_class(self.head)
             np.subtract.at(self.types, k, 1)
             np.subtract.at(self.mass, k, self.head)
-        self.size = len(head) + TAILS
+        self.slots = np.zeros((2, 0), np.int64)
+        if shared is not None:
+            often = self.head >= LEAST
+            rest = shared - _by_slot(self.hash[often], self.head[often])
+            if rest[0].any():
+                k = int(tail_class(np.array([LEAST]))[0])  # from here on all words are in slots
+                self.slots, self.types[k:], self.mass[k:] = rest, 0, 0
+        self.size = TAILS + len(head) + self.slots.shape[1]
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
 
     def symbols(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Tail classes first, then head words."""
+        """Tail classes first, then head words, then slots."""
         out = tail_class(c)
+        if self.slots.size:
+            often = c >= LEAST
+            out[often] = TAILS + len(self.head) + _slot(h[often])
         if len(self.sorted):
             k = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
             hit = self.sorted[k] == h
@@ -74,10 +110,11 @@ class Vocabulary:
         return out
 
     def classes(self) -> np.ndarray:
-        """Class of each symbol: a tail class is its own; the end and head words by frequency, with equal sums of the
-        roots of their counts. So classes of frequent words are small, which costs least by token."""
-        root = np.sqrt(self.head.astype(float))
-        n = max(1, math.ceil(root.sum() / math.sqrt(max(1, self.head.sum()))))
+        """Class of each symbol: a tail class is its own; the end and head words by frequency, then slots, with equal
+        sums of the roots of their counts. So classes of frequent words are small, which costs least by token."""
+        count = np.concatenate([self.head, self.slots[1]])
+        root = np.sqrt(count.astype(float))
+        n = max(1, math.ceil(root.sum() / math.sqrt(max(1, count.sum()))))
         cls = np.unique((np.cumsum(root) - root) // (max(1.0, root.sum()) / n), return_inverse=True)[1]
         return np.concatenate([np.arange(TAILS), TAILS + cls]).astype(np.int64)
 
@@ -85,9 +122,14 @@ class Vocabulary:
         """Expected share of each symbol, tail words with their own occurrence left out of their counts."""
         left = np.zeros(TAILS)
         left[:3], left[4:] = self.mass[1:4], self.mass[4:]
-        p = np.concatenate([left, self.head]) + 0.5
+        p = np.concatenate([left, self.head, self.slots[1]]) + 0.5
         return p / p.sum()
 
+    def shares(self) -> np.ndarray:
+        """Of each symbol, log10 of what its words' smoothed counts are a share of (0 for head words)."""
+        own = np.zeros(len(self.head))
+        return np.concatenate([np.log10(np.maximum(self.mass + 0.5 * self.types, 0.5)), own, np.log10(np.maximum(self.slots[1] + 0.5 * self.slots[0], 0.5))])
+
 
 def _calm(u: np.ndarray, b: np.ndarray) -> bool:
     """Whether no logit of a state (all in -1..1) can be too large or too small for exp in single precision."""
@@ -351,6 +393,7 @@ def _ids(h: np.ndarray, shards: int) -> np.ndarray:
 def counted(docs: DataFrame, shards: int, head: int) -> tuple[DataFrame, Vocabulary]:
     """(replies, vocabulary). replies: bucket, shard, counts: training counts of the bucket's distinct words of that
     shard, in the order of their hashes."""
+    most = max(OWN, head)
 
     def ask(t: pa.Table) -> pa.Table:
         kinds, at, r, _ = _distinct(t)
@@ -367,39 +410,33 @@ def counted(docs: DataFrame, shards: int, head: int) -> tuple[DataFrame, Vocabul
         cut = np.split(c[at], np.cumsum([len(w) for w in words])[:-1])
         k = tail_class(c)
         types, mass = np.bincount(k, weights=c > 0, minlength=TAILS), np.bincount(k, weights=c, minlength=TAILS)
-        top = np.lexsort((kinds, -c))[: max(head, int((c >= LEAST).sum()))]
+        top = np.lexsort((kinds.view(np.int64), -c))[: min(most, max(head, int((c >= LEAST).sum())))]
         top = top[c[top] > 0]
+        often = c >= LEAST
+        packed = [x.astype("<i8").tobytes() for x in (kinds[top].view(np.int64), c[top], _by_slot(kinds[often], c[often]).ravel())]
         n = len(words)
         kind = "<u4" if c.max(initial=0) < 1 << 32 else "<u8"
         return pa.table(
             [
                 pa.array(t.column("bucket").to_pylist() + [None], pa.int32()), pa.array(t.column("shard").to_pylist() + [None], pa.int32()), pa.array([x.astype(kind).tobytes() for x in cut] + [None], pa.binary()),
                 pa.array([None] * n + [int(c.sum())], pa.int64()), pa.array([None] * n + [int((c > 0).sum())], pa.int64()), pa.array([None] * n + [types.astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([None] * n + [mass.astype(np.int64).tolist()], pa.list_(pa.int64())),
-                pa.array([None] * n + [[{"w": int(np.int64(h)), "c": int(x)} for h, x in zip(kinds[top].view(np.int64), c[top], strict=True)]], pa.list_(pa.struct([("w", pa.int64()), ("c", pa.int64())]))),
+                *(pa.array([None] * n + [x], pa.binary()) for x in packed),
             ],
-            names=["bucket", "shard", "counts", "n", "v", "types", "mass", "top"],
+            names=["bucket", "shard", "counts", "n", "v", "types", "mass", "w", "c", "shared"],
         )
 
     asked = docs.groupBy("bucket").applyInArrow(ask, "shard int, bucket int, words binary, counts binary")
-    got = written(asked.groupBy("shard").applyInArrow(answer, "bucket int, shard int, counts binary, n long, v long, types array<long>, mass array<long>, top array<struct<w: long, c: long>>"), "counts")
+    got = written(asked.groupBy("shard").applyInArrow(answer, "bucket int, shard int, counts binary, n long, v long, types array<long>, mass array<long>, w binary, c binary, shared binary"), "counts")
     facts = got.where("n is not null")
     sums = facts.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), *(F.sum(F.col("types")[k]).alias(f"t{k}") for k in range(TAILS)), *(F.sum(F.col("mass")[k]).alias(f"m{k}") for k in range(TAILS))).first()
     z = lambda x: np.array([sums[f"{x}{k}"] or 0 for k in range(TAILS)], np.int64)
-    # The octave from which on there are enough words: what is below it in a shard can't be among the first.
-    enough = np.flatnonzero(np.cumsum(z("t")[::-1])[::-1] >= head)
-    k = int(enough[-1]) if len(enough) else 0
-    least = min(LEAST, k if k < 4 else 1 << (k - 2))
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = b.column(0).flatten()
-            w, c = (got.field(x).to_numpy().astype("<i8") for x in ("w", "c"))
-            yield pa.record_batch([pa.array([w[c >= least].tobytes()], pa.binary()), pa.array([c[c >= least].tobytes()], pa.binary())], names=["w", "c"])
-
-    top = facts.select("top").mapInArrow(frequent, "w binary, c binary").collect()
-    w, c = (np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(r[x], "<i8") for r in top)]) for x in ("w", "c"))
-    best = np.lexsort((w, -c))[: max(head, int((c >= LEAST).sum()))]
-    return got.where("bucket is not null").select("bucket", "shard", "counts"), Vocabulary(sums["n"] or 0, sums["v"] or 0, list(zip(w[best].tolist(), c[best].tolist(), strict=True)), z("t"), z("m"))
+    # Merged in each task, then in a few: the driver gets as many rows whatever the corpus.
+    merge, kinds = (lambda batches: _merged(batches, most)), "w binary, c binary, shared binary"
+    few = facts.select("w", "c", "shared").mapInArrow(merge, kinds).repartition(SLICES).mapInArrow(merge, kinds).toArrow()
+    [last] = _merged(iter(few.to_batches()), most)
+    w, c, shared = (np.frombuffer(x[0].as_py(), "<i8") for x in last.columns)
+    best = slice(max(head, int((c >= LEAST).sum())))
+    return got.where("bucket is not null").select("bucket", "shard", "counts"), Vocabulary(sums["n"] or 0, sums["v"] or 0, np.stack([w[best], c[best]], 1), z("t"), z("m"), shared.reshape(2, SHARED))
 
 
 _ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail_score double, symbols binary, shifted binary"
@@ -408,7 +445,7 @@ _ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sco
 def encoded(docs: DataFrame, replies: DataFrame, voc: Vocabulary, shards: int) -> DataFrame:
     """_ENCODED rows: the base's score, the tail's share of the score, and the symbols of each document."""
     below = np.log10(voc.n + 0.5 * (voc.v + 1))
-    share = np.log10(np.maximum(voc.mass + 0.5 * voc.types, 0.5))
+    share, first_slot = voc.shares(), TAILS + len(voc.head)
 
     def run(t: pa.Table, got: pa.Table) -> pa.Table:
         kinds, at, r, n = _distinct(t)
@@ -417,7 +454,7 @@ def encoded(docs: DataFrame, replies: DataFrame, voc: Vocabulary, shards: int) -
         for s, i in _text.split_by(_ids(kinds, shards), shards):
             c[i] = np.frombuffer(parts[s], "<u4" if len(parts[s]) == 4 * len(i) else "<u8")
         sym = voc.symbols(kinds, c)
-        tail = np.where((sym < TAILS) & (c > 0), np.log10(c + 0.5) - share[np.minimum(sym, TAILS - 1)], 0.0)
+        tail = np.where(((sym < TAILS) | (sym >= first_slot)) & (c > 0), np.log10(c + 0.5) - share[sym], 0.0)
         moved = (sym < TAILS) & (c > 0) & (tail_class(np.maximum(c - 1, 0)) < sym)
         base = np.log10(c + 0.5) - below
         m = len(t)

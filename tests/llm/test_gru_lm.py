@@ -135,3 +135,23 @@ def test_score_matches_the_plain_recurrence():
     model.us[:] = r.normal(0, 0.5, model.us.shape)
     docs = [r.integers(0, voc.size, k) for k in (1, 2, 60, 130, 7)]
     assert np.allclose(g.score(model, docs), brute_score(model, voc, docs), rtol=1e-4)
+
+
+def test_words_beyond_those_with_a_symbol_of_their_own_share_symbols(spark, monkeypatch):
+    texts = [" ".join(f"w{k}" for k in range(600))] * 90 + [f"often{k % 7} rare{k}" for k in range(700)]
+    table = docs_of(spark, texts).selectExpr("doc_id", "text", "false as held_out", "cast(doc_id % 3 as int) as bucket")
+    monkeypatch.setattr(g, "OWN", 50)
+    _, voc = g.counted(table, 3, 20)
+    counts = Counter(w for t in texts for w in [*words(t), "\0end"])
+    assert len(voc.head) == 50 and sorted(voc.head) == sorted(sorted(counts.values())[-50:])  # 8 are more frequent
+    often = sum(c >= g.LEAST for c in counts.values()) - 50
+    assert voc.slots[0].sum() == often and voc.slots[1].sum() == sum(c for c in counts.values() if c >= g.LEAST) - voc.head.sum()
+    assert voc.types.sum() + often + 50 == len(counts) and voc.mass.sum() + voc.slots[1].sum() + voc.head.sum() == voc.n
+    assert voc.size == g.TAILS + 50 + g.SHARED == len(voc.classes()) == len(voc.prior())
+    # A word is its symbol times its share of it, so the shares of all words of a symbol are 1.
+    hashes = np.arange(1 << 14, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sym = voc.symbols(hashes, np.full(len(hashes), g.LEAST))
+    assert (sym >= g.TAILS + 50).all() and (sym < voc.size).all() and (voc.symbols(hashes, np.full(len(hashes), 63)) < g.TAILS).all()
+    assert np.allclose(10 ** voc.shares()[g.TAILS + 50 :], np.maximum(voc.slots[1] + 0.5 * voc.slots[0], 0.5))
+    df, model = g.lm_score(docs_of(spark, texts), head=20)
+    assert len(model.cls) == voc.size and all(r["score"] < 0 for r in df.collect()) and df.count() == len(texts)
