@@ -2,8 +2,11 @@
 
 import datetime as dt
 import random
+import time
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from tallyforge.operators import candidates, rounds
 
 PAIRS = "one long, many long, turn long, sub string, seen long, place long, cents long, target long, mark int"
@@ -43,3 +46,20 @@ def test_first_pairs_are_enough(spark, monkeypatch):
     got = rounds.exact_groups(pairs, limit, True).collect()
     assert sorted((x["one"], [m["id"] for m in x["many"]]) for x in got) == sorted(want)
     assert len(asked) > 1
+
+
+def test_sums_of_twenty_values_need_no_search(spark):
+    r = random.Random(3)
+    for _ in range(2000):
+        cents = [r.randrange(1, r.choice([6, 40, 500])) for _ in range(r.randrange(2, 12))]
+        target = sum(r.sample(cents, r.randrange(1, len(cents) + 1))) + r.choice([0, 0, 1])
+        assert rounds._least_subset(cents, target) == rounds.exact_subset(cents, target)
+    # 150 rows that all have a sum: a search through all sums takes some 0.5 s for each.
+    rows = []
+    for _ in range(150):
+        cents = [r.randrange(1, 5_000_000) for _ in range(20)]
+        rows.append((cents, sum(r.sample(cents, 10))))
+    began = time.time()
+    got = spark.createDataFrame(rows, "cents array<long>, target long").select("cents", "target", rounds.subset_of(F.col("cents"), F.col("target")).alias("at")).collect()
+    assert time.time() - began < 10
+    assert all(sum(x["cents"][i] for i in x["at"]) == x["target"] for x in got)
