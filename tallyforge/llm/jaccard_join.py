@@ -43,6 +43,8 @@ from tallyforge.llm.components import components
 SKETCH = 1 << 18
 SLICES = 64
 CHUNK, CHUNK_GRAMS = 512, 1 << 22
+#: From this many star pairs of one node in a shard on, they leave it packed.
+PACK = 32
 
 
 def distinct_grams(w: _text.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,9 +283,10 @@ def _signed(docs: DataFrame, n: int, scheme: Scheme, sketch: np.ndarray, shards:
     return docs.mapInArrow(run, "shard int, keys binary, own binary, nodes binary")
 
 
-def _buckets(t: pa.Table) -> pa.Table:
+def _buckets(t: pa.Table, parts: int = 1) -> pa.Table:
     """Of a shard: star pairs (a, b, times), and buckets of three nodes or more, each once, in pieces of CHUNK
-    nodes (list, piece, nodes)."""
+    nodes (list, piece, nodes). A node that leads PACK pairs or more tells them in one row for each part of the hash
+    space (a, piece, nodes b, often: their times), so rows do not multiply with the signatures of a large group."""
     key = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("keys").to_pylist()])
     lists = [np.frombuffer(x, "<i8") for x in t.column("nodes").to_pylist()]
     node = np.concatenate([x[np.frombuffer(o, "<u2" if len(x) <= 1 << 16 else "<u4")] for x, o in zip(lists, t.column("own").to_pylist(), strict=True)])
@@ -305,17 +308,34 @@ def _buckets(t: pa.Table) -> pa.Table:
     name = _text.mix(np.add.reduceat(_text.mix(node), start) + n.astype(np.uint64)).view(np.int64)
     _, once = np.unique(name, return_index=True)
     pieces = [(int(name[k]), p, node[start[k] + p * CHUNK : start[k] + min(n[k], (p + 1) * CHUNK)].astype("<i8").tobytes()) for k in once[n[once] > 2] for p in range(-(-int(n[k]) // CHUNK))]
-    none = [None] * len(at)
-    more = [None] * len(pieces)
+    a, b = a[at], b[at]
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else at
+    many = np.repeat(np.diff(np.append(first, len(a))), np.diff(np.append(first, len(a)))) >= PACK
+    part = (_text.mix(b[many].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((b[many], part, a[many]))
+    pa_, pb, pt, part = a[many][order], b[many][order].astype("<i8"), times[many][order].astype("<i8"), part[order]
+    cut = np.flatnonzero(np.append(True, (pa_[1:] != pa_[:-1]) | (part[1:] != part[:-1]))) if len(pa_) else np.zeros(0, np.int64)
+    ends = np.append(cut, len(pa_))[1:]
+    few = (~many).nonzero()[0]
+    none, more, packs = [None] * len(few), [None] * len(pieces), [None] * len(cut)
     return pa.table(
         [
-            pa.array(a[at].tolist() + more, pa.int64()), pa.array(b[at].tolist() + more, pa.int64()), pa.array(times.tolist() + more, pa.int64()),
-            pa.array(none + [x[0] for x in pieces], pa.int64()), pa.array(none + [x[1] for x in pieces], pa.int32()), pa.array(none + [x[2] for x in pieces], pa.binary()),
+            pa.array(a[few].tolist() + more + pa_[cut].tolist(), pa.int64()), pa.array(b[few].tolist() + more + packs, pa.int64()), pa.array(times[few].tolist() + more + packs, pa.int64()),
+            pa.array(none + [x[0] for x in pieces] + packs, pa.int64()), pa.array(none + [x[1] for x in pieces] + part[cut].tolist(), pa.int32()),
+            pa.array(none + [x[2] for x in pieces] + [pb[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()), pa.array(none + more + [pt[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()),
         ],
-        names=["a", "b", "times", "list", "piece", "nodes"],
+        names=["a", "b", "times", "list", "piece", "nodes", "often"],
     )
 
 
+def _merged(t: pa.Table) -> pa.Table:
+    """a, b, times of the packed pairs of one leading node and part, each pair once."""
+    b, often = (np.concatenate([np.frombuffer(x, "<i8") for x in t.column(c).to_pylist()]) for c in ("nodes", "often"))
+    b, at = np.unique(b, return_inverse=True)
+    times = np.bincount(at, weights=often).astype(np.int64)
+    return pa.table([pa.array(np.full(len(b), t.column("a")[0].as_py(), np.int64)), pa.array(b), pa.array(times)], names=["a", "b", "times"])
+
+
 def _near(pairs: DataFrame, bits: DataFrame, t: float) -> DataFrame:
     """a, b, times and far (the distance of their bitmaps) of the pairs that sizes and bitmaps let pass."""
     up, down = round(t * 10000), 10000
@@ -468,8 +488,11 @@ def join(docs: DataFrame, t: float = 0.85, n: int = 4) -> tuple[DataFrame, DataF
     scheme = Scheme(t, counts, chance=shared_chance(sketch, sets), common=common_share(sketch, sets))
     shards = parts_for(spark, 5 * sum(k * v for k, v in counts.items()))
     signed = _signed(docs, n, scheme, sketch, shards).repartition(shards, "shard")
-    found = written(signed.groupBy("shard").applyInArrow(_buckets, "a long, b long, times long, list long, piece int, nodes binary"), "buckets")
-    stars = written(_near(found.where("a is not null").groupBy("a", "b").agg(F.sum("times").alias("times")), kinds, t), "stars")
+    parts = max(1, shards // 8)
+    found = written(signed.groupBy("shard").applyInArrow(lambda g: _buckets(g, parts), "a long, b long, times long, list long, piece int, nodes binary, often binary"), "buckets")
+    packed = found.where("often is not null").select("a", "piece", "nodes", "often").groupBy("a", "piece").applyInArrow(_merged, "a long, b long, times long")
+    pairs = found.where("b is not null").select("a", "b", "times").unionByName(packed)
+    stars = written(_near(pairs.groupBy("a", "b").agg(F.sum("times").alias("times")), kinds, t), "stars")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         return written(_blobs(docs, kinds.join(nodes.distinct(), "node", "left_semi").select("node", "rep"), n), "grams")
@@ -495,7 +518,7 @@ def join(docs: DataFrame, t: float = 0.85, n: int = 4) -> tuple[DataFrame, DataF
                 part = nodes[lo : lo + 64]
                 yield pa.record_batch([b.column(0).take(pa.array(np.repeat(np.arange(lo, lo + len(part)), [len(x) for x in part]))), pa.array(np.concatenate(part))], names=["list", "node"])
 
-    lists = found.where("nodes is not null").select("list", "piece", "nodes").dropDuplicates(["list", "piece"]).drop("piece").mapInArrow(opened, "list long, node long")
+    lists = found.where("list is not null").select("list", "piece", "nodes").dropDuplicates(["list", "piece"]).drop("piece").mapInArrow(opened, "list long, node long")
     near = written(_nearest(_mixed(lists, labels, kinds), kinds, t), "near")
     sets = sets_of(near.select("node"))
     pairs = near.where("near is not null").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()

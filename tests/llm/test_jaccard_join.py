@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import HARD, docs_of, rows, words
@@ -137,3 +138,30 @@ def test_chunked_buckets_and_repeated_rows_match_brute_force(spark, monkeypatch)
     df = docs_of(spark, texts).selectExpr("*", "1 as node", "2 as bits", "3 as list", "4 as `a.b`")
     got = {x["doc_id"]: x["component_id"] for x in j.join(df)[0].collect()}
     assert [got[k] for k in range(len(texts))] == brute(texts)[1]
+
+
+def test_rows_of_a_shard_do_not_multiply_with_a_group(spark):
+    """A group of 2000 nodes, each in most of 40 buckets: pairs are packed by their leading node, none is lost."""
+    r = np.random.default_rng(5)
+    node = np.arange(1, 2001) * 7919 - 4_000_000
+    key, own = (np.concatenate(x) for x in zip(*((np.full(len(i), k, "<u4"), i) for k, i in ((k, np.flatnonzero(r.random(2000) < 0.9)) for k in range(40))), strict=True))
+    shard = pa.table({"shard": [0], "keys": [key.tobytes()], "own": [own.astype("<u2").tobytes()], "nodes": [node.astype("<i8").tobytes()]})
+    want = {}
+    for k in range(40):
+        lead, *others = np.sort(node[own[key == k]]).tolist()
+        for b in others:
+            want[lead, b] = want.get((lead, b), 0) + 1
+    got = j._buckets(shard, 8)
+    assert got.num_rows < 2000
+    pairs = [(x["a"], x["b"], x["times"]) for x in got.to_pylist() if x["b"] is not None]
+    packed = spark.createDataFrame(got.to_pandas()).where("often is not null").select("a", "piece", "nodes", "often")
+    pairs += [tuple(x) for x in packed.selectExpr("cast(a as long) a", "piece", "nodes", "often").groupBy("a", "piece").applyInArrow(j._merged, "a long, b long, times long").collect()]
+    assert len({(a, b) for a, b, _ in pairs}) == len(pairs) and {(a, b): n for a, b, n in pairs} == want
+
+
+def test_a_group_of_near_copies_matches_brute_force(spark):
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(near(r, base, r.choice([0, 1, 2, 3, 4]))) for _ in range(260)]
+    got = {x["doc_id"]: x["component_id"] for x in j.join(docs_of(spark, texts))[0].collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts)[1]
