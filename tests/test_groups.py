@@ -63,3 +63,22 @@ def test_sums_of_twenty_values_need_no_search(spark):
     got = spark.createDataFrame(rows, "cents array<long>, target long").select("cents", "target", rounds.subset_of(F.col("cents"), F.col("target")).alias("at")).collect()
     assert time.time() - began < 10
     assert all(sum(x["cents"][i] for i in x["at"]) == x["target"] for x in got)
+
+
+def test_groups_known_to_first_come_need_no_rounds(spark, monkeypatch):
+    r, tables, write = random.Random(4), [], rounds.written
+    monkeypatch.setattr(rounds, "written", lambda df, name: tables.append(name) or write(df, name))
+    # 40 rows of a group that all want the same: 40 rounds, if each round tells one.
+    pairs = [(g * 100 + b, g * 100 + l, b, l if g else r.randrange(50) * 100 + l, g) for g in range(3) for b in range(40) for l in range(35) if g or r.random() < 0.3]
+    used, last, want = set(), None, []
+    for g, b, l, _, _ in sorted(((p[4], p[0], p[1], p[2], p[3]) for p in pairs), key=lambda p: (p[0], p[3], p[4], p[2])):
+        if b != last and l not in used:
+            used.add(l), want.append((b, l))
+            last = b
+    df = spark.createDataFrame(pairs, "b long, l long, turn long, wish long, g int")
+    assert sorted(map(tuple, rounds.first_come(df, ["g"]).collect())) == sorted(want)
+    assert len(tables) < 5
+    # Larger groups go by rounds and give the same.
+    monkeypatch.setattr(rounds, "STREAM", 500)
+    assert sorted(map(tuple, rounds.first_come(df, ["g"]).collect())) == sorted(want)
+    assert len(tables) > 20
