@@ -82,3 +82,40 @@ def test_groups_known_to_first_come_need_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(rounds, "STREAM", 500)
     assert sorted(map(tuple, rounds.first_come(df, ["g"]).collect())) == sorted(want)
     assert len(tables) > 20
+
+
+def test_first_subsets_of_many_values_equal_the_search():
+    r = random.Random(8)
+    for n, most, target in [(60, 30, 900), (45, 9, 200), (70, 4, 275), (50, 40, 41), (40, 2, 79), (300, 5000, 4000)] * 12:
+        cents = [r.randrange(1, most) * 2 for _ in range(n)]
+        want = rounds.exact_subset(cents, target)
+        assert rounds._first_subset(cents, target) == want
+        fits = [v for v in cents if v <= target]
+        assert [fits[i] for i in rounds._subset_by_bits(fits, target)] == [cents[i] for i in want]
+    # A sum that no beginning of 36 values has.
+    cents = [1000] * 40 + [7, 11]
+    assert rounds._first_subset(cents, 1018) == [0, 40, 41]
+
+
+def test_without_a_limit_all_rows_are_tried(spark):
+    r = random.Random(2)
+    # 60 rows that all want the same; those that sum to a row may be the last.
+    values = [2 * r.randrange(500, 900) for _ in range(58)] + [3, 5]
+    targets = [8, 1008 + 2 * 900, 6001, 5000, 7001, 40000, 9999]
+    used, want = set(), []
+    for b, t in enumerate(targets):
+        free = [l for l in range(60) if l not in used and values[l] < t]
+        got = [free[i] for i in rounds.exact_subset([values[l] for l in free], t)] if len(free) > 1 else []
+        used.update(got)
+        want += [(b, got)] if got else []
+    assert any(max(got) > 40 for _, got in want)
+    pairs = spark.createDataFrame([(b, l, b, "", l, l, values[l], t, 0) for b, t in enumerate(targets) for l in range(60) if values[l] < t], PAIRS)
+    asked = []
+
+    def first(k):
+        asked.append(k)
+        return pairs.withColumn("_no", F.expr("row_number() over (partition by one order by place)")).where(F.col("_no") <= k).drop("_no")
+
+    for given in (pairs, first):
+        assert sorted((x["one"], [m["id"] for m in x["many"]]) for x in rounds.exact_groups(given, None, True).collect()) == want
+    assert len(asked) > 1
