@@ -97,7 +97,7 @@ def test_first_subsets_of_many_values_equal_the_search():
     assert rounds._first_subset(cents, 1018) == [0, 40, 41]
 
 
-def test_without_a_limit_all_rows_are_tried(spark):
+def test_without_a_limit_all_rows_are_tried(spark, monkeypatch):
     r = random.Random(2)
     # 60 rows that all want the same; those that sum to a row may be the last.
     values = [2 * r.randrange(500, 900) for _ in range(58)] + [3, 5]
@@ -119,3 +119,8 @@ def test_without_a_limit_all_rows_are_tried(spark):
     for given in (pairs, first):
         assert sorted((x["one"], [m["id"] for m in x["many"]]) for x in rounds.exact_groups(given, None, True).collect()) == want
     assert len(asked) > 1
+    # As a sorted stream, and with groups that are too large for it, the same.
+    grouped = lambda k: (pairs if k is None else first(k)).withColumn("group", F.lit(1))
+    for most in (rounds.STREAM, 100):
+        monkeypatch.setattr(rounds, "STREAM", most)
+        assert sorted((x["one"], [m["id"] for m in x["many"]]) for x in rounds.all_groups(grouped).collect()) == want
