@@ -198,3 +198,25 @@ def test_rows_only_queries(spark, sf, name):
     from tallyforge.plans.queries import QUERIES
 
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_scoring_pairs_by_root_hold_all_pairs_with_a_score(spark):
+    import datetime as dt
+    import itertools
+    from decimal import Decimal
+
+    from tallyforge.functions.text import ratio
+    from tallyforge.operators import candidates, scoring
+    from tallyforge.operators.features import bank_features, ledger_features
+
+    docs, day = ["12345678000100", "12345678000200", "12345678", "99999999000100", ""], dt.date(1995, 3, 1)
+    rows = [(k, day + dt.timedelta(k % 6), "SAIDA", Decimal(10 + k % 3), "loja sul", d) for k, d in enumerate(docs * 3)]
+    bank = bank_features(spark.createDataFrame(rows, "id long, data_ref date, tipo string, valor decimal(18,2), descricao string, documento string"))
+    ledger = ledger_features(spark.createDataFrame([(*r[:4], "loja azul", "", r[5]) for r in rows], "id long, data_ref date, tipo string, valor decimal(18,2), favorecido string, descricao string, documento string"))
+    supplier = lambda b, l: bool(set(b["toks"]) & set(l["toks"])) or ratio(b["norm"], l["norm"]) >= 0.35
+    sides = [[r.asDict() for r in f.collect()] for f in (bank, ledger)]
+    want = {(b["id"], l["id"], scoring.score_pair(b, l, supplier, lambda *_: False, False)[0]) for b, l in itertools.product(*sides)}
+    got = scoring.score_month(candidates.scoring_pairs(bank, ledger, True)).select("b_id", "l_id", "score").collect()
+    assert len(got) == len(set(got)) and set(map(tuple, got)) == {x for x in want if x[2]}
+    fewer = scoring.score_month(candidates.scoring_pairs(bank, ledger)).count()
+    assert fewer < len(got)
